@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes between words: space and tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]"
@@ -58,3 +61,47 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` without the columns that clash with ``names``, in either case."""
+    clash = {n.lower() for n in names}
+    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
+
+
+def annotate(df: DataFrame, reads: str, adds: StructType, start: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
+    """Columns ``adds`` beside those of ``df``, from column ``reads`` alone, in one pass over Arrow batches.
+
+    Each task calls ``start()`` once for a function from a value of ``reads`` (None if null) to the
+    tuple of new values. ``keep`` names the columns of ``df`` to return (all); columns of the names
+    in ``adds`` give way.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in adds}]
+    passed = list(dict.fromkeys([*kept, reads]))
+    source = df.select([F.col(f"`{c}`") for c in passed])
+    at, kinds = passed.index(reads), pa_types(adds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = start()
+        for batch in batches:
+            for part in slices(batch, at):
+                rows = [one(v) for v in part.column(at).to_pylist()]
+                new = [pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], names=[*kept, *adds.names])
+
+    fields = [f for f in source.schema.fields[: len(kept)]]
+    return source.mapInArrow(run, StructType([*fields, *[StructField(f.name, f.dataType, True) for f in adds]]))
+
+
+def slices(batch: pa.RecordBatch, at: int, room: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose column ``at`` holds some ``room`` bytes, or one row."""
+    size = batch.column(at).nbytes
+    step = max(1, batch.num_rows * room // max(size, room))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+def pa_types(schema: StructType) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(f.dataType) for f in schema]

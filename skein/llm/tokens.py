@@ -3,6 +3,7 @@
 The tokenizers used here never merge across the start of a run of white space, so a text is the
 concatenation of its space-separated chunks. Words repeat, so most chunks come from the memo; the
 library encodes the rest. Texts in which that cut could matter are given to the library whole.
+Strings that name special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -10,17 +11,17 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Characters that the two libraries class differently, and white space other than space and newline.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-#: Words that pre-tokenizers leave as one piece.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: White space other than space and newline.
+_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Words that pre-tokenizers leave as one piece, with a mark that they cut off.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter that byte-level BPE has for each byte: itself, or the next from U+0100."""
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE has for each byte (as Latin-1): itself, or the next from U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+    return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
 _BYTE = _byte_letters()
@@ -31,16 +32,10 @@ class _Memo(dict):
 
     def __init__(self, encode, room: int):
         super().__init__()
-        self._encode, self._room, self._ends = encode, room, {}
+        self._encode, self._room = encode, room
 
     def __missing__(self, chunk: str) -> bytes:
-        head, last = chunk[:-1], chunk[-1:]
-        if last in (",", ".") and _LETTERS.fullmatch(head):  # letters never merge with what ends them
-            if last not in self._ends:
-                self._ends[last] = self._encode(last, False)
-            ids = self[head] + self._ends[last]
-        else:
-            ids = self._encode(chunk, True)
+        ids = self._encode(chunk)
         if len(self) < self._room and len(chunk) < 100:
             self[chunk] = ids
         return ids
@@ -53,26 +48,29 @@ class TextEncoder:
     part of its token (byte-level BPE); otherwise white space is dropped.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, room: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._model = self._library.model
+        self._library.encode_special_tokens = True
+        self._tokenize = self._library.model.tokenize
         self.width = 2 if self._library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self._code = "H" if self.width == 2 else "I"
         self._spaced = spaced
-        self._inner = _Memo(self._chunk, room)  # after a space
-        self._first = _Memo(lambda chunk, _: self._chunk(chunk, False), room // 10)
+        self._mark = {mark: self._encode(mark) if mark else b"" for mark in ("", ",", ".")}
+        self._inner = _Memo(lambda chunk: self._chunk(chunk, " " if spaced else ""), room)  # after a space
+        self._first = _Memo(lambda chunk: self._chunk(chunk, ""), room // 10)
 
     def _encode(self, text: str) -> bytes:
         return array(self._code, self._library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunk(self, chunk: str, after_space: bool) -> bytes:
-        space = " " if after_space and self._spaced else ""
-        if not _LETTERS.fullmatch(chunk):
+    def _chunk(self, chunk: str, space: str) -> bytes:
+        match = _WORD.fullmatch(chunk)
+        if not match:
             return self._encode(space + chunk)
-        word = (space + chunk if self._spaced else chunk.lower()).encode()
-        return array(self._code, [t.id for t in self._model.tokenize("".join([_BYTE[b] for b in word]))]).tobytes()
+        word, mark = match.groups()
+        letters = (space + word if self._spaced else word.lower()).encode().decode("latin-1").translate(_BYTE)
+        return array(self._code, [t.id for t in self._tokenize(letters)]).tobytes() + self._mark[mark]
 
     def packed(self, text: str, end: int) -> bytes:
         """The ids of ``text``, then ``end``."""
@@ -81,7 +79,7 @@ class TextEncoder:
     def _ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             return self._encode(text)
         inner, first = self._inner.__getitem__, self._first.__getitem__
         if not self._spaced:
