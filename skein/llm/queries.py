@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, token_files
+from . import decontaminate, packing, quality_rules, secrets, token_files
 
-_MODULES = (token_files, packing, decontaminate)
+_MODULES = (secrets, token_files, packing, decontaminate, quality_rules)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
