@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, quality_rules, secrets, token_files
+from . import decontaminate, language, near_dup, packing, quality, quality_rules, secrets, token_files
 
-_MODULES = (secrets, token_files, quality, language, packing, decontaminate, quality_rules)
+_MODULES = (near_dup, secrets, token_files, quality, language, packing, decontaminate, quality_rules)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
