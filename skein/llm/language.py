@@ -111,7 +111,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     logits = np.array([(share * table[bucket]).sum(axis=0) for bucket, share, _ in aside], "f8")
     truth = np.array([k for *_, k in aside])
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
-    temperature = min((2.0**p for p in np.arange(-5, 5.25, 0.25)), key=lambda t: (loss(t), t))
+    temperature = min((2.0**p for p in np.arange(0, 5.25, 0.25)), key=lambda t: (loss(t), t))
     p = _softmax(logits / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     least = min(0.5, float(np.quantile(right, REJECTS)) * 0.9) if len(right) else 0.0

@@ -81,7 +81,7 @@ def scan(versions: DataFrame, ledger: str, key: str = "doc_id", text: str = "tex
     texts = rows.select("blob", F.col(key).alias("_key"), "_text")
     unseen = texts.join(firsts.withColumnRenamed("blob", "_blob").hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
     new = unseen.select("blob", F.lit(version).alias("rule_version"), all_spans(F.col("_text"), rules).alias("spans"))
-    new.write.mode("append").parquet(ledger)
+    new.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     found = spark.read.parquet(ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     return paths.join(found.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
