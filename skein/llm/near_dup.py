@@ -7,15 +7,15 @@ rarest that each retains: only those go into inverted lists. Candidates from the
 union-sketch estimate (the share of the union's bottom k that both retain) and then an exact
 comparison of the whole sets of both texts.
 
-Lists of many near copies don't give all their pairs: while the pairs between groups would be many,
-each list compares its members with one leader (of its largest group, another in each round), and
-what is linked becomes one group. At the end every pair of a list that is still in two groups
-is compared, so nothing is lost by the leaders.
+Long lists, of many near copies, don't give all their pairs: as long as that pays, each compares its
+members with one leader (of its largest group, another in each round), and what is linked becomes one
+group. At the end every pair of a list that is still in two groups is compared, so the leaders lose
+nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -31,8 +31,11 @@ from .components import components
 K = 32
 #: The chance that a pair at the threshold shares too few retained values, at most.
 MISS = 1e-6
-#: Pairs between groups, per list entry, up to which all are compared.
-EASY = 2
+#: Members from which on a list is led.
+LONG = 12
+#: Pairs between groups, per list entry, up to which all are compared, and the share of them that a
+#: round with leaders may leave if another is to follow.
+EASY, SLOW = 2, 0.7
 #: Bits of the sieve that spares documents nobody asks for their shuffle.
 SIEVE = 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -124,19 +127,17 @@ def sieve(wanted: DataFrame, name: str, key: Column) -> Column:
     return F.getbit(F.get(F.lit(np.array(held, np.int64)), (at % words).cast("int")), F.floor(at / words).cast("int")) == 1
 
 
-def _texts(docs: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """digest and text for each class in ``pairs``, from the class's first document."""
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+def _texts(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """digest and text for each class in ``wanted``, from the class's first document."""
     firsts = settle(classes.join(wanted, "digest").select("digest", "first"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.where(sieve(firsts, "first", F.col("key"))).join(firsts, F.col("key").eqNullSafe(F.col("first")))
+    found = rows.where(sieve(firsts, "first", F.col("key"))).join(firsts, F.col("key").eqNullSafe(F.col("first"))).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [_digest(shingles(t, size)) == d for d, t in zip(*(c.to_pylist() for c in batch.columns))]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    found = found.select("digest", "text")
     return settle(found.mapInArrow(run, found.schema).dropDuplicates(["digest"]))
 
 
@@ -163,38 +164,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, kind)
 
 
-def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int, percent: int, k: int) -> DataFrame | None:
+def _cells(lists: DataFrame, turn: int) -> DataFrame:
+    """For each value whose list still has several groups: c, open pairs between groups, and a leader of the largest group."""
+    groups = lists.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "n")).alias("lead"))
+    cells = groups.groupBy("value").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by(F.struct("lead", "label"), F.struct("c", "label")).alias("top"))
+    cells = cells.withColumn("open", (F.col("c") * F.col("c") - F.col("sq")) / 2).where("open > 0")
+    return cells.select("value", "open", F.col("top.label").alias("top"), F.col("top.lead.digest").alias("leader"), F.col("top.lead.n").alias("m"))
+
+
+def _led(lists: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Groups among the members of long lists, by comparing with leaders as long as that pays: (digest, label)."""
+    labels = settle(lists.select("digest").distinct().withColumn("label", F.col("digest")))
+    held, turn, before = None, 0, float("inf")
+    while True:
+        grouped = settle(lists.join(labels, "digest"))
+        cells = settle(_cells(grouped, turn))
+        open_pairs = cells.agg(F.sum("open")).first()[0] or 0
+        if open_pairs <= EASY * grouped.count() or open_pairs > SLOW * before:
+            return labels
+        held = held or texts(labels.select("digest"))
+        pairs = grouped.join(cells, "value").where("label <> top").where(_near_enough(F.col("m"), F.col("n"), percent))
+        pairs = pairs.select(F.col("leader").alias("a"), F.col("top").alias("la"), F.col("digest").alias("b"), F.col("label").alias("lb")).distinct()
+        labels = _joined(labels, components(near(pairs, held)))
+        # a list of one group has nothing left to compare, now or later
+        lists = grouped.join(cells.select("value"), "value", "left_semi").select("value", "digest", "n")
+        turn, before = turn + 1, open_pairs
+
+
+def _joined(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """``labels`` after the components of labels became one each."""
+    roots = roots.withColumnRenamed("node", "label")
+    return settle(labels.join(roots, "label", "left").select("digest", F.coalesce("root", "label").alias("label")))
+
+
+def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int, percent: int, k: int) -> DataFrame:
     """(digest, label) for the classes that have lists: classes of one label are linked."""
     short = settle(classes.select("digest", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short")))
-    lists = settle(_lists(classes, k, percent).withColumn("label", F.col("digest")))
-    number, turn, moved = lists.count(), 0, True
-    while number:
-        groups = lists.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "n")).alias("lead"))
-        cells = groups.groupBy("value").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by(F.struct("lead", "label"), F.struct("c", "label")).alias("top"))
-        cells = settle(cells.where("c * c > sq").select("value", "c", "sq", F.col("top.label").alias("top"), F.col("top.lead.digest").alias("leader"), F.col("top.lead.n").alias("m")))
-        open_pairs = cells.agg(F.sum((F.col("c") * F.col("c") - F.col("sq")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        last = not moved or open_pairs <= EASY * number
-        if last:
-            left = lists.join(cells.select("value"), "value")
-            one = left.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            two = left.select("value", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = one.join(two, "value").where("la < lb")
-        else:
-            pairs = lists.join(cells, "value").where("label <> top")
-            pairs = pairs.select(F.col("leader").alias("a"), F.col("m").alias("na"), F.col("top").alias("la"), F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = pairs.where(_near_enough(F.col("na"), F.col("nb"), percent)).select("a", "b", "la", "lb").distinct()
-        pairs = settle(_estimated(pairs, short, k, percent))
-        links = settle(_verified(pairs, _texts(docs, key, text, classes, pairs, size), size, percent))
-        moved = not links.isEmpty()
-        if moved:
-            roots = components(links).select(F.col("node").alias("label"), "root")
-            lists = settle(lists.join(roots, "label", "left").select("value", "digest", "n", F.coalesce("root", "label").alias("label")))
-        if last:
-            break
-        turn += 1
-    return lists.select("digest", "label").distinct()
+    lists = settle(_lists(classes, k, percent))
+    counts = settle(lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return _texts(docs, key, text, classes, wanted, size)
+
+    def near(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        return _verified(_estimated(pairs, short, k, percent), held, size, percent)
+
+    long = lists.join(counts.where(F.col("c") > LONG), "value").drop("c")
+    led = _led(settle(long), texts, near, percent)
+    labels = lists.select("digest").distinct().join(led, "digest", "left")
+    labels = settle(labels.select("digest", F.coalesce("label", "digest").alias("label")))
+    grouped = settle(lists.join(counts.select("value"), "value").join(labels, "digest"))
+    grouped = grouped.join(_cells(grouped, 0).select("value"), "value", "left_semi")
+    one = grouped.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    two = grouped.select("value", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = one.join(two, "value").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select("a", "b", "la", "lb").distinct()
+    pairs = settle(_estimated(pairs, short, k, percent))
+    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    return _joined(labels, components(_verified(pairs, texts(wanted), size, percent)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
