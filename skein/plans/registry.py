@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import spans
+from . import meetings, spans, streams, texts
 
-_MODULES = (spans,)
+_MODULES = (meetings, spans, texts, streams)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
