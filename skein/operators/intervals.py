@@ -209,3 +209,20 @@ def alone(spans: DataFrame, key: list[str], track: str = "track", least: int = 1
     inside = pairs.select(*key, track, F.greatest("s", "s_b").alias("s"), F.least("e", "e_b").alias("e"))
     left = subtract(own, inside, [*key, track])
     return left.groupBy(*key, track).agg(F.sum(length()).alias("alone_ms")).where(F.col("alone_ms") >= least)
+
+
+def placed(segments: DataFrame, busy: DataFrame, key: list[str], ident: list[str], length_ms: int = 6_000, step: int = 250) -> DataFrame:
+    """For each segment the window of ``length_ms`` inside it that shares least time with others' spans: window_s, window_e.
+
+    Windows lie ``step`` apart; ties go to the one nearest the segment's middle, then the earlier. A
+    shorter segment is its own window.
+    """
+    last = F.greatest(F.col("e") - length_ms, F.col("s"))
+    tries = segments.where("e > s").withColumn("window_s", F.explode(F.sequence(F.col("s"), last, F.lit(step).cast("long"))))
+    tries = tries.withColumn("window_e", F.least(F.col("window_s") + length_ms, F.col("e")))
+    shift = F.abs(F.col("window_s") + F.col("window_e") - F.col("s") - F.col("e"))
+    tries = tries.select(*key, *ident, shift.alias("shift"), F.col("window_s").alias("s"), F.col("window_e").alias("e"))
+    hit = overlapping(tries, merge(busy, key), key).groupBy(*key, *ident, "s").agg(F.sum(overlap(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b"))).alias("ms"))
+    scored = tries.join(hit, [*key, *ident, "s"], "left").withColumn("ms", F.coalesce("ms", F.lit(0)))
+    best = F.min(F.struct("ms", "shift", "s", "e")).alias("b")
+    return scored.groupBy(*key, *ident).agg(best).select(*key, *ident, F.col("b.s").alias("window_s"), F.col("b.e").alias("window_e"))

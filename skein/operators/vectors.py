@@ -179,3 +179,40 @@ def outliers(rows: DataFrame, key: list[str], ident: str, vector: str = "embeddi
         return frame.iloc[sorted(gone)][kind.names]
 
     return rows.groupBy(*key).applyInPandas(run, kind)
+
+
+def assignment(shared: np.ndarray) -> list[int | None]:
+    """For each row the column that makes the total shared time largest, each column once; nothing shared is never matched.
+
+    Over subsets of columns, so for the few tracks of neighbouring windows: 16 at most.
+    """
+    rows, columns = shared.shape
+    if columns > 16:
+        raise ValueError("more than 16 columns")
+    best: dict[int, tuple[int, tuple]] = {0: (0, ())}
+    for i in range(rows):
+        after: dict[int, tuple[int, tuple]] = {}
+        for used, (total, picks) in best.items():
+            for j in (None, *range(columns)):
+                if j is not None and (used >> j & 1 or shared[i, j] <= 0):
+                    continue
+                key = used if j is None else used | 1 << j
+                value = total + (0 if j is None else int(shared[i, j]))
+                if key not in after or value > after[key][0]:
+                    after[key] = (value, (*picks, j))
+        best = after
+    return list(max(best.values(), key=lambda x: x[0])[1])
+
+
+def matched(shared: DataFrame, key: list[str], row: str, column: str, value: str) -> DataFrame:
+    """``row`` and ``column`` of the best assignment of each key, from a table of shared times."""
+    kind = shared.select(*key, row, column).schema
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        table = frame.pivot_table(index=row, columns=column, values=value, aggfunc="sum", fill_value=0).sort_index()
+        picks = assignment(table.to_numpy())
+        pairs = [(table.index[i], table.columns[j]) for i, j in enumerate(picks) if j is not None]
+        out = pd.DataFrame(pairs, columns=[row, column])
+        return out.assign(**{k: frame[k].iloc[0] for k in key})[kind.names]
+
+    return shared.groupBy(*key).applyInPandas(run, kind)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
+from ..operators import vectors as L
 from ..sources.tables import SPANS, spans
 
 DAY = 86_400_000
@@ -83,12 +84,22 @@ def i16_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.alone(spans(spark, sf_dir), ["key"])
 
 
+def e4_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans(spark, sf_dir)
+    return I.placed(_track(rows, "view").where("e - s >= 3600000"), rows.where("track <> 'view'"), ["key"], ["event_id"], 1_800_000, 300_000)
+
+
+def l11_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of a user matched with the same user's tracks by shared time, each once."""
+    return L.matched(I.shared_time(spans(spark, sf_dir), ["key"]), ["key"], "track", "track_b", "shared_ms")
+
+
 def h3_island_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that each user is active in, over islands."""
     return I.merge(spans(spark, sf_dir), ["key"], GAP).groupBy("key").agg(F.count("*").alias("islands"), F.sum(I.length()).alias("active_ms"), F.max(I.length()).alias("longest_ms"))
 
 
-QUERIES = {f.__name__: f for f in (i2_merge, i3_subtract, i4_long_islands, i5_most_overlap, i6_nearest, i7_untouched, i8_covered, i9_shared_time, i10_elementary, i11_runs, i12_holes, i13_tidy, i14_packs, i16_alone, h3_island_of_each)}
+QUERIES = {f.__name__: f for f in (i2_merge, i3_subtract, i4_long_islands, i5_most_overlap, i6_nearest, i7_untouched, i8_covered, i9_shared_time, i10_elementary, i11_runs, i12_holes, i13_tidy, i14_packs, i16_alone, e4_placement, l11_assignment, h3_island_of_each)}
 
 
 def _merged(name: str, source: str, key: str, max_gap: int = 0) -> str:
@@ -145,5 +156,10 @@ cuts AS (SELECT a.id, a.key, a.track, unnest(list_sort(list_distinct(list_concat
 parts AS (SELECT id, key, track, p AS s, lead(p) OVER (PARTITION BY id ORDER BY p) AS e FROM cuts)
 SELECT key, track, sum(e - s)::BIGINT AS alone_ms FROM parts a WHERE e IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m b WHERE b.key = a.key AND b.track <> a.track AND b.s < a.e AND a.s < b.e)
 GROUP BY key, track HAVING sum(e - s) >= 1000""",
+    "e4_placement": f"""WITH {SPANS}, {_merged('busy', "SELECT * FROM spans WHERE track <> 'view'", 'key')}, v AS (SELECT * FROM spans WHERE track = 'view' AND e - s >= 3600000),
+w AS (SELECT event_id, key, s, e, unnest(range(s, e - 1800000 + 1, 300000)) AS ws FROM v),
+o AS (SELECT w.event_id, w.key, ws, any_value(abs(2 * ws + 1800000 - w.s - w.e)) AS shift, coalesce(sum(least(ws + 1800000, b.e) - greatest(ws, b.s)) FILTER (b.key IS NOT NULL), 0) AS ms
+  FROM w LEFT JOIN busy b ON b.key = w.key AND b.s < ws + 1800000 AND ws < b.e GROUP BY ALL)
+SELECT key, event_id, ws AS window_s, ws + 1800000 AS window_e FROM o QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ms, shift, ws) = 1""",
     "h3_island_of_each": f"WITH {SPANS}, {_merged('m', 'SELECT * FROM spans', 'key', GAP)} SELECT key, count(*) AS islands, sum(e - s)::BIGINT AS active_ms, max(e - s) AS longest_ms FROM m GROUP BY key",
 }

@@ -142,6 +142,17 @@ def test_vectors(spark):
     assert vectors.silhouette(labelled, ["meeting"]).first().silhouette > 0.9
 
 
+def test_assignment_is_the_best_over_all_permutations():
+    from itertools import permutations
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        shared = rng.integers(0, 9, (4, 4)) * rng.integers(0, 2, (4, 4))
+        picks = vectors.assignment(shared)
+        assert sum(shared[i, j] for i, j in enumerate(picks) if j is not None) == max(sum(shared[i, p] for i, p in enumerate(perm)) for perm in permutations(range(4)))
+        assert all(j is None or shared[i, j] > 0 for i, j in enumerate(picks))
+
+
 def test_signal(spark):
     assert one(spark, signal.envelope(F.array(*[F.lit(float(x)) for x in (3, 4, 0, 0, 6)]), 2, 2)) == pytest.approx([math.sqrt(12.5), 0.0])
     assert one(spark, signal.mix(F.array(F.lit(0.9), F.lit(-0.1)), F.array(F.lit(0.9)))) == pytest.approx([1.0, -0.1 / 1.8])
