@@ -22,7 +22,7 @@ from .language import fold
 SAMPLE = 8_000
 TREES, DEPTH, LEAF = 40, 3, 8
 LASSO = 0.002
-STATISTICS = ("words", "word_length", "distinct", "echo", "upper", "digits", "symbols", "marks", "lines", "line_copies", "long_words", "spread")
+STATISTICS = ("words", "word_length", "distinct", "stutter", "upper", "digits", "symbols", "marks", "lines", "line_copies", "long_words", "spread")
 _UPPER, _DIGITS, _SYMBOLS, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>@~^{}[]\\/_=+", b"!?"
 
 
@@ -40,9 +40,9 @@ def statistics(text: str | None) -> tuple[float, ...]:
     kinds = set(found)
     lines = [line for line in data.split(b"\n") if line.strip()]
     lengths = np.fromiter(map(len, found), np.int64, n)
-    echo = sum(map(bytes.__eq__, found[1:], found)) / n
+    stutter = sum(map(bytes.__eq__, found[1:], found)) / n
     return (
-        float(n), float(lengths.mean()), len(kinds) / n, echo, _share(data, _UPPER), _share(data, _DIGITS), _share(data, _SYMBOLS), _share(data, _MARKS),
+        float(n), float(lengths.mean()), len(kinds) / n, stutter, _share(data, _UPPER), _share(data, _DIGITS), _share(data, _SYMBOLS), _share(data, _MARKS),
         len(lines) / n, 1 - len(set(lines)) / len(lines), float((lengths > 15).mean()), float(lengths.std()),
     )
 
