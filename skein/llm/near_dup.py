@@ -7,10 +7,11 @@ rarest that each retains: only those go into inverted lists. Candidates from the
 union-sketch estimate (the share of the union's bottom k that both retain) and then an exact
 comparison of the whole sets of both texts.
 
-Long lists, of many near copies, don't give all their pairs: as long as that pays, each compares its
-members with one leader (of its largest group, another in each round), and what is linked becomes one
-group. At the end every pair of a list that is still in two groups is compared, so the leaders lose
-nothing.
+Long lists, of many near copies, don't give all their pairs. Members with too many shingles of their
+own to be near any other leave them, by exact counts over all members. Then, as long as that pays,
+each list compares its members with one leader (of its largest group, another in each round), and what
+is linked becomes one group. At the end every pair of a list that is still in two groups is
+compared, so the leaders lose nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import annotate, documents, settle
 from .components import components
@@ -89,16 +90,16 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, k: int) -> DataFra
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """value, digest, n: each class under its rarest retained values that others retain too."""
-    entries = classes.select("digest", "n", F.explode("sketch").alias("value"))
+    """value, id, n: each class under its rarest retained values that others retain too."""
+    entries = classes.select("id", "n", F.explode("sketch").alias("value"))
     counts = entries.groupBy("value").count().where("count > 1")
     whole = k * percent // 100  # up to this size, both sets of a pair are retained whole
     least = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(shared_at_least(k, percent)))
     kept = F.least(F.col("n"), F.lit(k))
-    shared = entries.join(counts, "value").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("shared"))
+    shared = entries.join(counts, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("shared"))
     # the values that no other class retains are the rarest and stand first
     room = (kept - least + 1) - (kept - F.size("shared"))
-    return shared.where(room > 0).select("digest", "n", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("s")).select("s.value", "digest", "n")
+    return shared.where(room > 0).select("id", "n", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("s")).select("s.value", "id", "n")
 
 
 def _near_enough(a: Column, b: Column, percent: int) -> Column:
@@ -107,8 +108,8 @@ def _near_enough(a: Column, b: Column, percent: int) -> Column:
 
 def _estimated(pairs: DataFrame, short: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose union sketch allows the similarity; exact where both sets are retained whole."""
-    both = pairs.join(short.select(F.col("digest").alias("a"), F.col("short").alias("sa")), "a")
-    both = both.join(short.select(F.col("digest").alias("b"), F.col("short").alias("sb")), "b")
+    both = pairs.join(short.select(F.col("id").alias("a"), F.col("short").alias("sa")), "a")
+    both = both.join(short.select(F.col("id").alias("b"), F.col("short").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     agree = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb"))
     least = F.least(F.lit(shared_at_least(k, percent)), F.ceil(F.size(union) * percent / 100))
@@ -128,23 +129,28 @@ def sieve(wanted: DataFrame, name: str, key: Column) -> Column:
 
 
 def _texts(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """digest and text for each class in ``wanted``, from the class's first document."""
-    firsts = settle(classes.join(wanted, "digest").select("digest", "first"))
+    """id and text for each class in ``wanted``, from the class's first document."""
+    firsts = settle(classes.join(wanted, "id").select("id", "digest", "first"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.where(sieve(firsts, "first", F.col("key"))).join(firsts, F.col("key").eqNullSafe(F.col("first"))).select("digest", "text")
+    found = rows.where(sieve(firsts, "first", F.col("key"))).join(firsts, F.col("key").eqNullSafe(F.col("first"))).select("id", "text", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows of one key are in one task, but for a broadcast join, where a second text only costs time
         for batch in batches:
-            same = [_digest(shingles(t, size)) == d for d, t in zip(*(c.to_pylist() for c in batch.columns))]
-            yield batch.filter(pa.array(same, pa.bool_()))
+            keep = []
+            for one, value, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                keep.append(one not in seen and _digest(shingles(value, size)) == digest)
+                if keep[-1]:
+                    seen.add(one)
+            yield batch.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    return settle(found.mapInArrow(run, found.schema).dropDuplicates(["digest"]))
+    return settle(found.mapInArrow(run, found.select("id", "text").schema))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs' labels (a, b) where the whole sets are similar enough."""
-    both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb")
     kind = both.select("a", "b").schema
 
@@ -166,40 +172,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def _cells(lists: DataFrame, turn: int) -> DataFrame:
     """For each value whose list still has several groups: c, open pairs between groups, and a leader of the largest group."""
-    groups = lists.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "n")).alias("lead"))
+    groups = lists.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("lead"))
     cells = groups.groupBy("value").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by(F.struct("lead", "label"), F.struct("c", "label")).alias("top"))
     cells = cells.withColumn("open", (F.col("c") * F.col("c") - F.col("sq")) / 2).where("open > 0")
-    return cells.select("value", "open", F.col("top.label").alias("top"), F.col("top.lead.digest").alias("leader"), F.col("top.lead.n").alias("m"))
+    return cells.select("value", "open", F.col("top.label").alias("top"), F.col("top.lead.id").alias("leader"), F.col("top.lead.n").alias("m"))
 
 
 def _led(lists: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Groups among the members of long lists, by comparing with leaders as long as that pays: (digest, label)."""
-    labels = settle(lists.select("digest").distinct().withColumn("label", F.col("digest")))
+    """Groups among the members of long lists, by comparing with leaders as long as that pays: (id, label)."""
+    labels = settle(lists.select("id").distinct().withColumn("label", F.col("id")))
     held, turn, before = None, 0, float("inf")
     while True:
-        grouped = settle(lists.join(labels, "digest"))
+        grouped = settle(lists.join(labels, "id"))
         cells = settle(_cells(grouped, turn))
         open_pairs = cells.agg(F.sum("open")).first()[0] or 0
         if open_pairs <= EASY * grouped.count() or open_pairs > SLOW * before:
             return labels
-        held = held or texts(labels.select("digest"))
+        held = held or texts(labels.select("id"))
         pairs = grouped.join(cells, "value").where("label <> top").where(_near_enough(F.col("m"), F.col("n"), percent))
-        pairs = pairs.select(F.col("leader").alias("a"), F.col("top").alias("la"), F.col("digest").alias("b"), F.col("label").alias("lb")).distinct()
+        pairs = pairs.select(F.col("leader").alias("a"), F.col("top").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
         labels = _joined(labels, components(near(pairs, held)))
         # a list of one group has nothing left to compare, now or later
-        lists = grouped.join(cells.select("value"), "value", "left_semi").select("value", "digest", "n")
+        lists = grouped.join(cells.select("value"), "value", "left_semi").select("value", "id", "n")
         turn, before = turn + 1, open_pairs
 
 
 def _joined(labels: DataFrame, roots: DataFrame) -> DataFrame:
     """``labels`` after the components of labels became one each."""
     roots = roots.withColumnRenamed("node", "label")
-    return settle(labels.join(roots, "label", "left").select("digest", F.coalesce("root", "label").alias("label")))
+    return settle(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
 
 
 def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int, percent: int, k: int) -> DataFrame:
-    """(digest, label) for the classes that have lists: classes of one label are linked."""
-    short = settle(classes.select("digest", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short")))
+    """(id, label) for the classes that have lists: classes of one label are linked."""
+    short = settle(classes.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short")))
     lists = settle(_lists(classes, k, percent))
     counts = settle(lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"))
 
@@ -209,20 +215,45 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
     def near(pairs: DataFrame, held: DataFrame) -> DataFrame:
         return _verified(_estimated(pairs, short, k, percent), held, size, percent)
 
-    long = lists.join(counts.where(F.col("c") > LONG), "value").drop("c")
-    led = _led(settle(long), texts, near, percent)
-    labels = lists.select("digest").distinct().join(led, "digest", "left")
-    labels = settle(labels.select("digest", F.coalesce("label", "digest").alias("label")))
-    grouped = settle(lists.join(counts.select("value"), "value").join(labels, "digest"))
+    long = settle(lists.join(counts.where(F.col("c") > LONG), "value").drop("c"))
+    held = texts(long.select("id").distinct())
+    long = settle(_plausible(long, _shared(held, size), percent))
+    led = _led(long.drop("u"), lambda _: held, near, percent)
+    labels = lists.select("id").distinct().join(led, "id", "left")
+    labels = settle(labels.select("id", F.coalesce("label", "id").alias("label")))
+    few = lists.join(counts.where(F.col("c") <= LONG).select("value"), "value").withColumn("u", F.col("n"))
+    grouped = settle(few.unionByName(long).join(labels, "id"))
     grouped = grouped.join(_cells(grouped, 0).select("value"), "value", "left_semi")
-    one = grouped.select("value", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = grouped.select("value", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = one.join(two, "value").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select("a", "b", "la", "lb").distinct()
+    one = grouped.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("label").alias("la"))
+    two = grouped.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("label").alias("lb"))
+    fits = _near_enough(F.col("na"), F.col("nb"), percent) & (F.least("ua", "ub") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    pairs = one.join(two, "value").where("la < lb").where(fits).select("a", "b", "la", "lb").distinct()
     pairs = settle(_estimated(pairs, short, k, percent))
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     return _joined(labels, components(_verified(pairs, texts(wanted), size, percent)))
 
 
+def _shared(held: DataFrame, size: int) -> DataFrame:
+    """For each of the texts how many of its shingles no other has: (id, own). Shingles count by 32 bits of theirs, so own is never too high."""
+    kind = StructType([held.schema["id"], StructField("v", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [(shingles(t, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32()))], names=kind.names)
+
+    each = held.mapInArrow(run, kind).select("id", F.explode("v").alias("v"))
+    return each.groupBy("v").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _plausible(long: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Entries of long lists with ``u``, the shingles shared with any other member of a long list, as far as those suffice for the list's smallest partner."""
+    shared = long.join(own, "id", "left").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    low = long.groupBy("value").agg(F.min("n").alias("low"))
+    partner = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    return shared.join(low, "value").where(F.col("u") * (100 + percent) >= (F.col("n") + partner) * percent).drop("low")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """key, n_shingles, component_id and kept for each row of ``docs``.
 
@@ -233,9 +264,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     component's. Other columns are ignored; an empty table gives an empty result.
     """
     rows = settle(sketches(docs, key, text, size, k))
-    classes = settle(rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = settle(rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
     labels = _linked(docs, key, text, classes, size, percent, k)
-    rooted = classes.select("digest", "first").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    rooted = classes.select("id", "digest", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     rooted = settle(rooted)
     ends = rooted.groupBy("label").agg(F.min("first").alias("component_id"))
     named = rooted.join(ends, "label").select("digest", "component_id")

@@ -51,6 +51,7 @@ def test_near_duplicates_of_many_near_copies(spark, monkeypatch):
     words = prose(9, 60).split()
     rows = [(i, " ".join(w if (i * 7 + k * k * (i % 5 + 1)) % 29 > 3 else f"w{i}x{k}" for k, w in enumerate(words))) for i in range(60)]
     monkeypatch.setattr(near_dup, "EASY", 0)
+    monkeypatch.setattr(near_dup, "LONG", 1)
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 2)
 
