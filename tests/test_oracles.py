@@ -1,9 +1,10 @@
 """Every query of the engine against its SQL in DuckDB, over the smallest driver tables."""
 
-import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from skein.plans import registry
@@ -21,14 +22,16 @@ def tables():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return "None"
+    if isinstance(value, float) and value.is_integer():
+        return str(int(value))  # whole numbers beside nulls
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple(plain(v.item() if hasattr(v, "item") else v) for v in r) for r in frame.itertuples(index=False, name=None))
+    return list(frame.columns), sorted(tuple(plain(v.item() if isinstance(v, np.generic) else v) for v in r) for r in frame.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
