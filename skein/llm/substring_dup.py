@@ -3,8 +3,13 @@
 A text falls into units at line ends and at ends of sentences, so a passage pasted into the middle of a
 line still shares its inner units. Units are normalised (case, white space, marks at the end) and
 hashed to 64 bits. Over all documents each digest's earliest unit, by key, row and place, stays; other
-units of that digest go if they stand in a run of such units of enough words. Offsets are those of
-the original text, in code points.
+units of that digest go if they stand in a run of such units of enough words.
+
+A passage that is pasted within sentences, or is one long sentence, has few whole units or none. So
+stretches of 20 words are hashed too, wherever they start. First a few are chosen by their content
+(winnowing: the least hash of each 21 neighbours), such that every stretch of 40 words has one and
+equal stretches have the same; around the chosen ones that occur twice, all are compared. Those with
+an earlier occurrence go. Offsets are those of the original text, in code points.
 """
 
 from __future__ import annotations
@@ -15,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -25,7 +29,10 @@ from .near_dup import sieve
 
 #: Words of a run of repeated units from which on it is removed.
 LEAST = 20
+#: Neighbouring stretches of LEAST words of which one is chosen: repeats of LEAST + NEAR - 1 = 40 words cannot be missed.
+NEAR = 21
 _UNIT = re.compile(r"[^.!?\n]+")
+_WORD = re.compile(r"[^\s.!?]+")
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, int]]:
@@ -41,47 +48,166 @@ def units(text: str) -> Iterator[tuple[int, int, int, int]]:
             yield start, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"))
 
 
-def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each unit: key, row (one number for each row of ``docs``), unit, start, end, words, digest."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    ints = [StructField(n, IntegerType()) for n in ("unit", "start", "end", "words")]
-    kind = StructType([StructField("key", rows.schema["key"].dataType), StructField("row", LongType()), *ints, StructField("digest", LongType())])
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, row (one number for each row of ``docs``) and text."""
+    return docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """A row for each unit: key, row, unit, word (the place of its first), start, end, words, digest."""
+    ints = [StructField(n, IntegerType()) for n in ("unit", "word", "start", "end", "words")]
+    kind = StructType([*rows.schema.fields[:2], *ints, StructField("digest", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, 2, 4 << 20):
+                out, at = [], []
+                for k, value in enumerate(part.column(2).to_pylist()):
+                    word = 0
+                    for i, u in enumerate(units(value) if value else ()):
+                        out.append((i, word, *u))
+                        at.append(k)
+                        word += u[2]
+                if out:
+                    *places, digest = zip(*out)
+                    arrays = [*[pa.array(c, pa.int32()) for c in places], pa.array(np.array(digest, np.uint64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in part.columns[:2]), *arrays], names=kind.names)
+
+    return rows.mapInArrow(run, kind)
+
+
+class _Words(dict):
+    """Word to the hash of its lower case; keeps the first ``room``."""
+
+    def __init__(self, room: int = 200_000):
+        self._room = room
+
+    def __missing__(self, word: str) -> int:
+        found = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
+        if len(self) < self._room:
+            self[word] = found
+        return found
+
+
+def stretches(words: list[str], memo: _Words, least: int) -> np.ndarray:
+    """The digest of each stretch of ``least`` words, by its first word."""
+    n = len(words) - least + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for j, by in enumerate(np.random.default_rng(4).integers(1 << 62, size=least, dtype=np.uint64) * np.uint64(2) + np.uint64(1)):
+        out += each[j : j + n] * by
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(29)
+
+
+def chosen(digests: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """The places of the first least digest of each ``near`` neighbours, of all if they are fewer."""
+    if not len(digests):
+        return np.empty(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(digests, min(near, len(digests)))
+    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+
+
+def _anchors(rows: DataFrame, least: int) -> DataFrame:
+    """row, word and digest of each chosen stretch."""
+    kind = StructType([rows.schema["row"], StructField("word", IntegerType()), StructField("digest", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
+                found = [stretches(_WORD.findall(v), memo, least) if v else np.empty(0, np.uint64) for v in part.column(1).to_pylist()]
+                places = [chosen(f) for f in found]
+                at = np.repeat(np.arange(len(found)), [len(p) for p in places])
+                if len(at):
+                    digest = np.concatenate([f[p] for f, p in zip(found, places)]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(np.concatenate(places), pa.int32()), pa.array(digest)], names=kind.names)
+
+    return rows.select("row", "text").mapInArrow(run, kind)
+
+
+def _around(rows: DataFrame, least: int) -> DataFrame:
+    """key, row, word, start, end and digest of each stretch near one of the places in ``near``."""
+    ints = [StructField(n, IntegerType()) for n in ("word", "start", "end")]
+    kind = StructType([*rows.schema.fields[:2], *ints, StructField("digest", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for batch in batches:
+            for part in slices(batch, 2, 1 << 20):
                 out, at = [], []
-                for k, value in enumerate(part.column(1).to_pylist()):
-                    found = list(units(value)) if value else []
-                    out += [(row, i, *u) for i, u in enumerate(found)]
-                    at += [k] * len(found)
-                    row += 1
+                for k, (value, near) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    found = list(_WORD.finditer(value))
+                    digests = stretches([m.group() for m in found], memo, least)
+                    step = np.zeros(len(digests) + 1, np.int64)
+                    np.add.at(step, np.maximum(np.array(near) - NEAR + 1, 0), 1)
+                    np.add.at(step, np.minimum(np.array(near) + NEAR, len(digests)), -1)
+                    word = np.flatnonzero(step.cumsum()[:-1])
+                    starts, ends = np.array([m.span() for m in found], np.int32).T
+                    out.append((word, starts[word], ends[word + least - 1], digests[word].view(np.int64)))
+                    at.append(np.full(len(word), k))
                 if out:
-                    r, i, start, end, words, digest = zip(*out)
-                    arrays = [pa.array(r, pa.int64()), *[pa.array(c, pa.int32()) for c in (i, start, end, words)], pa.array(np.array(digest, np.uint64).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *arrays], names=kind.names)
+                    arrays = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(np.concatenate(at))) for c in part.columns[:2]), *arrays], names=kind.names)
 
     return rows.mapInArrow(run, kind)
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """Rows of ``found`` whose digest occurs earlier, by key, row and start; with ``first``, where."""
+    place = F.struct(F.col("key").isNotNull().alias("keyed"), "key", "row", "start", "end")
+    firsts = settle(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first"))
+    repeated = found.where(sieve(firsts, "digest", F.col("digest"))).join(firsts, "digest")
+    return repeated.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+
+
+def _runs(rows: DataFrame, least: int) -> DataFrame:
+    """Runs of repeated units: key, row, word, start, end, n_words and first (of the first unit)."""
+    repeated = _later(settle(hashed(rows)))
+    run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
+    spans = repeated.withColumn("run", run).groupBy("row", "run").agg(
+        F.first("key").alias("key"), F.min("word").alias("word"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min_by("first", "unit").alias("first"),
+    )
+    return spans.where(F.col("n_words") >= least).drop("run")
+
+
+def _named(spans: DataFrame, key: str) -> DataFrame:
+    return spans.select(F.col("key").alias(key), "row", "start", "end", "n_words", F.col("first.key").alias("kept_key"), F.col("first.start").alias("kept_start"))
+
+
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """A row for each removed span: key, row, start, end, n_words, kept_key and kept_start (of its first unit).
+    """By units alone, a row for each removed span: key, row, start, end, n_words, kept_key and kept_start (of its first unit).
 
     Null and empty texts have no units; null keys rank first. Of repeated rows one keeps its text. Other
     columns are ignored; an empty table gives an empty result.
     """
-    found = settle(hashed(docs, key, text))
-    place = F.struct(F.col("key").isNotNull().alias("keyed"), "key", "row", "start")
-    firsts = settle(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first"))
-    repeated = found.where(sieve(firsts, "digest", F.col("digest"))).join(firsts, "digest")
-    repeated = repeated.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
-    run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
-    spans = repeated.withColumn("run", run).groupBy("row", "run").agg(
-        F.first("key").alias("key"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min_by("first", "unit").alias("first"),
+    return _named(_runs(numbered(docs, key, text), least), key)
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """As :func:`removals`, by units and by stretches of words: spans that touch are one, with the kept place of its first part.
+
+    A stretch goes unless it overlaps its own first occurrence.
+    """
+    rows = settle(numbered(docs, key, text))
+    anchors = settle(_anchors(rows, least))
+    twice = settle(anchors.groupBy("digest").count().where("count > 1").select("digest"))
+    near = anchors.where(sieve(twice, "digest", F.col("digest"))).join(twice, "digest").groupBy("row").agg(F.collect_list("word").alias("near"))
+    near = settle(near)
+    found = settle(_around(rows.where(sieve(near, "row", F.col("row"))).join(near, "row").select("key", "row", "text", "near"), least))
+    words = _later(found).where((F.col("row") != F.col("first.row")) | (F.col("start") >= F.col("first.end")))
+    parts = words.select("key", "row", "word", (F.col("word") + least).alias("after"), "start", "end", "first")
+    units_ = _runs(rows, least)
+    parts = parts.unionByName(units_.select("key", "row", "word", (F.col("word") + F.col("n_words")).cast("int").alias("after"), "start", "end", "first"))
+    order = Window.partitionBy("row").orderBy("word", "after")
+    opens = F.col("word") > F.coalesce(F.max("after").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    parts = parts.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parts.groupBy("row", "run").agg(
+        F.first("key").alias("key"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("after") - F.min("word")).cast("long").alias("n_words"), F.min_by("first", F.struct("word", "after")).alias("first"),
     )
-    out = spans.where(F.col("n_words") >= least)
-    return out.select(F.col("key").alias(key), "row", "start", "end", "n_words", F.col("first.key").alias("kept_key"), F.col("first.start").alias("kept_start"))
+    return _named(spans, key)
 
 
 def cut(text: Column, spans: Column) -> Column:
@@ -101,7 +227,7 @@ def cleaned(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str =
 
 def op4_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all documents that repeat earlier text, of 20 words or more."""
-    found = removals(documents(spark, sf_dir))
+    found = repeats(documents(spark, sf_dir))
     return found.select("doc_id", "start", "end", "n_words", F.col("kept_key").alias("kept_doc_id"), "kept_start")
 
 

@@ -111,6 +111,50 @@ def test_repeated_passages_of_nothing(nothing):
     assert substring_dup.removals(nothing).count() == 0
 
 
+def word_spans(text):
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\s.!?]+", text or "")]
+
+
+def test_passages_without_whole_units(spark):
+    """Pasted within sentences, of sentences that come to few words, or one long sentence: all words of each passage go, and no others."""
+    long, short = prose(21, 52).replace(".", ","), " ".join(prose(22, 60).replace(".", "").split()[:45])
+    cut = short.replace(" ", ". ", 1)[::-1].replace(" ", " .", 1)[::-1]
+    rows = [(1, f"Alpha beta {long} gamma delta. Then."), (2, f"{prose(23, 30)} epsilon {long.upper()} zeta"), (3, f"eta {cut} theta"), (4, f"iota\n{cut} kappa"), (5, prose(24, 80)), (6, None), (None, "")]
+    found = substring_dup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: (dict(rows)[r.doc_id][r.start : r.end].lower().strip(".,"), r.n_words, r.kept_key) for r in found}
+    assert got == {2: (long.strip(".,"), 52, 1), 4: (cut.lower(), 45, 3)} and len(found) == 2
+
+
+def test_passages_against_brute_force(docs, spark):
+    """Every word of a stretch of 40 words that an earlier document holds goes; every word that goes lies in a repeated unit or stretch of 20."""
+    import random
+
+    rng, pool = random.Random(5), [prose(s, 60) for s in range(30, 36)]
+    rows = []
+    for i in range(60):
+        words = rng.choice(pool).split()
+        a = rng.randrange(20)
+        rows.append((i, f"{prose(100 + i, 25)} {' '.join(words[a : a + rng.randrange(20, 60)])} {prose(200 + i, 25)}"))
+    found = substring_dup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {(r.doc_id, k) for r in found for k, (s, e, _) in enumerate(word_spans(dict(rows)[r.doc_id])) if r.start <= s and e <= r.end}
+    held = {20: set(), 40: set()}
+    must, may = set(), set()
+    for i, text in rows:
+        words = [w for *_, w in word_spans(text)]
+        for n, marked in ((40, must), (20, may)):
+            mine = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+            marked |= {(i, k + j) for k, g in enumerate(mine) if g in held[n] for j in range(n)}
+            held[n] |= set(mine)
+    units = {(r.doc_id, k) for r in substring_dup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect() for k, (s, e, _) in enumerate(word_spans(dict(rows)[r.doc_id])) if r.start <= s and e <= r.end}
+    assert must and must <= gone and gone <= may | units
+    assert sum(r.n_words for r in found) == len(gone)
+    assert substring_dup.repeats(docs).count() > 0
+
+
+def test_passages_of_nothing(nothing):
+    assert substring_dup.repeats(nothing).count() == 0
+
+
 ITEMS = [(1, prose(1, 200)[:400]), (2, "one two"), (2, "one two"), (3, None), (4, "..."), (None, "one"), (5, prose(8, 30)), (6, "Sorum")]
 
 
