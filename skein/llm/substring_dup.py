@@ -37,10 +37,7 @@ _WORD = re.compile(r"[^\s.!?]+")
 
 def units(text: str) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, words, digest) of each unit with a word; end includes the marks after it."""
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change length in lower case: offsets come first
-        low = text
-    found = [(m.start(), m.end(), m.group().split()) for m in _UNIT.finditer(low)]
+    found = [(m.start(), m.end(), m.group().lower().split()) for m in _UNIT.finditer(text)]  # lower case may be longer
     for (start, end, words), after in zip(found, [*(f[0] for f in found[1:]), len(text)]):
         if words:
             while end < after and text[end] in ".!?":

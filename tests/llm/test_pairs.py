@@ -111,6 +111,15 @@ def test_repeated_passages_of_nothing(nothing):
     assert substring_dup.removals(nothing).count() == 0
 
 
+def test_letters_that_grow_in_lower_case(spark):
+    """They leave other sentences, and offsets, as they are."""
+    passage = " ".join(w.capitalize() for w in prose(13, 70).split())
+    rows = [(1, f"Start. {passage} End."), (2, f"\u0130zmir \u0130. {passage} Fin.")]
+    found = substring_dup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, rows[1][1][r.start : r.end].strip(), r.n_words) for r in found] == [(2, passage, 70)]
+    assert [u[3] for u in substring_dup.units("X \u0130 Y")] == [u[3] for u in substring_dup.units("x i\u0307 y")]
+
+
 def word_spans(text):
     return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\s.!?]+", text or "")]
 
