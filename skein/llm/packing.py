@@ -3,9 +3,11 @@
 Documents are tokenised where they lie; only lengths and checksums travel. Pieces are dealt at random
 into groups of a bounded number, so a group's sizes are spread as the whole table's, and each group
 is packed by itself, filling all but its last sequences. In a group, best-fit decreasing is the first
-incumbent. If the waste bound (total size over capacity) leaves room for fewer sequences, branch and
-bound goes over bin completions: the largest piece opens a sequence, the undominated fillings around
-it are tried by rising waste, and a branch ends when its waste leaves no better result.
+incumbent. If the waste bound (total size over capacity) leaves room for fewer sequences, the pieces
+of the worst-filled sequences, with others up to a bounded lot, go through a branch and bound over
+bin completions: the largest piece opens a sequence, the fillings around it are tried by rising
+waste, and a branch ends when its waste leaves no better result. Lots follow while the effort lasts
+and the sequences are more than the bound.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ END = 1
 GROUP = 10_000
 #: Sizes that the branch and bound of one group looks at, all in all.
 EFFORT = 1_000_000
+#: Pieces in a lot, about, and the lots that an effort is meant to last for.
+LOT, LOTS = 60, 10
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -56,10 +60,11 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def completions(room: int, counts: Counter, effort: int = EFFORT, width: int = 64) -> tuple[list[tuple[int, ...]], int]:
-    """Undominated fillings of ``room`` from sizes in ``counts``, by rising waste, and the effort spent.
+    """Fillings of ``room`` from sizes in ``counts``, by rising waste, and the effort spent.
 
-    One filling dominates another if its pieces hold the other's, packed into them. Fillings that no
-    further piece fits are enumerated, large pieces first, as far as the effort goes.
+    One filling dominates another if its pieces hold the other's, packed into them; of the first
+    4 * ``width`` the dominated are left out. Fillings that no further piece fits are enumerated,
+    large pieces first, as far as the effort goes.
     """
     sizes = sorted((s for s in counts if s <= room and counts[s] > 0), reverse=True)
     found, stack, spent = set(), [(0, room, ())], 0
@@ -71,8 +76,9 @@ def completions(room: int, counts: Counter, effort: int = EFFORT, width: int = 6
         if not fits:
             found.add(chosen)
         stack += [(i, left - sizes[i], (*chosen, sizes[i])) for i in reversed(fits) if i >= first]
-    ranked = sorted(found, key=lambda c: (room - sum(c), len(c)))[: 4 * width]
-    return [c for i, c in enumerate(ranked) if not any(_dominates(d, c) for d in ranked[:i])][:width], spent
+    ranked = sorted(found, key=lambda c: (room - sum(c), len(c), c))
+    head = ranked[: 4 * width]
+    return [c for i, c in enumerate(head) if not any(_dominates(d, c) for d in head[:i])] + ranked[4 * width :], spent
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -89,42 +95,67 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
-    """Places into ``sizes``, by sequence; as few sequences as the effort finds, the best fit at worst."""
-    incumbent = best_fit(sizes, capacity)
-    bound = -(-sum(sizes) // capacity)
-    if len(incumbent) <= bound:
-        return incumbent
-    best = [[sizes[i] for i in b] for b in incumbent]
-    counts, total, left = Counter(sizes), sum(sizes), effort
-    stack = [(counts, total, 0, None)]  # (pieces left, their size, sequences used, the chain of fillings)
-    while stack and left > 0:
-        counts, rest, used, chain = stack.pop()
-        if not rest:
-            if used < len(best):
-                best = []
-                while chain:
-                    filling, chain = chain
-                    best.append(list(filling))
-                if used <= bound:
-                    break
-            continue
-        if used + -(-rest // capacity) >= len(best):
-            continue
-        largest = max(s for s, n in counts.items() if n)
-        around = counts.copy()
-        around[largest] -= 1
+def search(sizes: list[int], most: int, capacity: int, effort: int) -> tuple[list[list[int]] | None, int]:
+    """Fewer than ``most`` sequences of ``sizes``, as few as the effort finds (None if none), and the effort spent."""
+    best, bound, left = None, -(-sum(sizes) // capacity), effort
+
+    def node(counts: Counter, rest: int, used: int, chain):
+        """What a sequence opened by the largest piece may hold, as the nodes after it."""
+        nonlocal left
+        largest = max(counts)
+        around = counts - Counter([largest])
         options, spent = completions(capacity - largest, around, min(left, effort // 20))
         left -= spent + len(counts)
-        for option in reversed(options):
-            after = around.copy()
-            after.subtract(option)
-            filling = (largest, *option)
-            stack.append((+after, rest - sum(filling), used + 1, (filling, chain)))
-    places: dict[int, list[int]] = {}
-    for i, s in enumerate(sizes):
-        places.setdefault(s, []).append(i)
-    return [[places[s].pop() for s in b] for b in best]
+        for option in options:
+            yield around - Counter(option), rest - largest - sum(option), used + 1, ((largest, *option), chain)
+
+    stack = [iter([(Counter(sizes), sum(sizes), 0, None)])]
+    while stack and left > 0 and most > bound:
+        at = next(stack[-1], None)
+        if at is None:
+            stack.pop()
+            continue
+        left -= 1
+        _, rest, used, chain = at
+        if used + -(-rest // capacity) >= most:
+            continue
+        if rest:
+            stack.append(node(*at))
+            continue
+        most, best = used, []
+        while chain:
+            filling, chain = chain
+            best.append(list(filling))
+    return best, effort - left
+
+
+def pack(sizes: list[int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
+    """Places into ``sizes``, by sequence; as few sequences as the effort finds, the best fit at worst."""
+    bins = best_fit(sizes, capacity)
+    bound, left, rng = -(-sum(sizes) // capacity), effort, np.random.default_rng(8)
+    whole, tries = len(sizes) <= LOT, 0
+    while len(bins) > bound and left > 0:
+        free = [capacity - sum(sizes[i] for i in b) for b in bins]
+        order = sorted(range(len(bins)), key=lambda k: -free[k])
+        core = int(np.searchsorted(np.cumsum([free[k] for k in order]), capacity)) + 1  # their free room is a sequence
+        others = order[core:] if not tries or whole else [order[core + i] for i in rng.permutation(len(bins) - core)]
+        lot, held = order[:core], sum(len(bins[k]) for k in order[:core])
+        for k in others:
+            if whole or held < LOT and (tries or free[k]):  # full sequences stay at first
+                lot.append(k)
+                held += len(bins[k])
+        found, spent = search([sizes[i] for k in lot for i in bins[k]], len(lot), capacity, left if whole else max(1, min(left, effort // LOTS)))
+        left, tries = left - max(1, spent), 0 if found else tries + 1
+        if found:
+            places: dict[int, list[int]] = {}
+            for k in lot:
+                for i in bins[k]:
+                    places.setdefault(sizes[i], []).append(i)
+            taken = set(lot)
+            bins = [b for k, b in enumerate(bins) if k not in taken] + [[places[s].pop() for s in b] for b in found]
+        elif whole:
+            break
+    return bins
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, spaced: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

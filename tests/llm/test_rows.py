@@ -132,6 +132,16 @@ def test_bin_completion_finds_the_optimum_of_small_cases():
     assert gains
 
 
+def test_lots_better_the_best_fit_of_large_groups():
+    """Full pieces and hundreds of lengths, where no complete packing of the whole group comes within the effort."""
+    rng = np.random.default_rng(0)
+    for _ in range(3):
+        sizes = [*map(int, rng.integers(700, 2000, 300)), *[4096] * 120]
+        best = packing.pack(sizes)
+        assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 4096 for b in best)
+        assert -(-sum(sizes) // 4096) <= len(best) < len(packing.best_fit(sizes, 4096))
+
+
 def brute_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
