@@ -28,8 +28,7 @@ def n3_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n4_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", S.highlighted(F.col("text"), ["the", "de"]).alias("html"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.highlighted(F.col("text"), ["the", "de"]).alias("html"))
 
 
 def n5_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +92,7 @@ def n27_contains_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n28_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").where(F.contains(F.col("text"), F.lit("token")))
-    return rows.select("doc_id", F.md5(T.redact("text")).alias("md5"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact("text")).alias("md5"))
 
 
 def d13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Order-dependent operators, text, sources and sinks on small cases worked out by hand."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -197,3 +198,15 @@ def test_recap_and_export(spark):
     done = items.withColumn("done", F.lit(True))
     whole = documents.markdown(spark.createDataFrame([(1, " ")], "meeting_id int, title string"), recap.recaps(texts, 8_000), done, documents.lines(lines, F.lit("Ann")))
     assert whole.first().value == "# Meeting\n\n## Recap\n\nAnn: Hello there (31)\n\n## Tasks\n\n- [x] call (Bob)\n\n## Transcript\n\n[0:00] **Ann:** Hello there\n\n[1:01] **Ann:** Maybe Bob\n"
+
+
+def test_queries_of_lines_read_every_row(spark, tmp_path):
+    from skein.plans import texts
+
+    lines = ["plain", "PASSWORD: x", "authorization=y", "at /home/me/x", "token z", None]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, r, "the") for i, r in enumerate(["user", "assistant", None])], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    shown = ["plain", "PASSWORD: <redacted>", "authorization=<redacted>", "at ~/x", "token <redacted>", None]
+    found = {r.doc_id: r.md5 for r in texts.n28_redact(spark, str(tmp_path)).collect()}
+    assert found == {i: x and hashlib.md5(x.encode()).hexdigest() for i, x in enumerate(shown)}
+    assert sorted(r.conv_id for r in texts.n4_highlight(spark, str(tmp_path)).collect()) == [0, 1, 2]
