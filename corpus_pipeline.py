@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return found.where(F.col("n_hit") == 0).select(docs.columns)
 
 

@@ -34,8 +34,8 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
 
 
-def windows(benchmark: DataFrame, span: int = SPAN, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (item, window): windows as their words with a space between. Items without id or word have none."""
+def windows(benchmark: DataFrame, span: int = SPAN, item: str = "item_id", text: str = "text", unnamed: bool = False) -> DataFrame:
+    """Distinct (item, window): windows as their words with a space between. Items without word have none, those without id only if ``unnamed``."""
     kind = StructType().add("item", StringType()).add("window", StringType())
     kinds = pa_types(kind)
 
@@ -48,13 +48,15 @@ def windows(benchmark: DataFrame, span: int = SPAN, item: str = "item_id", text:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=kind.names)
 
-    source = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    source = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
+    if not unnamed:
+        source = source.where("item is not null")
     return source.mapInArrow(run, kind).distinct()
 
 
 def _blocks(spark: SparkSession, pairs: DataFrame, room: int):
     """Broadcasts of {window: items} of some ``room`` bytes each; every pair is in one."""
-    size = pairs.agg(F.sum(F.length("window") + F.length("item") + 16)).first()[0] or 0
+    size = pairs.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)) + 16)).first()[0] or 0
     number = max(1, -(-size // room))
     for k in range(number):
         held = defaultdict(list)
@@ -94,7 +96,7 @@ def _finder(block, counts):
                 for place, length in shapes.get(word, ()):
                     if 0 <= at - place <= n - length and (hit := tuple(found[at - place : at - place + length])) in held:
                         spans.append((at - place, at - place + length))
-                        items.update(held[hit])
+                        items.update(i for i in held[hit] if i is not None)
         return n, merged(spans), sorted(items)
 
     return find
@@ -111,17 +113,17 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "text", keep: list[str] | None = None, room: int = BLOCK_BYTES) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "text", keep: list[str] | None = None, room: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """Each document with ``n_words``, ``hit_spans`` (word places, flat, end exclusive), ``n_hit`` and ``items``.
 
     A null or empty text has no words and no hits; an empty benchmark hits nothing. Repeated rows
     stay rows, each with the same finding. Columns of the names given here give way to them;
-    others in ``keep`` (all) stay.
+    others in ``keep`` (all) stay. If ``unnamed``, benchmark rows without id hit as well; they are not in ``items``.
     """
     spark = docs.sparkSession
     adds = StructType().add("n_words", LongType()).add("hit_spans", ArrayType(LongType())).add("items", ArrayType(StringType()))
     keep = docs.columns if keep is None else keep
-    blocks = list(_blocks(spark, settle(windows(benchmark, span)), room))
+    blocks = list(_blocks(spark, settle(windows(benchmark, span, unnamed=unnamed)), room))
     parts = []
     for block in blocks:
         counts = spark.sparkContext.broadcast(pickle.dumps(_counts(docs, block, text)))
@@ -137,7 +139,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "t
 def _over_blocks(docs: DataFrame, text: str, adds: StructType, parts: list, keep: list[str]) -> DataFrame:
     """The blocks' findings in one, joined to the documents by the digest of the text."""
     named = without(docs.withColumn("_text", F.col(text)), ["_digest"]).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    each = [annotate(named.select("_digest", "_text"), "_text", adds, part, ["_digest"]).where(F.size("items") > 0) for part in parts]
+    each = [annotate(named.select("_digest", "_text"), "_text", adds, part, ["_digest"]).where(F.size("hit_spans") > 0) for part in parts]
     union = each[0]
     for other in each[1:]:
         union = union.unionByName(other)
@@ -154,7 +156,7 @@ def _over_blocks(docs: DataFrame, text: str, adds: StructType, parts: list, keep
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
-    found = hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    found = hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"], unnamed=True)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -190,6 +190,21 @@ def test_decontamination(spark, docs, room):
     assert got == sorted(str((k, *brute_hits(t, ITEMS))) for k, t, *_ in cases())
 
 
+@pytest.mark.parametrize("room", [decontaminate.BLOCK_BYTES, 30])
+def test_benchmark_rows_without_id_hit(spark, tmp_path, room):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "five two three")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "one two"), (None, None), (9, "two three")], "item_id long, text string")
+    found = decontaminate.hits(docs, benchmark, room=room, unnamed=True).collect()
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in found) == [(1, 3, ["9"]), (2, 0, []), (3, 2, ["9"])]
+    benchmark.where("item_id is null").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: tuple(r)[1:] for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()}
+    assert rows[1] == (3, 2, 0, hashlib.sha256(b"").hexdigest(), True) and not rows[3][-1]
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()) == [2, 3]
+
+
 def test_decontamination_without_benchmark_or_documents(spark, docs, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.hits(docs, empty).agg(F.sum("n_hit")).first()[0] == 0
