@@ -40,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 4096 tokens."""
-    found = settle(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), packing.END))
+    found = settle(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), packing.END, special=True))
     return packing.packed(found).withColumnRenamed("key", "doc_id")
 
 

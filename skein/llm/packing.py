@@ -158,7 +158,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY, effort: int = EFFORT) -> li
     return bins
 
 
-def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, spaced: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, spaced: bool = False, key: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """A row for each piece of each document: key, piece, start, length, ids_crc32, and ``slot``, its row's number in the task.
 
     A null text is empty: its document is the end id alone. Only documents over ``capacity`` are cut.
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY,
     kind = StructType([StructField("key", rows.schema["key"].dataType), *[StructField(n, t) for n, t in numbers]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, slot = encoder(tokenizer, spaced), 0
+        encode, slot = encoder(tokenizer, spaced, special), 0
         code = "<u2" if encode.width == 2 else "<u4"
         for batch in batches:
             for part in slices(batch, 1):
@@ -207,7 +207,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
-    return packed(settle(pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END))).withColumnRenamed("key", "doc_id")
+    return packed(settle(pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END, special=True))).withColumnRenamed("key", "doc_id")
 
 
 QUERIES = {"op8_packing": op8_packing}

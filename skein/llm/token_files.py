@@ -116,7 +116,7 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, self._ids[0].dtype if self._ids else "u2")
 
 
-def write_tokens(docs: DataFrame, to: str, tokenizer: str, end: int, spaced: bool = True, key: str = "doc_id", text: str = "text", length: int = SEQUENCE) -> DataFrame:
+def write_tokens(docs: DataFrame, to: str, tokenizer: str, end: int, spaced: bool = True, key: str = "doc_id", text: str = "text", length: int = SEQUENCE, special: bool = False) -> DataFrame:
     """Write all documents' ids in order of ``key`` below ``to``; the manifest: a row for each file, in order.
 
     Columns: file, first_key, n_documents, n_tokens, start (tokens of the files before it). A null
@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end: int, spaced: boo
     kind.fields[1] = StructField("first_key", rows.schema["key"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = encoder(tokenizer, spaced), None
+        encode, writer = encoder(tokenizer, spaced, special), None
         for batch in batches:
             for part in slices(batch, 1):
                 for name, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -166,7 +166,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to token files in ascending order of doc_id, and what is read back from them."""
-    manifest = write_tokens(documents(spark, sf_dir), shared_dir(spark), tokenizer_path("byte_bpe_50k.json"), END)
+    manifest = write_tokens(documents(spark, sf_dir), shared_dir(spark), tokenizer_path("byte_bpe_50k.json"), END, special=True)
     return read_documents(manifest).withColumnRenamed("key", "doc_id")
 
 

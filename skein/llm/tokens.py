@@ -3,7 +3,7 @@
 The tokenizers used here never merge across the start of a run of white space, so a text is the
 concatenation of its space-separated chunks. Words repeat, so most chunks come from the memo; the
 library encodes the rest. Texts in which that cut could matter are given to the library whole.
-Strings that name special tokens are ordinary text.
+Strings that name special tokens are ordinary text, or, with ``special``, those tokens.
 """
 
 from __future__ import annotations
@@ -45,14 +45,16 @@ class TextEncoder:
     """Token ids of whole texts as packed little-endian integers of ``width`` bytes.
 
     ``path`` names a file of the tokenizers library. ``spaced`` says that a word's leading space is
-    part of its token (byte-level BPE); otherwise white space is dropped.
+    part of its token (byte-level BPE); otherwise white space is dropped. With ``special``, texts that
+    name special tokens get the tokens' ids, as the library does by itself.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 1_500_000):
+    def __init__(self, path: str, spaced: bool, room: int = 1_500_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = not special
+        self._names = [t.content for t in self._library.get_added_tokens_decoder().values()] if special else []
         self._tokenize = self._library.model.tokenize
         self.width = 2 if self._library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self._code = "H" if self.width == 2 else "I"
@@ -79,7 +81,7 @@ class TextEncoder:
     def _ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in _ODD):
+        if any(c in text for c in _ODD) or any(name in text for name in self._names):
             return self._encode(text)
         inner, first = self._inner.__getitem__, self._first.__getitem__
         if not self._spaced:
@@ -93,11 +95,11 @@ class TextEncoder:
         return newline.join(lines)
 
 
-_encoders: dict[tuple[str, bool], TextEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], TextEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> TextEncoder:
+def encoder(path: str, spaced: bool, special: bool = False) -> TextEncoder:
     """This Python worker's encoder for ``path``; its memo lives on over tasks."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = TextEncoder(path, spaced)
-    return _encoders[path, spaced]
+    if (path, spaced, special) not in _encoders:
+        _encoders[path, spaced, special] = TextEncoder(path, spaced, special=special)
+    return _encoders[path, spaced, special]

@@ -67,6 +67,17 @@ def brute_ids(name, text, end):
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+def test_queries_take_special_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|> x", "a <|startoftext|>b <|endoftext|>", "plain words, here", "<|ENDOFTEXT|>", "<|endof text|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, end in ((token_files.op3_token_files, "byte_bpe_50k.json", token_files.END), (packing.op8_packing, "word_bpe_49k.json", packing.END)):
+        library = Tokenizer.from_file(tokenizer_path(name))
+        goal = {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for i, t in enumerate(texts)}
+        assert {r.doc_id: r.ids_crc32 for r in query(spark, str(tmp_path)).collect()} == goal
+
+
 def test_token_files(spark, docs):
     rows = docs.select("doc_id", "text")
     manifest = token_files.write_tokens(rows, shared_dir(spark), tokenizer_path("byte_bpe_50k.json"), 2, length=64)
