@@ -7,16 +7,19 @@ rarest that each retains: only those go into inverted lists. Candidates from the
 union-sketch estimate (the share of the union's bottom k that both retain) and then an exact
 comparison of the whole sets of both texts.
 
-Long lists, of many near copies, don't give all their pairs. Members with too many shingles of their
-own to be near any other leave them, by exact counts over all members. Then, as long as that pays,
-each list compares its members with one leader (of its largest group, another in each round), and what
-is linked becomes one group. At the end every pair of a list that is still in two groups is
-compared, so the leaders lose nothing.
+Long lists, of many near copies or of a common passage, don't give all their pairs. Each names a leader,
+first the class that shares values with most others, then the nearest to that one (near copies are
+farther from each other than from what they were copied from). Members are compared with their
+leaders alone. What is near a leader is linked; any other pair of the list still needs shingles in common
+outside the leader's set, as exact counts tell, so what is left of the sets meets by a prefix
+filter: its rarest shingles make new lists, and a pair counts where enough shingles follow in both.
+No pair is lost on the way: pairs whose counts allow a link within the leader's set alone are
+compared as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from .common import annotate, documents, settle
 from .components import components
@@ -34,9 +37,10 @@ K = 32
 MISS = 1e-6
 #: Members from which on a list is led.
 LONG = 12
-#: Pairs between groups, per list entry, up to which all are compared, and the share of them that a
-#: round with leaders may leave if another is to follow.
-EASY, SLOW = 2, 0.7
+#: Columns of 64 bits each that tell where a set lacks shingles of its leader's.
+GAPS = ("gap0", "gap1", "gap2", "gap3")
+#: Members that meet one copy of their leader's set.
+SEATS = 256
 #: Bits of the sieve that spares documents nobody asks for their shuffle.
 SIEVE = 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -90,7 +94,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, k: int) -> DataFra
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """value, id, n: each class under its rarest retained values that others retain too."""
+    """key, id, n, score, member: each class under its retained values that others retain too, as a member under the rarest of them; score is how often others do."""
     entries = classes.select("id", "n", F.explode("sketch").alias("value"))
     counts = entries.groupBy("value").count().where("count > 1")
     whole = k * percent // 100  # up to this size, both sets of a pair are retained whole
@@ -99,7 +103,13 @@ def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     shared = entries.join(counts, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("shared"))
     # the values that no other class retains are the rarest and stand first
     room = (kept - least + 1) - (kept - F.size("shared"))
-    return shared.where(room > 0).select("id", "n", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("s")).select("s.value", "id", "n")
+    found = shared.withColumn("room", room).withColumn("score", F.aggregate("shared", F.lit(0).cast("long"), lambda n, s: n + s["count"])).where("room > 0").select("id", "n", "room", "score", F.posexplode("shared").alias("place", "s"))
+    return found.select(F.col("s.value").alias("key"), "id", "n", "score", (F.col("place") < F.col("room")).alias("member"))
+
+
+def _least(total: Column, percent: int) -> Column:
+    """Shingles that two sets of ``total`` shingles together share at least if they are near."""
+    return F.ceil(total * percent / (100 + percent))
 
 
 def _near_enough(a: Column, b: Column, percent: int) -> Column:
@@ -128,130 +138,191 @@ def sieve(wanted: DataFrame, name: str, key: Column) -> Column:
     return F.getbit(F.get(F.lit(np.array(held, np.int64)), (at % words).cast("int")), F.floor(at / words).cast("int")) == 1
 
 
-def _texts(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and text for each class in ``wanted``, from the class's first document."""
-    firsts = settle(classes.join(wanted, "id").select("id", "digest", "first"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = rows.where(sieve(firsts, "first", F.col("key"))).join(firsts, F.col("key").eqNullSafe(F.col("first"))).select("id", "text", "digest")
+def _sets(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id and whole set (ascending hashes, packed) of each class in ``wanted``, from the class's first document."""
+    firsts = settle(classes.join(wanted, "id").select("id", "first", F.col("digest").alias("_digest")))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(sieve(firsts, "first", F.col("key")))
+    adds = StructType().add("digest", BinaryType()).add("whole", BinaryType())
+
+    def one(value: str | None) -> tuple[bytes, bytes]:
+        found = shingles(value, size)
+        return _digest(found), found.tobytes()
+
+    read = annotate(rows, "text", adds, lambda: one, ["key"])
+    found = read.join(firsts, (F.col("digest") == F.col("_digest")) & F.col("key").eqNullSafe(F.col("first"))).select("id", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # rows of one key are in one task, but for a broadcast join, where a second text only costs time
+        seen = set()  # rows of one id are in one task, but for a broadcast join, where a second set only costs time
         for batch in batches:
             keep = []
-            for one, value, digest in zip(*(c.to_pylist() for c in batch.columns)):
-                keep.append(one not in seen and _digest(shingles(value, size)) == digest)
-                if keep[-1]:
-                    seen.add(one)
-            yield batch.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
+            for one in batch.column(0).to_pylist():
+                keep.append(one not in seen)
+                seen.add(one)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return settle(found.mapInArrow(run, found.select("id", "text").schema))
+    return settle(found.mapInArrow(run, found.schema))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _hashes(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), np.uint64)
+
+
+def _held(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of the hashes ``one`` are in ``other``; both ascend."""
+    if not len(other):
+        return np.zeros(len(one), bool)
+    return other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs' labels (a, b) where the whole sets are similar enough."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("whole").alias("one")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("whole").alias("two")), "b")
+    both = both.select(F.col("la").alias("a"), F.col("lb").alias("b"), "one", "two")
     kind = both.select("a", "b").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, whole = None, None
         for batch in batches:
             near = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                y = y.as_py()
-                if y != held:
-                    held, whole = y, shingles(y, size)
-                one = shingles(x.as_py(), size)
-                common = len(np.intersect1d(one, whole, assume_unique=True))
-                near.append(100 * common >= percent * (len(one) + len(whole) - common))
+            for one, two in zip(batch.column(2), batch.column(3)):
+                one, two = _hashes(one), _hashes(two)
+                near.append(int(_held(one, two).sum()) * (100 + percent) >= percent * (len(one) + len(two)))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(run, kind)
 
 
-def _cells(lists: DataFrame, turn: int) -> DataFrame:
-    """For each value whose list still has several groups: c, open pairs between groups, and a leader of the largest group."""
-    groups = lists.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("lead"))
-    cells = groups.groupBy("value").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by(F.struct("lead", "label"), F.struct("c", "label")).alias("top"))
-    cells = cells.withColumn("open", (F.col("c") * F.col("c") - F.col("sq")) / 2).where("open > 0")
-    return cells.select("value", "open", F.col("top.label").alias("top"), F.col("top.lead.id").alias("leader"), F.col("top.lead.n").alias("m"))
-
-
-def _led(lists: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Callable[[DataFrame, DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Groups among the members of long lists, by comparing with leaders as long as that pays: (id, label)."""
-    labels = settle(lists.select("id").distinct().withColumn("label", F.col("id")))
-    held, turn, before = None, 0, float("inf")
-    while True:
-        grouped = settle(lists.join(labels, "id"))
-        cells = settle(_cells(grouped, turn))
-        open_pairs = cells.agg(F.sum("open")).first()[0] or 0
-        if open_pairs <= EASY * grouped.count() or open_pairs > SLOW * before:
-            return labels
-        held = held or texts(labels.select("id"))
-        pairs = grouped.join(cells, "value").where("label <> top").where(_near_enough(F.col("m"), F.col("n"), percent))
-        pairs = pairs.select(F.col("leader").alias("a"), F.col("top").alias("la"), F.col("id").alias("b"), F.col("label").alias("lb")).distinct()
-        labels = _joined(labels, components(near(pairs, held)))
-        # a list of one group has nothing left to compare, now or later
-        lists = grouped.join(cells.select("value"), "value", "left_semi").select("value", "id", "n")
-        turn, before = turn + 1, open_pairs
-
-
-def _joined(labels: DataFrame, roots: DataFrame) -> DataFrame:
-    """``labels`` after the components of labels became one each."""
-    roots = roots.withColumnRenamed("node", "label")
+def _led(pairs: DataFrame, sets: DataFrame, percent: int, rest: bool = True) -> DataFrame:
+    """``pairs`` (leader, id, n) with m (the leader's n), shared (shingles in common), alike (the similarity), near, GAPS (a bit, by its hash,
+    for each shingle that only the leader has), rest (the shingles outside the leader's set, if asked for) and
+    floor: what any near partner among the members must share with id at least.
+
+    A near partner y of x has n(y) >= max(least n of all members, percent of n(x)).
+    """
+    cells = settle(pairs.groupBy("leader").agg(F.min("n").alias("low"), F.ceil(F.count("*") / SEATS).alias("seats")))
+    heads = cells.join(sets.withColumnRenamed("id", "leader"), "leader").select("leader", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seats") - 1)).alias("seat"), F.col("whole").alias("lead"))
+    seated = pairs.join(cells.select("leader", "seats"), "leader").withColumn("seat", F.pmod(F.xxhash64("id"), F.col("seats"))).drop("seats")
+    both = seated.join(sets, "id").join(heads, ["leader", "seat"]).select("leader", "id", "n", "low", "whole", "lead")
+    kind = StructType([both.schema["leader"], both.schema["id"], *[StructField(n, LongType()) for n in ("n", "m", "shared")], StructField("alike", DoubleType()), StructField("near", BooleanType()), *[StructField(n, LongType()) for n in GAPS], StructField("rest", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for one, lead in zip(batch.column(4), batch.column(5)):
+                one, lead = _hashes(one), _hashes(lead)
+                held = _held(one, lead)
+                shared = int(held.sum())
+                both = len(one) + len(lead)
+                bits = np.zeros(64 * len(GAPS), bool)
+                bits[lead[~_held(lead, one)] >> np.uint64(20) & np.uint64(len(bits) - 1)] = True
+                rows.append((len(lead), shared, shared / (both - shared), shared * (100 + percent) >= percent * both, np.packbits(bits).view(np.int64), one[~held].view(np.int64) if rest else one[:0].view(np.int64)))
+            if rows:
+                m, shared, alike, near, gaps, left = zip(*rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, left)]), pa.int32()), pa.array(np.concatenate(left)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(m, pa.int64()), pa.array(shared, pa.int64()), pa.array(alike, pa.float64()), pa.array(near, pa.bool_()), *map(pa.array, np.array(gaps).T.copy()), lists], names=kind.names)
+
+    smallest = F.greatest("low", F.ceil(F.col("n") * percent / 100))
+    return both.mapInArrow(run, kind).join(cells.select("leader", "low"), "leader").withColumn("floor", _least(F.col("n") + smallest, percent)).drop("low")
+
+
+def _apart(one: DataFrame, on: list[str], percent: int, fits: Column) -> DataFrame:
+    """(a, b): pairs of ``one`` of different labels and similar sizes that agree in ``on`` where ``fits``.
+
+    Left out are pairs of two near the leader, and those that meet at another leader, home to both.
+    """
+    left, right = (one.select(*on, *[F.col(c).alias(c + side) for c in one.columns if c not in on]) for side in "ab")
+    both = left.where("not neara").join(right, on).where("labela <> labelb and (nearb or ida < idb) and (homea <> homeb or homea = leader)")
+    return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
+def _within() -> Column:
+    """What a and b share within the leader's set at most: what one has of it, less gaps of the other where it has none."""
+    own = lambda x, y: F.col("shared" + x) - sum((F.bit_count(F.col(g + y).bitwiseAND(F.bitwise_not(g + x))) for g in GAPS), F.lit(0))
+    return F.least(own("a", "b"), own("b", "a"))
+
+
+def _outside(led: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a leader's members, but for those of two near it, that may be near by what is left of their sets without the leader's.
+
+    A near pair shares at least q = least(n(a) + n(b)) - within of what is left, in which shingles are
+    ranked by their count under the leader. At the first they share, q - 1 or more follow in both.
+    """
+    shingles_ = led.select("leader", "id", F.explode("rest").alias("shingle"))
+    counts = shingles_.groupBy("leader", "shingle").count().where("count > 1")
+    ranked = shingles_.join(counts, ["leader", "shingle"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("ranked"))
+    rows = ranked.join(led.drop("rest"), ["leader", "id"]).withColumn("w", F.size("ranked"))
+    first = (F.col("w") - F.greatest(F.lit(1), F.col("floor") - F.col("shared")) + 1).cast("int")
+    rows = rows.withColumn("ranked", F.slice("ranked", F.lit(1), F.greatest(F.lit(0), first)))
+    entries = rows.select("leader", "id", "n", "shared", "near", "label", "home", *GAPS, "w", F.posexplode("ranked").alias("place", "s"))
+    entries = settle(entries.select("leader", F.col("s.shingle").alias("shingle"), "id", "n", "shared", "near", "label", "home", *GAPS, (F.col("w") - F.col("place")).alias("follow")))
+    follow = F.least("followa", "followb") >= _least(F.col("na") + F.col("nb"), percent) - _within()
+    return _apart(entries, ["leader", "shingle"], percent, follow)
+
+
+def _inside(led: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a leader's members, but for those of two near it, that may be near by what both share with the leader."""
+    members = led.where(F.col("shared") >= F.col("floor")).select("leader", "id", "n", "shared", "near", "label", "home", *GAPS)
+    return _apart(members, ["leader"], percent, _within() >= _least(F.col("na") + F.col("nb"), percent))
+
+
+def _leaders(long: DataFrame) -> DataFrame:
+    """key and leader: of the classes under a key the one that shares its values with most others."""
+    return long.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("leader"))
+
+
+def _moved(tried: DataFrame) -> DataFrame:
+    """leader, id, n of ``tried``, each leader replaced by the member nearest to it, if any is near; the old one is a member then."""
+    nearest = tried.where("near").groupBy("leader").agg(F.max_by("id", F.struct("alike", -F.col("id"))).alias("better"))
+    moved = tried.select("leader", "id", "n").unionByName(tried.groupBy("leader").agg(F.first("m").alias("n")).select("leader", F.col("leader").alias("id"), "n"))
+    moved = moved.join(nearest, "leader", "left").withColumn("leader", F.coalesce("better", "leader"))
+    return moved.where("id <> leader").select("leader", "id", "n").distinct()
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after the labels that ``edges`` (a, b) link became one each."""
+    roots = components(edges).withColumnRenamed("node", "label")
     return settle(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
 
 
+def _ids(*columns: DataFrame) -> DataFrame:
+    found = columns[0].toDF("id")
+    for other in columns[1:]:
+        found = found.unionByName(other.toDF("id"))
+    return found.distinct()
+
+
 def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int, percent: int, k: int) -> DataFrame:
     """(id, label) for the classes that have lists: classes of one label are linked."""
-    short = settle(classes.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short")))
     lists = settle(_lists(classes, k, percent))
-    counts = settle(lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"))
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        return _texts(docs, key, text, classes, wanted, size)
-
-    def near(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        return _verified(_estimated(pairs, short, k, percent), held, size, percent)
-
-    long = settle(lists.join(counts.where(F.col("c") > LONG), "value").drop("c"))
-    held = texts(long.select("id").distinct())
-    long = settle(_plausible(long, _shared(held, size), percent))
-    led = _led(long.drop("u"), lambda _: held, near, percent)
-    labels = lists.select("id").distinct().join(led, "id", "left")
-    labels = settle(labels.select("id", F.coalesce("label", "id").alias("label")))
-    few = lists.join(counts.where(F.col("c") <= LONG).select("value"), "value").withColumn("u", F.col("n"))
-    grouped = settle(few.unionByName(long).join(labels, "id"))
-    grouped = grouped.join(_cells(grouped, 0).select("value"), "value", "left_semi")
-    one = grouped.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("label").alias("la"))
-    two = grouped.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("label").alias("lb"))
-    fits = _near_enough(F.col("na"), F.col("nb"), percent) & (F.least("ua", "ub") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = one.join(two, "value").where("la < lb").where(fits).select("a", "b", "la", "lb").distinct()
+    counts = lists.where("member").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    live = settle(lists.join(counts, "key"))
+    few = live.where((F.col("c") <= LONG) & F.col("member")).select("key", "id", "n")
+    long = live.where(F.col("c") > LONG)
+    pairs = settle(long.where("member").join(_leaders(long), "key").where("id <> leader").select("leader", "id", "n").distinct())
+    sets = _sets(docs, key, text, classes, _ids(pairs.select("leader"), pairs.select("id")), size)
+    tried = settle(_led(pairs, sets, percent, rest=False).drop("rest"))
+    led = settle(_led(settle(_moved(tried)), sets, percent))
+    near = tried.where("near").select("leader", "id").unionByName(led.where("near").select("leader", "id")).toDF("a", "b")
+    labels = _relabelled(lists.select("id").distinct().withColumn("label", F.col("id")), near)
+    homes = led.select("id", "leader", "alike").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike")).distinct())
+    homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
+    led = settle(led.join(labels, "id").join(homes, "id"))
+    grouped = settle(few.join(labels, "id"))
+    one, two = (grouped.select("key", F.col("id").alias(side), F.col("n").alias("n" + side), F.col("label").alias("l" + side)) for side in "ab")
+    pairs = one.join(two, "key").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    pairs = pairs.unionByName(_inside(led, percent)).unionByName(_outside(led, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    short = classes.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short"))
     pairs = settle(_estimated(pairs, short, k, percent))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return _joined(labels, components(_verified(pairs, texts(wanted), size, percent)))
-
-
-def _shared(held: DataFrame, size: int) -> DataFrame:
-    """For each of the texts how many of its shingles no other has: (id, own). Shingles count by 32 bits of theirs, so own is never too high."""
-    kind = StructType([held.schema["id"], StructField("v", ArrayType(IntegerType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [(shingles(t, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32()))], names=kind.names)
-
-    each = held.mapInArrow(run, kind).select("id", F.explode("v").alias("v"))
-    return each.groupBy("v").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    wanted = _ids(pairs.select("a"), pairs.select("b")).join(sets.select("id"), "id", "left_anti")
+    sets = sets.unionByName(_sets(docs, key, text, classes, wanted, size))
+    return _relabelled(labels, _verified(_named(pairs, labels), sets, percent))
 
 
-def _plausible(long: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Entries of long lists with ``u``, the shingles shared with any other member of a long list, as far as those suffice for the list's smallest partner."""
-    shared = long.join(own, "id", "left").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    low = long.groupBy("value").agg(F.min("n").alias("low"))
-    partner = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    return shared.join(low, "value").where(F.col("u") * (100 + percent) >= (F.col("n") + partner) * percent).drop("low")
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their labels, la and lb."""
+    for side in "ab":
+        pairs = pairs.join(labels.select(F.col("id").alias(side), F.col("label").alias("l" + side)), side)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:

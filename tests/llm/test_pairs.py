@@ -1,6 +1,7 @@
 """op1, op4 and op9 against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -47,15 +48,37 @@ def test_near_duplicates(docs, size):
 
 
 def test_near_duplicates_of_many_near_copies(spark, monkeypatch):
-    """A group whose pairs lie around the threshold, with leaders in every round."""
+    """A group whose pairs lie around the threshold, with a leader for every list."""
     words = prose(9, 60).split()
     rows = [(i, " ".join(w if (i * 7 + k * k * (i % 5 + 1)) % 29 > 3 else f"w{i}x{k}" for k, w in enumerate(words))) for i in range(60)]
-    monkeypatch.setattr(near_dup, "EASY", 0)
     monkeypatch.setattr(near_dup, "LONG", 1)
+    monkeypatch.setattr(near_dup, "SEATS", 7)
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 2)
 
 
+def skewed():
+    """Hundreds of near copies of two texts that have a passage in common, around the threshold, cut ones among them, and others with the passage."""
+    rng, line, rows = random.Random(17), prose(30, 40), []
+    for base in (f"{prose(31, 60)} {line}", f"{line} {prose(32, 50)}"):
+        words = base.split()
+        for i in range(160):
+            rate = rng.choice((0.01, 0.03, 0.06, 0.1))
+            text = [rng.choice(("ka", "lo", "mi", f"w{i}")) if rng.random() < rate else w for w in words]
+            rows.append(" ".join(text[: rng.randint(60, len(text))] if i % 4 == 0 else text))
+    rows += [f"{prose(100 + i, rng.randint(5, 60))} {line} {prose(300 + i, rng.randint(5, 60))}" for i in range(80)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_of_a_skewed_corpus(spark, size):
+    """Recall is 1: the rows are those of brute force."""
+    rows = skewed()
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, size)
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
 
