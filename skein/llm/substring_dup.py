@@ -1,15 +1,14 @@
-"""Substring dedup by hashing sentences and lines, keeping the earliest occurrence.
-
-A text falls into units at line ends and at ends of sentences, so a passage pasted into the middle of a
-line still shares its inner units. Units are normalised (case, white space, marks at the end) and
-hashed to 64 bits. Over all documents each digest's earliest unit, by key, row and place, stays; other
-units of that digest go if they stand in a run of such units of enough words.
-
-A passage that is pasted within sentences, or is one long sentence, has few whole units or none. So
-stretches of 20 words are hashed too, wherever they start. First a few are chosen by their content
-(winnowing: the least hash of each 21 neighbours), such that every stretch of 40 words has one and
-equal stretches have the same; around the chosen ones that occur twice, all are compared. Those with
-an earlier occurrence go. Offsets are those of the original text, in code points.
+"""Substring dedup by hashing lines, keeping the earliest occurrence.
+
+A text falls into units: lines (or paragraphs, or sentences). Units are normalised (case, white space,
+marks of sentences) and hashed to 64 bits. Over all documents each digest's earliest unit, by key, row
+and place, stays; other units of that digest go if they stand in a run of such units of enough words.
+
+A passage that is pasted within a line shares no unit. So stretches of 20 words are hashed too, a
+few chosen by their content (winnowing: the least hash of each 21 neighbours), such that every
+stretch of 40 words has one and equal stretches have the same. A chosen stretch with an earlier
+occurrence goes; so do the words around the outer ones of a chain of them, as far as they equal those
+around their first occurrence. Offsets are those of the original text, in code points.
 """
 
 from __future__ import annotations
@@ -22,27 +21,31 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import documents, settle, slices
+from .common import documents, settle, slices, without
 from .near_dup import sieve
 
 #: Words of a run of repeated units from which on it is removed.
 LEAST = 20
 #: Neighbouring stretches of LEAST words of which one is chosen: repeats of LEAST + NEAR - 1 = 40 words cannot be missed.
 NEAR = 21
-_UNIT = re.compile(r"[^.!?\n]+")
+#: What ends a unit of each kind.
+BREAKS = {"line": r"\n", "paragraph": r"\n[^\S\n]*\n", "sentence": r"[.!?\n]"}
 _WORD = re.compile(r"[^\s.!?]+")
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit with a word; end includes the marks after it."""
-    found = [(m.start(), m.end(), m.group().lower().split()) for m in _UNIT.finditer(text)]  # lower case may be longer
-    for (start, end, words), after in zip(found, [*(f[0] for f in found[1:]), len(text)]):
+def units(text: str, kind: str = "line") -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, words, digest) of each unit with a word, without white space around it; a sentence ends after its marks."""
+    starts = [0, *(m.end() for m in re.finditer(BREAKS[kind], text))]
+    for start, after in zip(starts, [*starts[1:], len(text)]):
+        part = text[start:after]
+        words = [w.lower() for w in _WORD.findall(part)]  # lower case may be longer
         if words:
-            while end < after and text[end] in ".!?":
-                end += 1
-            yield start, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"))
+            start += len(part) - len(part.lstrip())
+            while text[after - 1].isspace() or kind == "sentence" and after < len(text) and text[after] in ".!?":
+                after += -1 if text[after - 1].isspace() else 1
+            yield start, after, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"))
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,10 +53,10 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
 
 
-def hashed(rows: DataFrame) -> DataFrame:
+def hashed(rows: DataFrame, kind: str = "line") -> DataFrame:
     """A row for each unit: key, row, unit, word (the place of its first), start, end, words, digest."""
     ints = [StructField(n, IntegerType()) for n in ("unit", "word", "start", "end", "words")]
-    kind = StructType([*rows.schema.fields[:2], *ints, StructField("digest", LongType())])
+    schema = StructType([*rows.schema.fields[:2], *ints, StructField("digest", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,16 +64,16 @@ def hashed(rows: DataFrame) -> DataFrame:
                 out, at = [], []
                 for k, value in enumerate(part.column(2).to_pylist()):
                     word = 0
-                    for i, u in enumerate(units(value) if value else ()):
+                    for i, u in enumerate(units(value, kind) if value else ()):
                         out.append((i, word, *u))
                         at.append(k)
                         word += u[2]
                 if out:
                     *places, digest = zip(*out)
                     arrays = [*[pa.array(c, pa.int32()) for c in places], pa.array(np.array(digest, np.uint64).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in part.columns[:2]), *arrays], names=kind.names)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in part.columns[:2]), *arrays], names=schema.names)
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, schema)
 
 
 class _Words(dict):
@@ -108,48 +111,84 @@ def chosen(digests: np.ndarray, near: int = NEAR) -> np.ndarray:
 
 
 def _anchors(rows: DataFrame, least: int) -> DataFrame:
-    """row, word and digest of each chosen stretch."""
-    kind = StructType([rows.schema["row"], StructField("word", IntegerType()), StructField("digest", LongType())])
+    """key, row, word and digest of each chosen stretch."""
+    kind = StructType([*rows.schema.fields[:2], StructField("word", IntegerType()), StructField("digest", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                found = [stretches(_WORD.findall(v), memo, least) if v else np.empty(0, np.uint64) for v in part.column(1).to_pylist()]
+            for part in slices(batch, 2, 4 << 20):
+                found = [stretches(_WORD.findall(v), memo, least) if v else np.empty(0, np.uint64) for v in part.column(2).to_pylist()]
                 places = [chosen(f) for f in found]
                 at = np.repeat(np.arange(len(found)), [len(p) for p in places])
                 if len(at):
                     digest = np.concatenate([f[p] for f, p in zip(found, places)]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(np.concatenate(places), pa.int32()), pa.array(digest)], names=kind.names)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in part.columns[:2]), pa.array(np.concatenate(places), pa.int32()), pa.array(digest)], names=kind.names)
 
-    return rows.select("row", "text").mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind)
 
 
-def _around(rows: DataFrame, least: int) -> DataFrame:
-    """key, row, word, start, end and digest of each stretch near one of the places in ``near``."""
-    ints = [StructField(n, IntegerType()) for n in ("word", "start", "end")]
-    kind = StructType([*rows.schema.fields[:2], *ints, StructField("digest", LongType())])
+def _ends(rows: DataFrame, least: int) -> DataFrame:
+    """row, word, back, starts, ahead and ends for each place in ``places`` (word numbers): hashes and offsets of up to NEAR words before the place, nearest first, and from it on."""
+    lists = [StructField(n, ArrayType(kind)) for n, kind in (("back", LongType()), ("starts", IntegerType()), ("ahead", LongType()), ("ends", IntegerType()))]
+    schema = StructType([rows.schema["row"], StructField("word", IntegerType()), *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for batch in batches:
-            for part in slices(batch, 2, 1 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 out, at = [], []
-                for k, (value, near) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                for k, (value, places) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                     found = list(_WORD.finditer(value))
-                    digests = stretches([m.group() for m in found], memo, least)
-                    step = np.zeros(len(digests) + 1, np.int64)
-                    np.add.at(step, np.maximum(np.array(near) - NEAR + 1, 0), 1)
-                    np.add.at(step, np.minimum(np.array(near) + NEAR, len(digests)), -1)
-                    word = np.flatnonzero(step.cumsum()[:-1])
-                    starts, ends = np.array([m.span() for m in found], np.int32).T
-                    out.append((word, starts[word], ends[word + least - 1], digests[word].view(np.int64)))
-                    at.append(np.full(len(word), k))
+                    for p in places:
+                        # starts[i] is where i words before the place start, ends[i] where i words from it on end
+                        before, after = found[max(0, p - NEAR) : p][::-1], found[p : p + NEAR]
+                        starts = [found[p].start() if p < len(found) else len(value), *(m.start() for m in before)]
+                        ends = [found[p - 1].end() if p else 0, *(m.end() for m in after)]
+                        out.append((p, *([memo[m.group()] - (1 << 63) for m in side] for side in (before, after)), starts, ends))
+                        at.append(k)
                 if out:
-                    arrays = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(np.concatenate(at))) for c in part.columns[:2]), *arrays], names=kind.names)
+                    word, back, ahead, starts, ends = zip(*out)
+                    arrays = [pa.array(c, t) for c, t in zip((word, back, starts, ahead, ends), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *arrays], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _equal(one: str, two: str) -> Column:
+    """How many leading elements of two arrays are equal."""
+    n = F.least(F.size(one), F.size(two))
+    same = F.zip_with(F.slice(one, F.lit(1), n), F.slice(two, F.lit(1), n), lambda x, y: x == y)
+    stop = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(stop == 0, n).otherwise(stop - 1)
 
-    return rows.mapInArrow(run, kind)
+
+def _passages(rows: DataFrame, least: int) -> DataFrame:
+    """Passages with an earlier occurrence, by chains of chosen stretches: key, row, word, after, start, end and first."""
+    anchors = settle(_anchors(rows, least))
+    twice = settle(anchors.groupBy("digest").count().where("count > 1").select("digest"))
+    again = settle(anchors.where(sieve(twice, "digest", F.col("digest"))).join(twice, "digest"))
+    firsts = again.groupBy("digest").agg(F.min(F.struct(F.col("key").isNotNull().alias("keyed"), "key", "row", "word")).alias("first"))
+    later = again.join(firsts, "digest").where((F.col("row") != F.col("first.row")) | (F.col("word") >= F.col("first.word") + least))
+    order = Window.partitionBy("row").orderBy("word")
+    opens = F.coalesce(F.col("word") > F.lag("word").over(order) + least, F.lit(True)).cast("int")
+    chains = later.withColumn("opens", opens).withColumn("chain", F.sum("opens").over(order))
+    chains = chains.groupBy("row", "chain").agg(
+        F.first("key").alias("key"), F.min("word").alias("word"), (F.max("word") + least).alias("after"),
+        F.min_by("first", "word").alias("first"), F.max_by("first", "word").alias("last"),
+    )
+    chains = settle(chains.select("row", "key", "word", "after", F.col("first.row").alias("row0"), F.col("first.key").alias("key0"), F.col("first.word").alias("word0"), F.col("last.row").alias("row1"), (F.col("last.word") + least).alias("after1"), (F.col("after") - least - F.col("last.word")).alias("away")))
+    places = [chains.select(F.col(r).alias("row"), F.col(w).alias("word")) for r, w in (("row", "word"), ("row", "after"), ("row0", "word0"), ("row1", "after1"))]
+    asked = places[0].unionByName(places[1]).unionByName(places[2]).unionByName(places[3]).distinct().groupBy("row").agg(F.collect_list("word").alias("places"))
+    asked = settle(asked)
+    ends = settle(_ends(rows.select("row", "text").where(sieve(asked, "row", F.col("row"))).join(asked, "row"), least))
+    for row, word, hashes, offsets, side in (("row", "word", "back", "starts", "own"), ("row0", "word0", "back", "starts", "other"), ("row", "after", "ahead", "ends", "own_"), ("row1", "after1", "ahead", "ends", "other_")):
+        chains = chains.join(ends.select(F.col("row").alias(row), F.col("word").alias(word), F.col(hashes).alias(side), F.col(offsets).alias(f"at_{side}")), [row, word])
+    # within one row the kept occurrence stays whole
+    room = lambda r, gap: F.when(F.col("row") == F.col(r), F.greatest(F.lit(0), gap - least)).otherwise(F.lit(NEAR))
+    chains = chains.withColumn("b", F.least(_equal("own", "other"), room("row0", F.col("word") - F.col("word0")))).withColumn("a", F.least(_equal("own_", "other_"), room("row1", F.col("away"))))
+    first = F.struct(F.col("key0").alias("key"), F.col("row0").alias("row"), F.get("at_other", F.col("b")).alias("start"))
+    return chains.select("key", "row", (F.col("word") - F.col("b")).cast("int").alias("word"), (F.col("after") + F.col("a")).cast("int").alias("after"), F.get("at_own", F.col("b")).alias("start"), F.get("at_own_", F.col("a")).alias("end"), first.alias("first"))
 
 
 def _later(found: DataFrame) -> DataFrame:
@@ -160,9 +199,9 @@ def _later(found: DataFrame) -> DataFrame:
     return repeated.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
 
 
-def _runs(rows: DataFrame, least: int) -> DataFrame:
+def _runs(rows: DataFrame, least: int, kind: str) -> DataFrame:
     """Runs of repeated units: key, row, word, start, end, n_words and first (of the first unit)."""
-    repeated = _later(settle(hashed(rows)))
+    repeated = _later(settle(hashed(rows, kind)))
     run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
     spans = repeated.withColumn("run", run).groupBy("row", "run").agg(
         F.first("key").alias("key"), F.min("word").alias("word"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min_by("first", "unit").alias("first"),
@@ -174,37 +213,35 @@ def _named(spans: DataFrame, key: str) -> DataFrame:
     return spans.select(F.col("key").alias(key), "row", "start", "end", "n_words", F.col("first.key").alias("kept_key"), F.col("first.start").alias("kept_start"))
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line") -> DataFrame:
     """By units alone, a row for each removed span: key, row, start, end, n_words, kept_key and kept_start (of its first unit).
 
-    Null and empty texts have no units; null keys rank first. Of repeated rows one keeps its text. Other
-    columns are ignored; an empty table gives an empty result.
+    ``least`` words are the least of a run of repeated units that goes; with 0 every repeated unit does.
+    Null and empty texts have no units; null keys rank first. Of repeated rows one keeps its text. Texts
+    of any length are read in parts of bounded size. Other columns are ignored; an empty table gives
+    an empty result.
     """
-    return _named(_runs(numbered(docs, key, text), least), key)
+    return _named(_runs(numbered(docs, key, text), least, kind), key)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line") -> DataFrame:
     """As :func:`removals`, by units and by stretches of words: spans that touch are one, with the kept place of its first part.
 
     A stretch goes unless it overlaps its own first occurrence.
     """
-    rows = settle(numbered(docs, key, text))
-    anchors = settle(_anchors(rows, least))
-    twice = settle(anchors.groupBy("digest").count().where("count > 1").select("digest"))
-    near = anchors.where(sieve(twice, "digest", F.col("digest"))).join(twice, "digest").groupBy("row").agg(F.collect_list("word").alias("near"))
-    near = settle(near)
-    found = settle(_around(rows.where(sieve(near, "row", F.col("row"))).join(near, "row").select("key", "row", "text", "near"), least))
-    words = _later(found).where((F.col("row") != F.col("first.row")) | (F.col("start") >= F.col("first.end")))
-    parts = words.select("key", "row", "word", (F.col("word") + least).alias("after"), "start", "end", "first")
-    units_ = _runs(rows, least)
-    parts = parts.unionByName(units_.select("key", "row", "word", (F.col("word") + F.col("n_words")).cast("int").alias("after"), "start", "end", "first"))
+    return _named(_repeats(settle(numbered(docs, key, text)), least, kind), key)
+
+
+def _repeats(rows: DataFrame, least: int, kind: str) -> DataFrame:
+    parts = _passages(rows, max(1, least))
+    runs = _runs(rows, least, kind)
+    parts = parts.unionByName(runs.select("key", "row", "word", (F.col("word") + F.col("n_words")).cast("int").alias("after"), "start", "end", F.struct("first.key", "first.row", "first.start").alias("first")))
     order = Window.partitionBy("row").orderBy("word", "after")
     opens = F.col("word") > F.coalesce(F.max("after").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     parts = parts.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = parts.groupBy("row", "run").agg(
+    return parts.groupBy("row", "run").agg(
         F.first("key").alias("key"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("after") - F.min("word")).cast("long").alias("n_words"), F.min_by("first", F.struct("word", "after")).alias("first"),
     )
-    return _named(spans, key)
 
 
 def cut(text: Column, spans: Column) -> Column:
@@ -214,12 +251,20 @@ def cut(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, state, step, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.length(text) - s.at)))
 
 
-def cleaned(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the spans of their keys cut from the text, and ``removed``, the spans' original offsets. Keys must be unique."""
-    each = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.drop("removed").join(each, key, "left")
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line") -> DataFrame:
+    """``docs`` with all :func:`repeats` cut from the text, and ``removed``, their original offsets (start, end).
+
+    Rows that repeat a key are cut each by its own spans. A column named removed gives way, a null text stays null.
+    """
+    numbers = "_row"
+    while numbers in (c.lower() for c in docs.columns):
+        numbers += "_"
+    whole = settle(without(docs, ["removed"]).withColumn(numbers, F.monotonically_increasing_id()))
+    spans = _repeats(settle(whole.select(F.col(f"`{key}`").alias("key"), F.col(numbers).alias("row"), F.col(f"`{text}`").alias("text"))), least, kind)
+    each = spans.groupBy(F.col("row").alias(numbers)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    joined = whole.join(each, numbers, "left").drop(numbers)
     joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
-    return joined.withColumn(text, cut(F.col(text), F.col("removed")))
+    return joined.withColumn(text, cut(F.col(f"`{text}`"), F.col("removed")))
 
 
 def op4_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,36 +98,61 @@ def test_repeated_passages(spark):
     passage = prose(11, 70)
     rows = [(3, f"Here {passage} There"), (1, f"Once upon {passage} a time"), (2, prose(12, 90)), (4, None), (None, ""), (5, "short. short. short.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = substring_dup.removals(docs)
-    got = found.collect()
+    got = substring_dup.removals(docs, kind="sentence").collect()
     assert [(r.doc_id, r.kept_key) for r in got] == [(3, 1)]
     cut = dict(rows)[3][got[0].start : got[0].end]
     assert cut in passage and got[0].n_words == len(cut.split()) >= 50
-    kept = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in substring_dup.cleaned(docs, found).collect()}
-    assert kept[3] == (dict(rows)[3].replace(cut, ""), [(got[0].start, got[0].end)])
+    kept = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in substring_dup.cleaned(docs).collect()}
+    assert kept[3] == ("Here . There", [(5, len(rows[0][1]) - 7)])  # words alone go, not the mark after them
     assert kept[1] == (dict(rows)[1], []) and kept[4] == (None, [])
 
 
-def test_repeated_passages_against_brute_force(docs):
-    rows, place = [], {}
-    for key, text, *_ in cases():
-        rows.append((key, list(substring_dup.units(text or ""))))
-    flat = sorted(((k is not None, k or 0, i, u[0]), u[3]) for i, (k, us) in enumerate(rows) for u in us)
-    for at, digest in flat:
-        place.setdefault(digest, at)
-    spans = []
-    for i, (key, us) in enumerate(rows):
+def plain_units(text, mark):
+    """(start, end, words) of the parts of a text between marks, by hand."""
+    out, at = [], 0
+    for part in re.split(f"({mark})", text or ""):
+        words = re.findall(r"[^\s.!?]+", part)
+        if words:
+            start = at + len(part) - len(part.lstrip())
+            out.append((start, start + len(part.strip()), [w.lower() for w in words]))
+        at += len(part)
+    return out
+
+
+def plain_removals(rows, least, mark="\n"):
+    """Runs of repeated lines, without the operator's own code."""
+    first, spans = {}, []
+    split = [(key, plain_units(text, mark)) for key, text in rows]
+    for key, i, (start, _, words) in sorted(((k, i, u) for i, (k, us) in enumerate(split) for u in us), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2][0])):
+        first.setdefault(tuple(words), (i, start))
+    for i, (key, us) in enumerate(split):
         run = []
         for u in [*us, None]:
-            if u and place[u[3]] != (key is not None, key or 0, i, u[0]):
+            if u and first[tuple(u[2])] != (i, u[0]):
                 run.append(u)
             else:
-                if sum(x[2] for x in run) >= 20:
-                    spans.append((key, run[0][0], run[-1][1], sum(x[2] for x in run)))
+                if run and sum(len(x[2]) for x in run) >= least:
+                    spans.append((key, run[0][0], run[-1][1], sum(len(x[2]) for x in run)))
                 run = []
-    found = substring_dup.removals(docs).select("doc_id", "start", "end", "n_words").collect()
+    return sorted(map(str, spans))
+
+
+@pytest.mark.parametrize("least", [0, 20])
+def test_repeated_lines_against_brute_force(docs, spark, least):
     # which of two equal rows keeps its text is left open
-    assert sorted(map(str, map(tuple, found))) == sorted(map(str, spans))
+    found = substring_dup.removals(docs, least=least).select("doc_id", "start", "end", "n_words").collect()
+    assert sorted(map(str, map(tuple, found))) == plain_removals([r[:2] for r in cases()], least)
+    lines = [prose(400 + i, 12) for i in range(8)]
+    rows = [(i, "\n".join([lines[(i * 3 + j * j) % 8].upper() if j % 2 else f"  {lines[(i + j) % 8]} " for j in range(5)] + [f"own {i}", ""])) for i in range(12)]
+    found = substring_dup.removals(spark.createDataFrame(rows, "doc_id long, text string"), least=least).select("doc_id", "start", "end", "n_words").collect()
+    assert sorted(map(str, map(tuple, found))) == plain_removals(rows, least) != []
+
+
+def test_rows_of_one_key_are_cut_by_themselves(spark):
+    passage = prose(14, 60)
+    rows = [(1, passage, 7), (2, f"a\n{passage}", 8), (2, f"longer b\n{passage}\nc", 9)]
+    found = substring_dup.cleaned(spark.createDataFrame(rows, "doc_id long, text string, _row int")).collect()
+    assert sorted((r.doc_id, r.text, r._row) for r in found) == [(1, passage, 7), (2, "a\n", 8), (2, "longer b\n\nc", 9)]
 
 
 def test_repeated_passages_of_nothing(nothing):
@@ -138,7 +163,7 @@ def test_letters_that_grow_in_lower_case(spark):
     """They leave other sentences, and offsets, as they are."""
     passage = " ".join(w.capitalize() for w in prose(13, 70).split())
     rows = [(1, f"Start. {passage} End."), (2, f"\u0130zmir \u0130. {passage} Fin.")]
-    found = substring_dup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = substring_dup.removals(spark.createDataFrame(rows, "doc_id long, text string"), kind="sentence").collect()
     assert [(r.doc_id, rows[1][1][r.start : r.end].strip(), r.n_words) for r in found] == [(2, passage, 70)]
     assert [u[3] for u in substring_dup.units("X \u0130 Y")] == [u[3] for u in substring_dup.units("x i\u0307 y")]
 
@@ -158,9 +183,7 @@ def test_passages_without_whole_units(spark):
 
 
 def test_passages_against_brute_force(docs, spark):
-    """Every word of a stretch of 40 words that an earlier document holds goes; every word that goes lies in a repeated unit or stretch of 20."""
-    import random
-
+    """Every word of a stretch of 40 words that lies whole in the document that first holds its parts goes; every word that goes lies in a repeated unit or stretch of 20."""
     rng, pool = random.Random(5), [prose(s, 60) for s in range(30, 36)]
     rows = []
     for i in range(60):
@@ -169,14 +192,15 @@ def test_passages_against_brute_force(docs, spark):
         rows.append((i, f"{prose(100 + i, 25)} {' '.join(words[a : a + rng.randrange(20, 60)])} {prose(200 + i, 25)}"))
     found = substring_dup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     gone = {(r.doc_id, k) for r in found for k, (s, e, _) in enumerate(word_spans(dict(rows)[r.doc_id])) if r.start <= s and e <= r.end}
-    held = {20: set(), 40: set()}
-    must, may = set(), set()
+    first, must, may = {}, set(), set()
     for i, text in rows:
         words = [w for *_, w in word_spans(text)]
-        for n, marked in ((40, must), (20, may)):
-            mine = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
-            marked |= {(i, k + j) for k, g in enumerate(mine) if g in held[n] for j in range(n)}
-            held[n] |= set(mine)
+        mine = [first.setdefault(tuple(words[k : k + 20]), (i, k)) for k in range(len(words) - 19)]
+        may |= {(i, k + j) for k, (row, at) in enumerate(mine) if (row, at) != (i, k) for j in range(20)}
+        for k in range(len(words) - 39):
+            row, at = mine[k]
+            if row != i and mine[k : k + 21] == [(row, at + j) for j in range(21)]:
+                must |= {(i, k + j) for j in range(40)}
     units = {(r.doc_id, k) for r in substring_dup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect() for k, (s, e, _) in enumerate(word_spans(dict(rows)[r.doc_id])) if r.start <= s and e <= r.end}
     assert must and must <= gone and gone <= may | units
     assert sum(r.n_words for r in found) == len(gone)
