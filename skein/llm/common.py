@@ -13,16 +13,20 @@ from pyspark.sql.types import StructField, StructType
 
 #: Bytes between words: space and tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]"
+#: Bytes of an Arrow batch on its way to Python, at most (but for one longer row).
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder is set and
-    used. The folder goes when the session ends.
+    Only where that setting is absent and the master is local, as in tests on one machine, a temporary
+    folder is set and used. The folder goes when the session ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
         root = _checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/skein-{uuid.uuid4().hex}"
@@ -38,9 +42,17 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return found.get() if found.isDefined() else None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES at most: texts and sets differ in length, so a number of rows bounds no memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default; a value that the user has set stays
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: cuts the lineage, computes once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -76,6 +88,7 @@ def annotate(df: DataFrame, reads: str, adds: StructType, start: Callable[[], Ca
     tuple of new values. ``keep`` names the columns of ``df`` to return (all); columns of the names
     in ``adds`` give way.
     """
+    small_batches(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in adds}]
     passed = list(dict.fromkeys([*kept, reads]))
     source = df.select([F.col(f"`{c}`") for c in passed])
@@ -93,7 +106,7 @@ def annotate(df: DataFrame, reads: str, adds: StructType, start: Callable[[], Ca
     return source.mapInArrow(run, StructType([*fields, *[StructField(f.name, f.dataType, True) for f in adds]]))
 
 
-def slices(batch: pa.RecordBatch, at: int, room: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, at: int, room: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in parts whose column ``at`` holds some ``room`` bytes, or one row."""
     size = batch.column(at).nbytes
     step = max(1, batch.num_rows * room // max(size, room))
