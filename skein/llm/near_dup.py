@@ -7,10 +7,12 @@ rarest that each retains: only those go into inverted lists. Candidates from the
 union-sketch estimate (the share of the union's bottom k that both retain) and then an exact
 comparison of the whole sets of both texts.
 
-Long lists, of many near copies or of a common passage, don't give all their pairs. Each names a leader,
+A value of many classes makes a list only together with another one: near sets share two of one more.
+Lists that are long all the same, of many near copies or of a common passage, don't give all their
+pairs. Each names a leader,
 first the class that shares values with most others, then the nearest to that one (near copies are
 farther from each other than from what they were copied from). Members are compared with their
-leaders alone. What is near a leader is linked; any other pair of the list still needs shingles in common
+leaders alone, and those that are not near it with a second one. What is near a leader is linked; any other pair of the list still needs shingles in common
 outside the leader's set, as exact counts tell, so what is left of the sets meets by a prefix
 filter: its rarest shingles make new lists, and a pair counts where enough shingles follow in both.
 No pair is lost on the way: pairs whose counts allow a link within the leader's set alone are
@@ -94,7 +96,11 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, k: int) -> DataFra
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, id, n, score, member: each class under its retained values that others retain too, as a member under the rarest of them; score is how often others do."""
+    """key, id, n, score: each class under the rarest of its retained values that others retain too; score is how often others do.
+
+    Near classes share one of their ``room`` rarest values, and two of one more; a value of many classes
+    is a key only together with each that follows it.
+    """
     entries = classes.select("id", "n", F.explode("sketch").alias("value"))
     counts = entries.groupBy("value").count().where("count > 1")
     whole = k * percent // 100  # up to this size, both sets of a pair are retained whole
@@ -102,9 +108,16 @@ def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     kept = F.least(F.col("n"), F.lit(k))
     shared = entries.join(counts, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("shared"))
     # the values that no other class retains are the rarest and stand first
-    room = (kept - least + 1) - (kept - F.size("shared"))
-    found = shared.withColumn("room", room).withColumn("score", F.aggregate("shared", F.lit(0).cast("long"), lambda n, s: n + s["count"])).where("room > 0").select("id", "n", "room", "score", F.posexplode("shared").alias("place", "s"))
-    return found.select(F.col("s.value").alias("key"), "id", "n", "score", (F.col("place") < F.col("room")).alias("member"))
+    room = ((kept - least + 1) - (kept - F.size("shared"))).cast("int")
+    score = F.aggregate("shared", F.lit(0).cast("long"), lambda n, s: n + s["count"])
+    ranked = shared.select("id", "n", score.alias("score"), room.alias("room"), F.slice("shared", F.lit(1), F.greatest(F.lit(0), room + 1)).alias("first")).where("room > 0")
+
+    def keys(s: Column, i: Column) -> Column:
+        following = F.slice("first", i + 2, F.size("first"))
+        both = F.transform(following, lambda w: F.xxhash64(s["value"], w["value"]))
+        return F.when(i >= F.col("room"), F.array().cast("array<long>")).when(s["count"] > LONG, both).otherwise(F.array(s["value"]))
+
+    return ranked.select(F.explode(F.flatten(F.transform("first", keys))).alias("key"), "id", "n", "score")
 
 
 def _least(total: Column, percent: int) -> Column:
@@ -278,6 +291,16 @@ def _moved(tried: DataFrame) -> DataFrame:
     return moved.where("id <> leader").select("leader", "id", "n").distinct()
 
 
+def _second(led: DataFrame) -> DataFrame:
+    """leader, id, n: of the members not near their leader the one that shares most with others of them leads those."""
+    left = led.where("not near").select("leader", "id", "n", "rest")
+    shingles_ = left.select("leader", "id", "n", F.explode("rest").alias("shingle"))
+    counts = shingles_.groupBy("leader", "shingle").count().where("count > 1")
+    score = shingles_.join(counts, ["leader", "shingle"]).groupBy("leader", "id").agg((F.sum(F.col("count") - 1) / F.first("n")).alias("score"))
+    best = score.groupBy("leader").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
+    return left.join(best, "leader").where("id <> best").select(F.col("best").alias("leader"), "id", "n").distinct()
+
+
 def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` (id, label) after the labels that ``edges`` (a, b) link became one each."""
     roots = components(edges).withColumnRenamed("node", "label")
@@ -294,16 +317,17 @@ def _ids(*columns: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int, percent: int, k: int) -> DataFrame:
     """(id, label) for the classes that have lists: classes of one label are linked."""
     lists = settle(_lists(classes, k, percent))
-    counts = lists.where("member").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    counts = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = settle(lists.join(counts, "key"))
-    few = live.where((F.col("c") <= LONG) & F.col("member")).select("key", "id", "n")
+    few = live.where(F.col("c") <= LONG).select("key", "id", "n")
     long = live.where(F.col("c") > LONG)
-    pairs = settle(long.where("member").join(_leaders(long), "key").where("id <> leader").select("leader", "id", "n").distinct())
+    pairs = settle(long.join(_leaders(long), "key").where("id <> leader").select("leader", "id", "n").distinct())
     sets = _sets(docs, key, text, classes, _ids(pairs.select("leader"), pairs.select("id")), size)
     tried = settle(_led(pairs, sets, percent, rest=False).drop("rest"))
     led = settle(_led(settle(_moved(tried)), sets, percent))
-    near = tried.where("near").select("leader", "id").unionByName(led.where("near").select("leader", "id")).toDF("a", "b")
-    labels = _relabelled(lists.select("id").distinct().withColumn("label", F.col("id")), near)
+    more = settle(_led(settle(_second(led)), sets, percent, rest=False).drop("rest"))
+    near = tried.unionByName(led.drop("rest")).unionByName(more).where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    labels = _relabelled(live.select("id").distinct().withColumn("label", F.col("id")), near)
     homes = led.select("id", "leader", "alike").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike")).distinct())
     homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
     led = settle(led.join(labels, "id").join(homes, "id"))
