@@ -176,3 +176,23 @@ def spaced_top(rows: DataFrame, key: list[str], order: list[Column], place: str,
         near = best.select(*key, F.col(place).alias("_at"))
         left = left.join(near, key).where(F.abs(F.col(place) - F.col("_at")) >= spacing).drop("_at")
     return taken.drop("_rank")
+
+
+def nearest_other(rows: DataFrame, key: list[str], value: str, ident: str, side: str) -> DataFrame:
+    """``other``: for each row the row of the other side (0 or 1) of its key with the nearest value, of equal gaps (to the cent) the smallest id.
+
+    Only the distinct values next below, at and above a row can be nearest, and each side has one id for a value.
+    """
+    least = rows.groupBy(*key, side, value).agg(F.min(ident).alias("_id"))
+    both = rows.select(*key, value).distinct()
+    marks = both
+    for k in (0, 1):
+        own = least.where(F.col(side) == k).select(*key, value, F.struct(value, "_id").alias(f"_at{k}"))
+        marks = marks.join(own, [*key, value], "left")
+    up, down = Window.partitionBy(*key).orderBy(value), Window.partitionBy(*key).orderBy(F.desc(value))
+    for k in (0, 1):
+        marks = marks.withColumns({f"_low{k}": F.last(f"_at{k}", ignorenulls=True).over(up), f"_high{k}": F.last(f"_at{k}", ignorenulls=True).over(down)})
+    placed = rows.join(marks, [*key, value])
+    low, high = (F.when(F.col(side) == 0, F.col(f"_{n}1")).otherwise(F.col(f"_{n}0")) for n in ("low", "high"))
+    candidate = lambda c: F.when(c.isNotNull(), F.struct(F.round(F.abs(F.col(value) - c[value]), 2).alias("gap"), c["_id"].alias("id")))
+    return placed.withColumn("other", F.least(candidate(low), candidate(high))["id"]).select(*rows.columns, "other")

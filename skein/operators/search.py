@@ -31,9 +31,11 @@ def tokens(text: str) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """term, key, tf and dl (the row's length in tokens); to be kept beside the rows, by term."""
+def postings(rows: DataFrame, key: list[str], text: str = "text", only: list[str] | None = None) -> DataFrame:
+    """term, key, tf and dl (the row's length in tokens), of the terms in ``only`` (all); to be kept beside the rows, by term."""
     found = rows.select(*key, tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
+    if only is not None:
+        found = found.withColumn("_t", F.filter("_t", lambda t: t.isin(only)))
     return found.select(*key, "dl", F.explode("_t").alias("term")).groupBy("term", *key, "dl").agg(F.count("*").alias("tf"))
 
 
@@ -50,7 +52,7 @@ def search(rows: DataFrame, query: str, key: list[str], text: str = "text", inde
             hit = hit & F.contains(folded(text), F.lit(t.lower()))
         return rows.where(hit).select(*key, F.lit(0.0).alias("score"))
     wanted = list(dict.fromkeys(w for t in asked for w in re.findall(r"[^\W_]+", t.lower().translate(str.maketrans(ACCENTED, PLAIN)))))
-    index = postings(rows, key, text) if index is None else index
+    index = postings(rows, key, text, wanted) if index is None else index
     if not wanted:
         return index.select(*key, F.lit(0.0).alias("score")).limit(0)
     stats = rows.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()

@@ -36,8 +36,11 @@ def cosine_distance(a: str | Column, b: str | Column) -> Column:
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, room: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` rows nearest to each query by cosine, itself left out: query, key, similarity and rank.
 
-    Queries go out in blocks of a stated size; each task keeps ``k`` rows a query, and those meet by query.
+    Of rows equally near the smaller key ranks first. Rows and queries without a vector or key are
+    left out. Queries go out in blocks of a stated size; each task keeps ``k`` rows a query, and
+    those meet by query.
     """
+    rows, queries = (x.where(F.col(key).isNotNull() & F.col(vector).isNotNull()) for x in (rows, queries))
     spark, name = rows.sparkSession, rows.schema[key]
     kind = StructType([StructField("query", name.dataType), StructField(key, name.dataType), StructField("similarity", DoubleType())])
     width = queries.agg(F.max(F.size(vector))).first()[0] or 1
@@ -52,6 +55,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
             names, goal = shared.value
             best: list[pd.DataFrame] = []
             for frame in frames:
+                frame = frame.sort_values(key)  # ties then go by key, as the sort below is stable
                 own = np.array([np.asarray(v, "f8") for v in frame[vector]]).reshape(len(frame), -1)
                 if not len(own) or not len(goal):
                     continue
@@ -89,72 +93,212 @@ def silhouette(rows: DataFrame, key: list[str], label: str = "label", vector: st
     return scored.groupBy(*key).agg((F.sum(score * F.col(weight)) / F.sum(weight)).alias("silhouette"))
 
 
+#: The distance at which voices part, the most speakers of a meeting, and cuts that are tried for each.
+THRESHOLD, SPEAKERS, CUTS = 0.58, 12, 3
+#: Voices above which they are pooled first, at this part of the threshold.
+POOL_ABOVE, POOL_PART = 600, 3
+#: What is less than a speaker (by share of the speech, within bounds), and the spread of one that is spared.
+FRAGMENT_SHARE, FRAGMENT_LEAST_MS, FRAGMENT_MOST_MS, COHERENT = 0.01, 3_000, 30_000, 0.35
+#: The least gap between two speakers (a softer one where nothing fits), the distance at which none are fused, margins between counts.
+SPLIT, SOFT_SPLIT, FUSE, MARGIN, TIE = 0.50, 0.42, 0.75, 0.05, 0.01
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+
+
 @dataclass
-class Tree:
-    """Merges by weighted centroid linkage: at each step the nearest pair, the first in order on ties."""
+class Voices:
+    """One meeting's voices: unit vectors and their milliseconds of speech."""
 
     vectors: np.ndarray
-    weights: np.ndarray
-
-    def cut(self, threshold: float, most: int) -> np.ndarray:
-        """Labels when no pair is nearer than ``threshold`` and at most ``most`` groups are left, numbered by first member."""
-        v = self.vectors / np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        w, groups = self.weights.astype("f8").copy(), [[i] for i in range(len(v))]
-        far = 1 - v @ v.T
+    ms: np.ndarray
+
+    @classmethod
+    def of(cls, vectors: list, ms: list) -> Voices:
+        return cls(_unit(np.array([np.asarray(v, "f8") for v in vectors])), np.asarray(ms, "i8"))
+
+    def __post_init__(self):
+        self.weight = np.maximum(self.ms, 1).astype("f8")
+        self.pooled = len(self.vectors) > POOL_ABOVE
+
+    def sums(self, labels: np.ndarray) -> np.ndarray:
+        out = np.zeros((labels.max() + 1, self.vectors.shape[1]))
+        np.add.at(out, labels, self.vectors * self.weight[:, None])
+        return out
+
+    def mass(self, labels: np.ndarray) -> np.ndarray:
+        return np.bincount(labels, np.maximum(self.ms, 0), labels.max() + 1)
+
+    def leaves(self, threshold: float = THRESHOLD) -> np.ndarray:
+        """A label for each voice by itself, or for pools, whose centres move as voices join the nearest one."""
+        if not self.pooled:
+            return np.arange(len(self.vectors))
+        sums, centres, pool = np.zeros_like(self.vectors), np.zeros_like(self.vectors), np.zeros(len(self.vectors), int)
+        number = 0
+        for i, v in enumerate(self.vectors):
+            far = 1 - centres[:number] @ v
+            at = int(far.argmin()) if number else 0
+            if not number or far[at] >= threshold / POOL_PART:
+                at, number = number, number + 1
+            pool[i] = at
+            sums[at] += v * self.weight[i]
+            centres[at] = _unit(sums[at])
+        return pool
+
+    def merges(self, labels: np.ndarray) -> list[tuple[int, int, float]]:
+        """By centroid linkage down to one group: (kept, merged, distance), the nearest pair first, the first in order on ties."""
+        sums, out = self.sums(labels), []
+        centres = _unit(sums)
+        far = 1 - centres @ centres.T
         np.fill_diagonal(far, np.inf)
-        alive = np.ones(len(v), bool)
-        while alive.sum() > 1:
-            i, j = divmod(int(far.argmin()), len(v))
-            if far[i, j] >= threshold and alive.sum() <= most:
-                break
-            i, j = min(i, j), max(i, j)
-            total = v[i] * w[i] + v[j] * w[j]
-            v[i], w[i] = total / max(np.linalg.norm(total), 1e-12), w[i] + w[j]
-            groups[i] += groups[j]
+        alive = np.ones(len(sums), bool)
+        for _ in range(len(sums) - 1):
+            i, j = sorted(divmod(int(far.argmin()), len(sums)))
+            out.append((i, j, float(far[i, j])))
+            sums[i] += sums[j]
             alive[j] = False
-            far[j, :] = far[:, j] = np.inf
-            row = np.where(alive, 1 - v @ v[i], np.inf)
+            centres[i] = _unit(sums[i])
+            row = np.where(alive, 1 - centres @ centres[i], np.inf)
             row[i] = np.inf
+            far[j, :] = far[:, j] = np.inf
             far[i, :] = far[:, i] = row
-        labels = np.zeros(len(v), int)
-        for n, g in enumerate(sorted((g for g, a in zip(groups, alive) if a), key=min)):
-            labels[g] = n
+        return out
+
+    def after(self, labels: np.ndarray, merges: list[tuple[int, int, float]]) -> np.ndarray:
+        """``labels`` after these merges, numbered by first voice."""
+        into = np.arange(labels.max() + 1)
+        for i, j, _ in reversed(merges):  # what a group goes into later is known by then
+            into[j] = into[i]
+        return _numbered(into[labels])
+
+    def absorbed(self, labels: np.ndarray, least_ms: float) -> np.ndarray:
+        """Groups under ``least_ms`` go to the nearest one, the smallest first; a coherent voice of some length is spared above the least bar."""
+        sparing = least_ms > FRAGMENT_LEAST_MS and not self.pooled
+        while labels.max() > 0:
+            mass, centres = self.mass(labels), _unit(self.sums(labels))
+            spread = np.bincount(labels, 1 - (self.vectors * centres[labels]).sum(axis=1)) / np.bincount(labels)
+            small = (mass < least_ms) & ~(sparing & (mass >= FRAGMENT_LEAST_MS) & (spread <= COHERENT))
+            if not small.any():
+                break
+            gone = int(np.where(small, mass, np.inf).argmin())
+            far = 1 - centres @ centres[gone]
+            far[gone] = np.inf
+            labels = _numbered(np.where(labels == gone, int(far.argmin()), labels))
         return labels
 
+    def gap(self, labels: np.ndarray) -> float:
+        """The distance of the nearest two groups; 0 for one."""
+        centres = _unit(self.sums(labels))
+        far = 1 - centres @ centres.T + np.eye(len(centres)) * 4
+        return float(far.min()) if len(centres) > 1 else 0.0
+
+    def silhouette(self, labels: np.ndarray) -> float:
+        """Weighted by speech: own centre without the voice against the nearest other; a voice alone scores 0."""
+        sums = self.sums(labels)
+        if len(sums) < 2:
+            return 0.0
+        far = np.clip(1 - self.vectors @ _unit(sums).T, 0, 2)
+        rows = np.arange(len(labels))
+        alone = np.bincount(labels)[labels] == 1
+        own = np.clip(1 - (self.vectors * _unit(sums[labels] - self.vectors * self.weight[:, None])).sum(axis=1), 0, 2)
+        far[rows, labels] = np.inf
+        other = far.min(axis=1)
+        score = np.where(alone | (np.maximum(own, other) <= 0), 0.0, (other - own) / np.maximum(np.maximum(own, other), 1e-12))
+        return float((score * self.weight).sum() / self.weight.sum())
+
+    def cut(self, threshold: float = THRESHOLD, most: int = SPEAKERS) -> np.ndarray:
+        """Merged while two groups are nearer than ``threshold`` or there are too many; then fragments go."""
+        labels = self.leaves(threshold)
+        merges, left = self.merges(labels), labels.max() + 1
+        number = 0
+        while number < len(merges) and (merges[number][2] < threshold or left - number > most):
+            number += 1
+        return self.absorbed(self.after(labels, merges[:number]), FRAGMENT_LEAST_MS)
+
+    def tried(self, least_ms: float):
+        """(merges taken, labels) for each cut down to one group, fragments gone."""
+        labels = self.leaves()
+        merges = self.merges(labels)
+        for keep in range(1, min(SPEAKERS * CUTS, len(merges) + 1) + 1):
+            number = len(merges) + 1 - keep
+            yield merges, number, self.absorbed(self.after(labels, merges[:number]), least_ms)
+
+    def fixed(self, count: int) -> np.ndarray:
+        """As near to ``count`` groups as a cut comes without more; of those the one of the best silhouette."""
+        asked = min(max(count, 1), SPEAKERS)
+        found = [(labels.max() + 1, self.silhouette(labels), -k, labels) for k, (_, _, labels) in enumerate(self.tried(FRAGMENT_LEAST_MS)) if labels.max() < asked]
+        return max(found, key=lambda x: x[:3])[3]
+
+    def automatic(self) -> np.ndarray:
+        """The cut whose count of speakers fits best: see :func:`choose`."""
+        bar = min(max(int(self.ms.clip(0).sum() * FRAGMENT_SHARE), FRAGMENT_LEAST_MS), FRAGMENT_MOST_MS)
+        best: dict[int, dict] = {}
+        forced = None
+        for merges, number, labels in self.tried(bar):
+            forced = self._forced(merges, bar) if forced is None else forced
+            count, keep, gap = int(labels.max()) + 1, len(merges) + 1 - number, self.gap(labels)
+            why = "many" if count > SPEAKERS else "one voice" if count > 1 and gap < SPLIT else "fused" if keep < forced and count < SPEAKERS else None
+            near = max(merges[number - 1][2] - THRESHOLD if number else 0.0, THRESHOLD - merges[number][2] if number < len(merges) else 0.0, 0.0)
+            row = {"count": count, "silhouette": self.silhouette(labels), "gap": gap, "refused": why, "off": near, "labels": labels}
+            held = best.get(count)
+            if held is None or (row["refused"] is None, row["silhouette"]) > (held["refused"] is None, held["silhouette"]):
+                best[count] = row
+        return choose([best[c] for c in sorted(best)])["labels"]
+
+    def _forced(self, merges: list[tuple[int, int, float]], bar: float) -> int:
+        """Groups that must be left so that no two speakers are fused across too large a distance."""
+        mass = self.mass(self.leaves())
+        for n, (i, j, d) in enumerate(merges):
+            if d >= FUSE and mass[i] >= bar and mass[j] >= bar:
+                return len(merges) + 1 - n
+            mass[i] += mass[j]
+        return 0
+
+
+def choose(rows: list[dict]) -> dict:
+    """Of cuts by count: the best silhouette of those not refused; near ties by how near the cut is to the usual distance, then by more speakers.
+
+    Where even the best is below 0, a cut refused for its gap alone may stand if it is clearly better.
+    """
+    allowed = [r for r in rows if r["refused"] is None]
+    top = max((r["silhouette"] for r in allowed), default=0.0)
+    if allowed and top < 0:
+        better = [r for r in rows if r["refused"] == "one voice" and r["gap"] >= SOFT_SPLIT and r["silhouette"] >= top + MARGIN]
+        if better:
+            return max(better, key=lambda r: r["silhouette"])
+    ranked = allowed or rows
+    top = max(r["silhouette"] for r in ranked)
+    return min((r for r in ranked if top - r["silhouette"] < TIE), key=lambda r: (r["off"], -r["count"]))
+
+
+def _numbered(labels: np.ndarray) -> np.ndarray:
+    """Labels numbered by first appearance."""
+    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse]
+
+
+#: Voices of one meeting, at most: a meeting is one group, and its distances a square.
+MEETING = 5_000
 
-#: Voices of a meeting above which they are pooled first, and the longest distance within a pool.
-POOL_ABOVE = 600
 
+def cluster(rows: DataFrame, key: list[str], ident: str, vector: str = "embedding", weight: str = "weight", threshold: float = THRESHOLD, most: int = SPEAKERS, count: str | int | None = None) -> DataFrame:
+    """``cluster`` of each row within its key: by the threshold, by the best count ("auto") or by a given one.
 
-def cluster(rows: DataFrame, key: list[str], ident: str, vector: str = "embedding", weight: str = "weight", threshold: float = 0.58, most: int = 12) -> DataFrame:
-    """``cluster`` of each row within its key. A meeting's voices are a group of bounded size; above 600 they are pooled at a third of the threshold."""
+    A key is one meeting, whose voices one task holds; more than MEETING of them are refused, not cut.
+    Vectors of different lengths cannot be compared: all are one speaker then.
+    """
     kind = StructType([*[rows.schema[k] for k in (*key, ident)], StructField("cluster", IntegerType())])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MEETING:
+            raise ValueError(f"a meeting of {len(frame)} voices; at most {MEETING}")
         frame = frame.sort_values(ident, ignore_index=True)
-        lengths = {len(v) for v in frame[vector]}
-        if len(lengths) > 1:
+        if len({len(v) for v in frame[vector]}) > 1:
             return frame.assign(cluster=0)[kind.names]
-        v, w = np.array([np.asarray(x, "f8") for x in frame[vector]]), frame[weight].to_numpy("f8")
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        pool = np.arange(len(v))
-        if len(v) > POOL_ABOVE:
-            heads: list[np.ndarray] = []
-            pool = np.zeros(len(v), int)
-            for i, x in enumerate(v):
-                far = 1 - np.array(heads) @ x if heads else np.array([])
-                if len(far) and far.min() < threshold / 3:
-                    pool[i] = int(far.argmin())
-                else:
-                    pool[i] = len(heads)
-                    heads.append(x)
-        count = pool.max() + 1
-        sums, weights = np.zeros((count, v.shape[1])), np.zeros(count)
-        np.add.at(sums, pool, v * w[:, None])
-        np.add.at(weights, pool, w)
-        labels = Tree(sums, weights).cut(threshold, most)[pool]
-        order = {x: n for n, x in enumerate(dict.fromkeys(labels.tolist()))}
-        return frame.assign(cluster=[order[x] for x in labels])[kind.names]
+        voices = Voices.of(frame[vector], frame[weight])
+        labels = voices.cut(threshold, most) if count is None else voices.automatic() if count == "auto" else voices.fixed(count)
+        return frame.assign(cluster=_numbered(labels))[kind.names]
 
     return rows.groupBy(*key).applyInPandas(run, kind)
 
@@ -184,24 +328,41 @@ def outliers(rows: DataFrame, key: list[str], ident: str, vector: str = "embeddi
 def assignment(shared: np.ndarray) -> list[int | None]:
     """For each row the column that makes the total shared time largest, each column once; nothing shared is never matched.
 
-    Over subsets of columns, so for the few tracks of neighbouring windows: 16 at most.
+    Shortest augmenting paths over reduced costs, so cubic in the number of tracks; of equal totals, any.
     """
     rows, columns = shared.shape
-    if columns > 16:
-        raise ValueError("more than 16 columns")
-    best: dict[int, tuple[int, tuple]] = {0: (0, ())}
-    for i in range(rows):
-        after: dict[int, tuple[int, tuple]] = {}
-        for used, (total, picks) in best.items():
-            for j in (None, *range(columns)):
-                if j is not None and (used >> j & 1 or shared[i, j] <= 0):
-                    continue
-                key = used if j is None else used | 1 << j
-                value = total + (0 if j is None else int(shared[i, j]))
-                if key not in after or value > after[key][0]:
-                    after[key] = (value, (*picks, j))
-        best = after
-    return list(max(best.values(), key=lambda x: x[0])[1])
+    if not rows or not columns:
+        return [None] * rows
+    # a spare column of no cost for each row, so that a row may stay alone
+    cost = np.hstack([-np.maximum(shared, 0).astype("f8"), np.zeros((rows, rows))])
+    width = columns + rows
+    u, v, owner = np.zeros(rows), np.zeros(width), np.full(width, -1)
+    for row in range(rows):
+        best, before, done = np.full(width, np.inf), np.full(width, -1), np.zeros(width, bool)
+        at, column = row, -1
+        while True:
+            slack = cost[at] - u[at] - v
+            closer = ~done & (slack < best)
+            best[closer], before[closer] = slack[closer], column
+            column_next = int(np.where(done, np.inf, best).argmin())
+            step = best[column_next]
+            u[row] += step
+            u[owner[done]] += step
+            v[done] -= step
+            best[~done] -= step
+            done[column_next], column = True, column_next
+            if owner[column] < 0:
+                break
+            at = owner[column]
+        while column >= 0:
+            previous = before[column]
+            owner[column] = row if previous < 0 else owner[previous]
+            column = previous
+    picks: list[int | None] = [None] * rows
+    for j in range(columns):
+        if owner[j] >= 0 and shared[owner[j], j] > 0:
+            picks[owner[j]] = j
+    return picks
 
 
 def matched(shared: DataFrame, key: list[str], row: str, column: str, value: str) -> DataFrame:

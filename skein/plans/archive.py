@@ -76,12 +76,12 @@ def e2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e6_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers of a nation that are each other's nearest in balance."""
-    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    score = F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2)
-    scored = rows.select("c_custkey", "s_suppkey", score.alias("gap"))
-    a = scored.groupBy("c_custkey").agg(F.min(F.struct("gap", "s_suppkey")).alias("b")).select("c_custkey", "b.s_suppkey")
-    b = scored.groupBy("s_suppkey").agg(F.min(F.struct("gap", "c_custkey")).alias("b")).select("s_suppkey", "b.c_custkey")
-    return a.join(b, ["c_custkey", "s_suppkey"])
+    customers = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_custkey").alias("id"), F.lit(0).alias("side"))
+    suppliers = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("id"), F.lit(1).alias("side"))
+    both = R.nearest_other(customers.unionByName(suppliers), ["nation"], "balance", "id", "side")
+    a, b = (both.where(F.col("side") == k) for k in (0, 1))
+    mutual = a.select(F.col("id").alias("c_custkey"), F.col("other").alias("s_suppkey")).join(b.select(F.col("other").alias("c_custkey"), F.col("id").alias("s_suppkey")), ["c_custkey", "s_suppkey"])
+    return mutual
 
 
 def f1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,10 @@ def f1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g10_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without the provisional ones that overlap a final line of their meeting's other channel."""
     rows = segments(spark, sf_dir)
-    final = rows.where("is_final").select("meeting_id", F.col("channel").alias("_c"), (F.col("t_start_ms") - 300).alias("_s"), F.col("t_end_ms").alias("_e"))
-    hit = (rows["meeting_id"] == final["meeting_id"]) & ~rows["is_final"] & (F.col("channel") != F.col("_c")) & (F.col("t_start_ms") < F.col("_e") + 300) & (F.col("_s") < F.col("t_end_ms"))
-    return rows.join(final, hit, "left_anti").select("meeting_id", "turn")
+    spans_ = rows.select("meeting_id", "turn", "channel", "is_final", F.col("t_start_ms").alias("s"), F.col("t_end_ms").alias("e"))
+    final = spans_.where("is_final").select("meeting_id", F.col("channel").alias("other"), (F.col("s") - 300).alias("s"), (F.col("e") + 300).alias("e"))
+    hit = I.overlapping(spans_.where("not is_final"), final, ["meeting_id"]).where("channel <> other_b").select("meeting_id", "turn")
+    return rows.select("meeting_id", "turn").join(hit, ["meeting_id", "turn"], "left_anti")
 
 
 def g11_clear(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,8 @@ def j9_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j20_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    partials = events.where("event_type <> 'purchase'").select(F.pmod("event_id", F.lit(3000)).alias("line"), F.when(F.col("value") > 30, F.col("props")).otherwise("").alias("text"), F.col("event_id").alias("seq"))
-    finals = events.where("event_type = 'purchase' and event_id < 3000").select(F.col("event_id").alias("line"), F.col("props").alias("text"))
+    partials = events.where("event_type <> 'purchase'").select(F.floor(F.col("event_id") / 4).alias("line"), F.when(F.col("value") > 30, F.col("props")).otherwise("").alias("text"), F.col("event_id").alias("seq"))
+    finals = events.where("event_type = 'purchase'").groupBy(F.floor(F.col("event_id") / 4).alias("line")).agg(F.max_by("props", "event_id").alias("text"))
     return W.reconciled(partials, finals, ["line"])
 
 
@@ -70,7 +70,7 @@ ORACLE_SQL = {
 s AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o), n AS (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""",
     "j9_split": f"WITH {SEGMENTS} SELECT a.meeting_id, a.turn, CASE WHEN a.t_start_ms >= coalesce(f.t_start_ms, 0) THEN 'live' ELSE 'disk' END AS side FROM segments a LEFT JOIN segments f ON f.meeting_id = a.meeting_id AND f.turn = 2",
-    "j20_reconciled": """WITH p AS (SELECT event_id % 3000 AS line, CASE WHEN value > 30 THEN props ELSE '' END AS text, event_id AS seq FROM events WHERE event_type <> 'purchase'),
-n AS (SELECT line, arg_max(text, seq) AS text FROM p GROUP BY line), f AS (SELECT event_id AS line, props AS text FROM events WHERE event_type = 'purchase' AND event_id < 3000)
+    "j20_reconciled": """WITH p AS (SELECT event_id // 4 AS line, CASE WHEN value > 30 THEN props ELSE '' END AS text, event_id AS seq FROM events WHERE event_type <> 'purchase'),
+n AS (SELECT line, arg_max(text, seq) AS text FROM p GROUP BY line), f AS (SELECT event_id // 4 AS line, arg_max(props, event_id) AS text FROM events WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT line, text, true AS is_final FROM f UNION ALL SELECT line, text, false FROM n WHERE text <> '' AND line NOT IN (SELECT line FROM f)""",
 }

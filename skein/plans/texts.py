@@ -118,9 +118,23 @@ def l2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def _meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as the voices of meetings of 200, each of some seconds."""
+    return read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("meeting"), "vec_id", "embedding", (F.col("vec_id") % 5 * 1000 + 500).alias("weight"))
+
+
 def l4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("meeting"), "vec_id", "embedding", F.lit(1.0).alias("weight"))
-    return L.cluster(rows, ["meeting"], "vec_id")
+    return L.cluster(_meetings(spark, sf_dir), ["meeting"], "vec_id")
+
+
+def l5_auto_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many speakers as fit each meeting best."""
+    return L.cluster(_meetings(spark, sf_dir), ["meeting"], "vec_id", count="auto")
+
+
+def l6_fixed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four speakers in each meeting, or as many as its voices give."""
+    return L.cluster(_meetings(spark, sf_dir), ["meeting"], "vec_id", count=4)
 
 
 def l7_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +161,7 @@ def m2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     n3_search, n3_postings, n4_highlight, n5_fold, n7_sounds, n8_distance, n14_phantoms, n15_loops, n16_strip_overlap, n19_chunks, n22_json, n25_formats, n26_file_names, n27_contains_word, n28_redact,
-    d13_centroids, e5_top_two, l2_nearest, l4_clusters, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag,
+    d13_centroids, e5_top_two, l2_nearest, l4_clusters, l5_auto_count, l6_fixed_count, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 

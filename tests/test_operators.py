@@ -128,7 +128,7 @@ def test_search_needs_all_terms_and_folds_accents(spark):
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centre = np.eye(3, 16) * 4
-    rows = [(1, i, [float(x) for x in centre[i % 3] + rng.normal(size=16) * 0.3], 1.0) for i in range(30)]
+    rows = [(1, i, [float(x) for x in centre[i % 3] + rng.normal(size=16) * 0.3], 2_000.0) for i in range(30)]
     table = spark.createDataFrame(rows, "meeting int, id long, embedding array<double>, weight double")
     found = {r.id: r.cluster for r in vectors.cluster(table, ["meeting"], "id").collect()}
     assert all(found[i] == found[i % 3] for i in range(30)) and len(set(found.values())) == 3
@@ -143,6 +143,56 @@ def test_vectors(spark):
     assert vectors.silhouette(labelled, ["meeting"]).first().silhouette > 0.9
 
 
+def voices(seed, groups, each, ms, noise=0.25):
+    rng = np.random.default_rng(seed)
+    centre = np.linalg.qr(rng.normal(size=(24, 24)))[0][:groups] * 4
+    return vectors.Voices.of([centre[i % groups] + rng.normal(size=24) * noise for i in range(groups * each)], [ms] * groups * each)
+
+
+@pytest.mark.parametrize("groups", [1, 2, 3, 5, 7])
+def test_speaker_counts(groups):
+    """The automatic count finds the speakers; a fixed one gives as many as asked for, or the most there are."""
+    found = voices(groups, groups, 12, 4_000)
+    truth = np.arange(len(found.ms)) % groups
+    same = lambda a, b: len(set(zip(a.tolist(), b.tolist()))) == len(set(a.tolist())) == len(set(b.tolist()))
+    assert same(found.cut(), truth) and same(found.fixed(groups), truth)
+    assert groups == 1 or same(found.automatic(), truth)
+    assert found.fixed(1).max() == 0 and found.fixed(groups + 3).max() + 1 >= groups
+
+
+def test_pools_move_and_give_the_same_speakers():
+    found = voices(3, 4, 200, 1_000)
+    assert found.pooled and found.leaves().max() + 1 < 800
+    assert vectors._numbered(found.cut()).tolist() == (np.arange(800) % 4).tolist()
+
+
+def test_fragments_are_absorbed_but_for_coherent_voices():
+    base = voices(6, 2, 20, 30_000)
+    stray = np.vstack([base.vectors, vectors._unit(np.ones((2, 24)))])
+    few = vectors.Voices(stray, np.array([*base.ms, 400, 400]))
+    assert few.cut().max() + 1 == 2  # under three seconds: a fragment
+    some = vectors.Voices(stray, np.array([*base.ms, 2_500, 2_500]))
+    labels = np.array([*(np.arange(40) % 2), 2, 2])
+    assert some.absorbed(labels, 12_000).max() + 1 == 3  # five seconds of one voice that agrees with itself
+    assert some.absorbed(labels, 3_000).max() + 1 == 3 and few.absorbed(labels, 3_000).max() + 1 == 2
+
+
+def test_choice_between_counts():
+    row = lambda count, silhouette, refused=None, off=0.0, gap=0.6: {"count": count, "silhouette": silhouette, "refused": refused, "off": off, "gap": gap}
+    assert vectors.choose([row(1, 0), row(2, 0.5), row(3, 0.505, off=0.2)])["count"] == 2
+    assert vectors.choose([row(2, 0.5), row(3, 0.505)])["count"] == 3
+    assert vectors.choose([row(2, -0.2), row(3, 0.1, "one voice", gap=0.45)])["count"] == 3
+    assert vectors.choose([row(2, -0.2), row(3, 0.1, "one voice", gap=0.3)])["count"] == 2
+    assert vectors.choose([row(2, 0.3, "fused"), row(3, 0.2, "many")])["count"] == 2
+
+
+def test_nearest_breaks_ties_by_key_and_leaves_nulls_out(spark):
+    rows = [(i, [1.0, 0.0]) for i in (9, 3, 7, 2, 8, 4)] + [(1, [1.0, 0.0]), (5, None), (None, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    found = vectors.nearest(table, table.where("id = 1 or id = 5"), "id", "embedding", 3).collect()
+    assert [(r.query, r.id) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 2), (1, 3), (1, 4)]
+
+
 def test_assignment_is_the_best_over_all_permutations():
     from itertools import permutations
 
@@ -152,6 +202,8 @@ def test_assignment_is_the_best_over_all_permutations():
         picks = vectors.assignment(shared)
         assert sum(shared[i, j] for i, j in enumerate(picks) if j is not None) == max(sum(shared[i, p] for i, p in enumerate(perm)) for perm in permutations(range(4)))
         assert all(j is None or shared[i, j] > 0 for i, j in enumerate(picks))
+    wide = rng.integers(1, 99, (30, 40))
+    assert sorted(set(vectors.assignment(wide))) == sorted(vectors.assignment(wide)) and vectors.assignment(np.zeros((2, 0))) == [None, None]
 
 
 def test_signal(spark):
