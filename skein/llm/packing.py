@@ -2,7 +2,9 @@
 
 Documents are tokenised where they lie; only lengths and checksums travel. Pieces are dealt at random
 into groups of a bounded number, so a group's sizes are spread as the whole table's, and each group
-is packed by itself, filling all but its last sequences. In a group, best-fit decreasing is the first
+is packed by itself. The sequences that a group leaves unfilled, its worst down to a sequence's worth
+of free room, are opened again and packed with those of other groups, until they are one group. In a
+group, best-fit decreasing is the first
 incumbent. If the waste bound (total size over capacity) leaves room for fewer sequences, the pieces
 of the worst-filled sequences, with others up to a bounded lot, go through a branch and bound over
 bin completions: the largest piece opens a sequence, the fillings around it are tried by rising
@@ -21,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import documents, settle, slices, tokenizer_path
 from .tokens import encoder
@@ -32,6 +34,8 @@ END = 1
 GROUP = 10_000
 #: Sizes that the branch and bound of one group looks at, all in all.
 EFFORT = 1_000_000
+#: A sequence is packed again if more than this fraction of it is free.
+OPEN = 16
 #: Pieces in a lot, about, and the lots that an effort is meant to last for.
 LOT, LOTS = 60, 10
 
@@ -162,6 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY,
     """A row for each piece of each document: key, piece, start, length, ids_crc32, and ``slot``, its row's number in the task.
 
     A null text is empty: its document is the end id alone. Only documents over ``capacity`` are cut.
+    Rows that repeat a key are documents of their own; other columns are ignored; an empty table gives no piece.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     numbers = [("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids_crc32", LongType()), ("slot", LongType())]
@@ -186,23 +191,49 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY,
     return rows.mapInArrow(run, kind)
 
 
-def packed(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``found`` (from :func:`pieces`, settled) with ``sequence_id`` and ``offset``; an empty table stays empty."""
-    number = max(1, -(-found.count() // group))
-    # rows of one document or many copies spread as well: the slot tells them apart
-    dealt = found.withColumn("group", F.pmod(F.xxhash64("key", "piece", "slot", "ids_crc32"), F.lit(number)))
-    kind = StructType([*[f for f in found.schema if f.name != "slot"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+def packed(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, effort: int = EFFORT) -> DataFrame:
+    """``found`` (from :func:`pieces`, settled) with ``sequence_id`` and ``offset``; an empty table stays empty.
+
+    ``group`` pieces are packed at once, about, with an ``effort`` of so many sizes looked at; both bound
+    a task, and larger ones search further. Rows that repeat a key are pieces like any others, columns
+    of other names are left out.
+    """
+    columns = [f.name for f in found.schema if f.name != "slot"]
+    kind = StructType([*found.schema, StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("open", BooleanType())])
+    left, level, count, done = found, 0, found.count(), None
+    while True:
+        number = max(1, -(-count // group))
+        # rows of one document or many copies spread as well: the slot tells them apart
+        dealt = left.withColumn("group", F.pmod(F.xxhash64("key", "piece", "slot", "ids_crc32"), F.lit(number)))
+        out = dealt.groupBy("group").applyInPandas(_packer(kind.names, capacity, effort, level, number == 1), kind)
+        if number > 1:
+            out = settle(out)
+        part = out.where(~F.col("open")).select(*columns, "sequence_id", "offset")
+        done = part if done is None else done.unionByName(part)
+        left, level, count = out.where("open").select(*columns, "slot"), level + 1, 0 if number == 1 else out.where("open").count()
+        if not count:
+            return done
+
+
+def _packer(names: list[str], capacity: int, effort: int, level: int, last: bool):
+    """Packs a group; ``open`` marks the rows of sequences to be packed again, none if it is the ``last``."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "slot", "piece"], ascending=False, ignore_index=True)
         sizes = rows["length"].tolist()
-        sequence, offset = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8")
-        for k, places in enumerate(pack(sizes, capacity)):
-            sequence[places] = (int(rows["group"].iloc[0]) << 32) + k
-            offset[places] = np.cumsum([0, *(sizes[i] for i in places[:-1])])
-        return rows.assign(sequence_id=sequence, offset=offset)[kind.names]
-
-    return dealt.groupBy("group").applyInPandas(run, kind)
+        sequence, offset, opened = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8"), np.zeros(len(sizes), bool)
+        bins = pack(sizes, capacity, effort)
+        free = [capacity - sum(sizes[i] for i in b) for b in bins]
+        room, held = 0, 0
+        for k in sorted(range(len(bins)), key=lambda k: -free[k]):
+            held += len(bins[k])  # a group keeps half of its pieces, so that the levels end
+            opened[bins[k]] = not last and free[k] * OPEN > capacity and room < capacity and held * 2 <= len(sizes)
+            room += free[k]
+            sequence[bins[k]] = (level << 56) + (int(rows["group"].iloc[0]) << 24) + k
+            offset[bins[k]] = np.cumsum([0, *(sizes[i] for i in bins[k][:-1])])
+        return rows.assign(sequence_id=sequence, offset=offset, open=opened)[names]
+
+    return run
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
