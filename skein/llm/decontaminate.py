@@ -6,15 +6,18 @@ the rarest one alone: a document word joins the windows that have it as their pr
 place in the window bounds where the window would lie in the document (positional bound), the
 document must be long enough for it (length bound), and the words there are compared exactly.
 
-The windows travel to the documents in blocks of a stated size, each broadcast on its own, so what
-is broadcast does not grow with the benchmark; a benchmark of one block, the usual case, takes no
-shuffle of documents. Further blocks cost a pass each, joined on the document and its digest.
+The windows travel to the documents in blocks of a stated size, one at a time, so neither what is
+broadcast nor what the driver holds grows with the benchmark; a benchmark of one block, the usual
+case, takes no shuffle of documents. Further blocks cost a pass each, whose hits are written before
+the next block is read, and joined on the document's digest in the end.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +27,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from .common import annotate, documents, pa_types, settle, without
 
 SPAN = 10
-#: Bytes of windows in a block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of windows in a block; as a dictionary in a task they take some ten times that.
+BLOCK_BYTES = 8 << 20
 #: A-Z to a-z; ASCII but letters and digits to space; other bytes (of non-ASCII characters) stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -54,15 +57,18 @@ def windows(benchmark: DataFrame, span: int = SPAN, item: str = "item_id", text:
     return source.mapInArrow(run, kind).distinct()
 
 
-def _blocks(spark: SparkSession, pairs: DataFrame, room: int):
-    """Broadcasts of {window: items} of some ``room`` bytes each; every pair is in one."""
+def _number(pairs: DataFrame, room: int) -> int:
+    """Of blocks of some ``room`` bytes each."""
     size = pairs.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)) + 16)).first()[0] or 0
-    number = max(1, -(-size // room))
-    for k in range(number):
-        held = defaultdict(list)
-        for item, window in pairs.where(F.pmod(F.xxhash64("item", "window"), F.lit(number)) == k).toLocalIterator():
-            held[tuple(window.encode().split())].append(item)
-        yield spark.sparkContext.broadcast(pickle.dumps(dict(held)))
+    return max(1, -(-size // room))
+
+
+def _block(pairs: DataFrame, k: int, number: int):
+    """The broadcast of {window: items} of block ``k``; every pair is in one block."""
+    held = defaultdict(list)
+    for item, window in pairs.where(F.pmod(F.xxhash64("item", "window"), F.lit(number)) == k).toLocalIterator():
+        held[tuple(window.encode().split())].append(item)
+    return pairs.sparkSession.sparkContext.broadcast(pickle.dumps(dict(held)))
 
 
 def _counts(docs: DataFrame, block, text: str) -> dict[bytes, int]:
@@ -79,8 +85,19 @@ def _counts(docs: DataFrame, block, text: str) -> dict[bytes, int]:
     return {w.encode(): n for w, n in docs.select(text).mapInArrow(run, kind).groupBy("word").agg(F.sum("n")).toLocalIterator()}
 
 
-def _finder(block, counts):
-    """Started in a task: from a text to (words, merged hit spans as a flat list, items)."""
+_finders: dict[str, Callable] = {}
+
+
+def _finder(name: str, block, counts) -> Callable:
+    """Started in a task: this Python worker's finder for the block of this name, the only one it keeps."""
+    if name not in _finders:
+        _finders.clear()
+        _finders[name] = _built(block, counts)
+    return _finders[name]
+
+
+def _built(block, counts):
+    """From a text to (words, merged hit spans as a flat list, items)."""
     held, rare = pickle.loads(block.value), pickle.loads(counts.value)
     shapes = defaultdict(set)  # prefix word: (its place in the window, the window's length)
     for window in held:
@@ -123,35 +140,42 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "t
     spark = docs.sparkSession
     adds = StructType().add("n_words", LongType()).add("hit_spans", ArrayType(LongType())).add("items", ArrayType(StringType()))
     keep = docs.columns if keep is None else keep
-    blocks = list(_blocks(spark, settle(windows(benchmark, span, unnamed=unnamed)), room))
-    parts = []
-    for block in blocks:
-        counts = spark.sparkContext.broadcast(pickle.dumps(_counts(docs, block, text)))
-        parts.append(lambda block=block, counts=counts: _finder(block, counts))
-    if len(blocks) == 1:
-        found = annotate(docs, text, adds, parts[0], keep)
+    pairs = settle(windows(benchmark, span, unnamed=unnamed))
+    number = _number(pairs, room)
+
+    def finder(k: int) -> tuple:
+        block = _block(pairs, k, number)
+        return uuid.uuid4().hex, block, spark.sparkContext.broadcast(pickle.dumps(_counts(docs, block, text)))
+
+    if number == 1:
+        only = finder(0)
+        found = annotate(docs, text, adds, lambda: _finder(*only), keep)
     else:
-        found = _over_blocks(docs, text, adds, parts, keep)
+        found = _over_blocks(docs, text, adds, map(finder, range(number)), keep)
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("hit_spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda n, i: n + F.get("hit_spans", i + 1) - F.get("hit_spans", i))
     return without(found, ["n_hit"]).withColumn("n_hit", F.when(F.size("hit_spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
 
 
-def _over_blocks(docs: DataFrame, text: str, adds: StructType, parts: list, keep: list[str]) -> DataFrame:
+def _over_blocks(docs: DataFrame, text: str, adds: StructType, blocks: Iterator, keep: list[str]) -> DataFrame:
     """The blocks' findings in one, joined to the documents by the digest of the text."""
-    named = without(docs.withColumn("_text", F.col(text)), ["_digest"]).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    each = [annotate(named.select("_digest", "_text"), "_text", adds, part, ["_digest"]).where(F.size("hit_spans") > 0) for part in parts]
-    union = each[0]
-    for other in each[1:]:
-        union = union.unionByName(other)
+    named = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    named = named.withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    union = None
+    for one in blocks:
+        part = annotate(named.select("_digest", "_text"), "_text", adds, lambda one=one: _finder(*one), ["_digest"])
+        part = settle(part.where(F.size("hit_spans") > 0))
+        union = part if union is None else union.unionByName(part)
+        for shared in one[1:]:
+            shared.destroy()
     pairs = F.transform(F.sequence(F.lit(0), F.size("hit_spans") - 2, F.lit(2)), lambda i: F.struct(F.get("hit_spans", i).alias("a"), F.get("hit_spans", i + 1).alias("b")))
     grouped = union.groupBy("_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(pairs)))).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     one = StructType().add("hit_spans", ArrayType(LongType()))
     grouped = settle(annotate(grouped, "_spans", one, lambda: lambda spans: (merged([(s["a"], s["b"]) for s in spans]),), ["_digest", "items"]))
-    count = annotate(without(named, ["n_words", "hit_spans", "items"]), "_text", StructType().add("n_words", LongType()), lambda: lambda value: (len(words(value)),), None)
+    count = annotate(named, "_text", StructType().add("n_words", LongType()), lambda: lambda value: (len(words(value)),), None)
     empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
     kept = [c for c in keep if c.lower() not in {n.lower() for n in (*adds.names, "n_hit")}]
     joined = count.join(grouped, "_digest", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "n_words", empty("hit_spans", "array<long>"), empty("items", "array<string>"))
+    return joined.select(*[F.col("_doc").getField(c).alias(c) for c in kept], "n_words", empty("hit_spans", "array<long>"), empty("items", "array<string>"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
