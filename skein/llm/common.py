@@ -81,6 +81,16 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has columns of those names, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def annotate(df: DataFrame, reads: str, adds: StructType, start: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
     """Columns ``adds`` beside those of ``df``, from column ``reads`` alone, in one pass over Arrow batches.
 

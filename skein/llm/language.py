@@ -22,9 +22,8 @@ from .common import annotate, documents
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 DIMENSION = 16
-#: Labelled rows of each language in the sample, about, and the most languages that are learned.
+#: Labelled rows of each language in the sample, about.
 SAMPLE = 250
-LANGUAGES = 256
 EPOCHS = 4
 #: Words of the fragments that each row of the sample gives beside the whole text.
 FRAGMENTS = (2, 5, 12)
@@ -124,15 +123,15 @@ def fold(key: Column, number: int) -> Column:
 
 
 def sample(labelled: DataFrame, key: str, text: str, lang: str, each: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``each`` (text, language) rows of each language, by a hash of the key; at most twice that in all."""
-    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    """About ``each`` (text, language) rows of each language, however many there are, by a hash of the key; at most twice that in all."""
+    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counts = labelled.groupBy("lang").count().withColumn("share", F.lit(each) / F.col("count"))
+    number = counts.count()
+    if not number:
         return []
-    share = F.create_map(*[F.lit(x) for n, c in counts for x in (n, each / c)])
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30)
-    picked = labelled.where(place < share[F.col(lang)]).select(place.alias("place"), F.col(text), F.col(lang))
-    return [(r[1], r[2]) for r in picked.orderBy("place", F.length(text), lang, text).limit(2 * each * len(counts)).collect()]
+    place = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30)
+    picked = labelled.withColumn("place", place).join(counts, "lang").where("place < share")
+    return [(r[0], r[1]) for r in picked.orderBy("place", F.length("text"), "lang", "text").select("text", "lang").limit(2 * each * number).collect()]
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None) -> Model:

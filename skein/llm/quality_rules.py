@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, documents, settle, whole_text, without
+from .common import WORD_BREAK, documents, fresh, settle, whole_text, without
 
 SPAN = 8
 SYMBOLS = "#*$%&|<>"
@@ -59,20 +59,22 @@ def _covered(windows: Column, span: int) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns MEASURES (long), which replace columns of those names. Null texts are empty."""
-    value = whole_text(text)
-    whole = without(docs.withColumn("_text", value), [*MEASURES, "_words", "_lines"])
-    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.array_remove(F.split("_text", WORD_BREAK + "+"), "")
-    found = whole.withColumns({"_words": words, "_lines": lines})
+    kept = without(docs, [*MEASURES])
+    whole, words, lines = fresh(docs, "_text", "_words", "_lines")
+    found = kept.withColumn(whole, whole_text(text))
     found = found.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace("_text", f"[^{SYMBOLS}]+", "")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
+        words: F.array_remove(F.split(whole, WORD_BREAK + "+"), ""),
+        lines: F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
     })
-    return found.drop("_text", "_words", "_lines")
+    found = found.withColumns({
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(whole, f"[^{SYMBOLS}]+", "")).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(words)),
+    })
+    return found.drop(whole, words, lines)
 
 
 def host_rates(measured: DataFrame, host: Column, rules: dict = RULES) -> DataFrame:
@@ -104,13 +106,14 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: dict
     """
     verdicts = ("base_failed", "host_failed", "kept")
     measured = settle(measures(without(docs, verdicts), text).drop(text))
+    (bad_host,) = fresh(measured, "_bad")
     over = F.lit(False)
     for name, (_, limit) in rules.items():
         over = over | (F.col(name) > limit)
-    bad = host_rates(measured, F.col(host), rules).where(over).select(F.col("host").alias("_bad"))
+    bad = host_rates(measured, F.col(host), rules).where(over).select(F.col("host").alias(bad_host))
     failed = F.expr(" or ".join(f"({rules[name][0]})" for name in base))
-    joined = measured.join(bad, F.coalesce(F.col(host), F.lit("")) == F.col("_bad"), "left")
-    out = joined.withColumns({"base_failed": failed, "host_failed": F.col("_bad").isNotNull()}).drop("_bad")
+    joined = measured.join(bad, F.coalesce(F.col(host), F.lit("")) == F.col(bad_host), "left")
+    out = joined.withColumns({"base_failed": failed, "host_failed": F.col(bad_host).isNotNull()}).drop(bad_host)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, settle, shared_dir, whole_text, without
+from .common import documents, fresh, settle, shared_dir, whole_text, without
 
 
 @dataclass(frozen=True)
@@ -70,17 +70,19 @@ def scan(versions: DataFrame, ledger: str, key: str = "doc_id", text: str = "tex
     named blob or spans give way. A blob that two scans at once add twice counts once.
     """
     spark = versions.sparkSession
-    rows = without(versions.withColumn("_text", whole_text(text)), ["blob", "spans"])
-    rows = rows.withColumn("blob", F.sha2("_text", 256))
-    paths = settle(rows.drop("_text", text))
+    whole, path, first, seen_blob = fresh(versions, "_text", "_key", "_first", "_blob")
+    rows = without(versions, ["blob", "spans"]).withColumn(whole, whole_text(text))
+    rows = rows.withColumn("blob", F.sha2(whole, 256))
+    paths = settle(rows.drop(whole, text))
     # where a blob's first path is: copies of one blob differ in it, so no key is hot below
-    firsts = paths.groupBy("blob").agg(F.min(F.col(key)).alias("_first"))
+    firsts = paths.groupBy("blob").agg(F.min(F.col(key)).alias(first))
     if _exists(spark, ledger):
         seen = spark.read.parquet(ledger).where(F.col("rule_version") == version).select("blob")
         firsts = firsts.join(seen, "blob", "left_anti")
-    texts = rows.select("blob", F.col(key).alias("_key"), "_text")
-    unseen = texts.join(firsts.withColumnRenamed("blob", "_blob").hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
-    new = unseen.select("blob", F.lit(version).alias("rule_version"), all_spans(F.col("_text"), rules).alias("spans"))
+    # the build side is two short columns; sorting the texts for a merge would cost more than the scan
+    texts = rows.select("blob", F.col(key).alias(path), whole)
+    unseen = texts.join(firsts.withColumnRenamed("blob", seen_blob).hint("shuffle_hash"), (F.col("blob") == F.col(seen_blob)) & F.col(path).eqNullSafe(F.col(first)), "left_semi")
+    new = unseen.select("blob", F.lit(version).alias("rule_version"), all_spans(F.col(whole), rules).alias("spans"))
     new.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     found = spark.read.parquet(ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     return paths.join(found.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
