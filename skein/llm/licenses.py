@@ -177,7 +177,9 @@ class Index:
             if 100 * best[0] >= PERCENT * len(goal):
                 out.append((self.names[t], best[1], best[2] + SHINGLE, best[0] / len(goal)))
                 last[t] = best[2] + 1
-        return out
+        # near-equal templates: what lies nearly whole within a better match is that one
+        inside = lambda m, o: 5 * (min(m[2], o[2]) - max(m[1], o[1])) >= 4 * (m[2] - m[1])
+        return [m for m in out if not any(o[3] > m[3] and inside(m, o) and 5 * (m[2] - m[1]) >= 4 * (o[2] - o[1]) for o in out)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -186,7 +188,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
     ``templates`` is a dictionary in the driver's memory, sent to all tasks. Null and empty texts have
     no match, an empty table or no templates give none; repeated rows match alike; a text of any length
     is hashed in parts. Each template is looked for by itself, so one that holds another is reported
-    beside it; matches of one don't overlap, the first in the text counts. A column named licenses gives way.
+    beside it, but of matches of much the same words the one of most containment stays; matches of one
+    template don't overlap, the first in the text counts. A column named licenses gives way.
     """
     one = StructType().add("license", StringType()).add("start_word", LongType()).add("end_word", LongType()).add("containment", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(Index.of(templates))

@@ -49,3 +49,20 @@ def test_stages_keep_what_the_plain_versions_keep(spark, tmp_path):
     assert {r.doc_id for r in packed} == {r[0] for r in left}
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()} == {(r.doc_id, r.piece, r.ids_crc32) for r in packed}
+
+
+def test_stages_leave_the_documents_columns_alone(spark, tmp_path):
+    """Columns named as the operators', nulls in any column, repeated rows and an empty table."""
+    extra = ", score double, items array<string>, _blob string, blob int, spans string, lang_pred string, n_words int"
+    own = (0.25, ["mine"], "b", 7, "s", "l", None)
+    rows = [(*r, *own) for r in [*corpus(), (None, prose(80, 50), None, None, None), (300, prose(81, 50), "aa", "s", 1), (300, prose(81, 50), "aa", "s", 1)]]
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, DOCUMENTS + extra).repartition(2)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        kept = sorted(map(str, map(tuple, out.collect())))
+        assert set(kept) <= set(map(str, rows)) and sum(k.startswith("(300,") for k in kept) == 2 and any(k.startswith("(None,") for k in kept)
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
