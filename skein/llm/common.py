@@ -81,6 +81,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps over its tasks under ``name``: one thing at a time, so operators that follow one another don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, lengthened where ``df`` has columns of those names, in either case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import annotate, documents, pa_types, settle, without
+from .common import annotate, documents, kept, pa_types, settle, without
 
 SPAN = 10
 #: Bytes of windows in a block; as a dictionary in a task they take some ten times that.
@@ -85,15 +85,9 @@ def _counts(docs: DataFrame, block, text: str) -> dict[bytes, int]:
     return {w.encode(): n for w, n in docs.select(text).mapInArrow(run, kind).groupBy("word").agg(F.sum("n")).toLocalIterator()}
 
 
-_finders: dict[str, Callable] = {}
-
-
 def _finder(name: str, block, counts) -> Callable:
-    """Started in a task: this Python worker's finder for the block of this name, the only one it keeps."""
-    if name not in _finders:
-        _finders.clear()
-        _finders[name] = _built(block, counts)
-    return _finders[name]
+    """Started in a task: this Python worker's finder for the block of this name."""
+    return kept(f"finder {name}", lambda: _built(block, counts))
 
 
 def _built(block, counts):

@@ -10,6 +10,7 @@ probabilities, and the confidence below which a text is rejected.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from .common import annotate, documents
+from .common import annotate, documents, kept
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -148,7 +149,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     adds = StructType().add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
-    return annotate(docs, text, adds, lambda: shared.value.predict, keep)
+    name = uuid.uuid4().hex
+    return annotate(docs, text, adds, lambda: kept(f"language {name}", lambda: shared.value.predict), keep)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

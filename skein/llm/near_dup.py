@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import annotate, documents, settle
+from .common import annotate, documents, kept, settle
 from .components import components
 
 K = 32
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, k: int) -> DataFra
         kept = (found[:k] ^ np.uint64(1 << 63)).view(np.int64)  # signed order is that of the hashes
         return len(found), _digest(found) if len(found) else None, kept.tolist()
 
-    return annotate(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", adds, lambda: one, ["key"])
+    return annotate(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", adds, lambda: kept(f"sketches {size} {k}", lambda: one), ["key"])
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:

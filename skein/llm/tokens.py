@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from array import array
 
+from .common import kept
+
 #: White space other than space and newline.
 _ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Words that pre-tokenizers leave as one piece, with a mark that they cut off.
@@ -49,7 +51,7 @@ class TextEncoder:
     name special tokens get the tokens' ids, as the library does by itself.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 200_000, special: bool = False):
+    def __init__(self, path: str, spaced: bool, room: int = 1_000_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
@@ -95,11 +97,6 @@ class TextEncoder:
         return newline.join(lines)
 
 
-_encoders: dict[tuple[str, bool, bool], TextEncoder] = {}
-
-
 def encoder(path: str, spaced: bool, special: bool = False) -> TextEncoder:
-    """This Python worker's encoder for ``path``; its memo lives on over tasks."""
-    if (path, spaced, special) not in _encoders:
-        _encoders[path, spaced, special] = TextEncoder(path, spaced, special=special)
-    return _encoders[path, spaced, special]
+    """This Python worker's encoder for ``path``; its memo lives on over tasks, until the worker keeps something else."""
+    return kept(f"tokens {path} {spaced} {special}", lambda: TextEncoder(path, spaced, special=special))
