@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.fold import fold
+
 #: Width of a time bucket of overlap joins.
 BUCKET_MS = 6 * 3_600_000
 
@@ -188,18 +190,28 @@ def tidy(lines: DataFrame, floor: int, limit: int, least: int = 200) -> DataFram
 
 def packs(spans: DataFrame, key: list[str], longest: int = 28_000) -> DataFrame:
     """Spans of a key in order, gathered into packs: a pack stays open while it would span at most ``longest``."""
-    kind = spans.select(*key, "s", "e").schema.add("pack", "long")
+    return fold(spans.select(*key, "s", "e"), key, ["s", "e"], Packs(longest))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["s", "e"], ignore_index=True)
-        number, opened, out = -1, None, []
-        for s, e in zip(rows["s"], rows["e"]):
-            if opened is None or e - opened > longest:
-                number, opened = number + 1, s
-            out.append(number)
-        return rows.assign(pack=out)[kind.names]
-
-    return spans.select(*key, "s", "e").groupBy(*key).applyInPandas(run, kind)
+
+class Packs:
+    """Numbers spans that come in order by pack; holds the number and start of the open one."""
+
+    output = "s long, e long, pack long"
+
+    def __init__(self, longest: int):
+        self.longest = longest
+
+    def start(self) -> list:
+        return [-1, None]
+
+    def step(self, state: list, row: dict) -> tuple[list, list[tuple]]:
+        number, opened = state
+        if opened is None or row["e"] - opened > self.longest:
+            number, opened = number + 1, int(row["s"])
+        return [number, opened], [(row["s"], row["e"], number)]
+
+    def finish(self, state: list) -> list[tuple]:
+        return []
 
 
 def alone(spans: DataFrame, key: list[str], track: str = "track", least: int = 1000) -> DataFrame:

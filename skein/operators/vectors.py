@@ -304,10 +304,15 @@ def cluster(rows: DataFrame, key: list[str], ident: str, vector: str = "embeddin
 
 
 def outliers(rows: DataFrame, key: list[str], ident: str, vector: str = "embedding", least: int = 8, below: float = 0.25, bar: float = 0.64) -> DataFrame:
-    """Samples of a person that don't belong: the worst by likeness to the others' centroid goes while it is far below their median. A person keeps few samples."""
+    """Samples of a person that don't belong: the worst by likeness to the others' centroid goes while it is far below their median.
+
+    A person keeps few samples, which one task holds; more than MEETING are refused.
+    """
     kind = rows.select(*key, ident).schema
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MEETING:
+            raise ValueError(f"a person of {len(frame)} samples; at most {MEETING}")
         frame = frame.sort_values(ident, ignore_index=True)
         v = np.array([np.asarray(x, "f8") for x in frame[vector]])
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

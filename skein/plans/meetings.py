@@ -243,6 +243,10 @@ ORACLE_SQL = {
   max(t_end_ms) AS duration_ms, arg_min(trim(text), turn) FILTER (is_final AND trim(text) <> '') AS first FROM segments GROUP BY meeting_id)
 SELECT meeting_id, CASE WHEN meeting_id % 4 = 0 THEN least(greatest(meeting_id % 15, 1), 12) ELSE speakers END AS speakers, lines, speech_ms, duration_ms,
   CASE WHEN length(first) > 180 THEN left(first, 180) || '…' ELSE first END AS preview, meeting_id % 4 = 0 AS overridden FROM m""",
+    "e3_spaced_top": f"""WITH {SEGMENTS}, r AS (SELECT meeting_id, channel, turn, t_start_ms AS t, row_number() OVER (PARTITION BY meeting_id, channel ORDER BY t_end_ms - t_start_ms DESC, trunc(confidence * 1000) DESC, t_start_ms) AS k FROM segments WHERE is_final),
+a AS (SELECT * FROM r WHERE k = 1), b AS (SELECT r.* FROM r JOIN a USING (meeting_id, channel) WHERE abs(r.t - a.t) >= 10000 QUALIFY row_number() OVER (PARTITION BY meeting_id, channel ORDER BY r.k) = 1),
+c AS (SELECT r.* FROM r JOIN a USING (meeting_id, channel) JOIN b USING (meeting_id, channel) WHERE abs(r.t - a.t) >= 10000 AND abs(r.t - b.t) >= 10000 QUALIFY row_number() OVER (PARTITION BY meeting_id, channel ORDER BY r.k) = 1)
+SELECT meeting_id, channel, turn FROM a UNION ALL SELECT meeting_id, channel, turn FROM b UNION ALL SELECT meeting_id, channel, turn FROM c""",
     "b2_title_filter": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%red_w%' ORDER BY p_partkey DESC LIMIT 40 OFFSET 5",
     "b3_transcript": f"WITH {SEGMENTS} SELECT meeting_id, turn, t_start_ms, t_end_ms FROM segments WHERE is_final AND t_end_ms >= 20000 AND t_start_ms <= 60000",
     "b9_latest": "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",

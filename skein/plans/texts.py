@@ -143,7 +143,9 @@ def l7_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l13_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.outliers(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", below=0.05, bar=0.9)
+    """Each label's vectors as the samples of people, a person for each 1,000 ids."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("person", F.floor(F.col("vec_id") / 1000))
+    return L.outliers(rows, ["label", "person"], "vec_id", below=0.05, bar=0.9)
 
 
 def m1_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +170,9 @@ QUERIES = {f.__name__: f for f in _QUERIES}
 _FOLDED = f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')"
 _COORDS = "coords AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
 _CENTRES = "sums AS (SELECT label, i, sum(v) AS x FROM coords GROUP BY ALL), centres AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM sums)"
+_BARE = "list_transform(regexp_split_to_array(trim({}), '\\s+'), lambda w: regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
+_LOOPS = " OR ".join(f"len(list_filter(range(1, len(w) - {3 * n} + 2), lambda i: w[i:i + {n - 1}] = w[i + {n}:i + {2 * n - 1}] AND w[i:i + {n - 1}] = w[i + {2 * n}:i + {3 * n - 1}])) > 0" for n in range(1, 7))
+_STRIPPED = " ".join(f"WHEN len(own) > {n} AND own[1:{n}] = before[{11 - n}:10] THEN array_to_string(raw[{n + 1}:], ' ')" for n in range(6, 1, -1))
 _STOCK = ", ".join("'" + x.replace("'", "''") + "'" for x in T.COURTESY)
 ORACLE_SQL = {
     "n3_search": f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all({_FOLDED}, '[\\p{{L}}\\p{{N}}]+') AS t FROM conversations), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
@@ -180,6 +185,17 @@ FROM h JOIN d USING (term), s GROUP BY conv_id, turn HAVING count(*) = 2 ORDER B
 SELECT regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS word, count(*) AS n FROM w GROUP BY ALL""",
     "n14_phantoms": f"""WITH l AS (SELECT p_partkey, ['grazie a voi', 'thanks', 'subtitles by the amara.org community', 'thank you all'][p_partkey % 4 + 1] AS line, p_size * 10 AS voiced FROM part)
 SELECT p_partkey, (line IN ({_STOCK}) OR line LIKE '%subtitles by%') AND voiced < 200 AS phantom FROM l""",
+    "n15_loops": f"WITH t AS (SELECT conv_id, turn, list_filter({_BARE.format('text')}, lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, len(w) >= 4 AND ({_LOOPS}) AS loops FROM t",
+    "n16_strip_overlap": f"""WITH {SEGMENTS}, w AS (SELECT meeting_id, turn, regexp_split_to_array(trim(text), '\\s+') AS w, {_BARE.format('text')} AS b FROM segments),
+p AS (SELECT meeting_id, turn, w[8:] AS raw, b[8:] AS own, b[1:10] AS before FROM w WHERE len(w) > 13)
+SELECT meeting_id, turn, CASE {_STRIPPED} ELSE array_to_string(raw, ' ') END AS line FROM p""",
+    "n28_redact": f"SELECT doc_id, md5(replace(regexp_replace(text, '(?i)({'|'.join(T.SENSITIVE)})([=: ]*)[^\\r\\n=: ][^\\r\\n]*', '\\1\\2<redacted>', 'g'), '/home/me', '~')) AS md5 FROM documents",
+    "l7_silhouette": f"""WITH {_COORDS}, m AS (SELECT vec_id, vec_id % 5 AS meeting, label, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS x, vec_id % 3 + 1 AS w FROM coords),
+s AS (SELECT meeting, label, i, sum(x * w) AS t FROM m GROUP BY ALL), n AS (SELECT meeting, label, count(DISTINCT vec_id) AS members FROM m GROUP BY ALL),
+d AS (SELECT m.meeting, vec_id, m.label, s.label AS other, any_value(w) AS w, 1 - sum(x * (t - CASE WHEN s.label = m.label THEN x * w ELSE 0 END)) / greatest(sqrt(sum((t - CASE WHEN s.label = m.label THEN x * w ELSE 0 END) ** 2)), 1e-12) AS far
+  FROM m JOIN s ON s.meeting = m.meeting AND s.i = m.i GROUP BY ALL),
+p AS (SELECT meeting, vec_id, label, any_value(w) AS w, max(least(greatest(far, 0), 2)) FILTER (other = label) AS a, min(least(greatest(far, 0), 2)) FILTER (other <> label) AS b FROM d GROUP BY ALL)
+SELECT meeting, round(sum(CASE WHEN members = 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END * w) / sum(w), 6) AS silhouette FROM p JOIN n USING (meeting, label) GROUP BY meeting""",
     "n22_json": "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN json_extract(props, '$.k')::INT END AS k FROM events",
     "n25_formats": f"""WITH {SEGMENTS}, m AS (SELECT meeting_id, turn, (t_end_ms - 20000) * 17 AS ms, greatest((t_end_ms - 20000) * 17, 0) // 1000 AS s FROM segments)
 SELECT meeting_id, turn, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS at,
