@@ -168,7 +168,8 @@ def _passages(rows: DataFrame, least: int) -> DataFrame:
     anchors = settle(_anchors(rows, least))
     twice = settle(anchors.groupBy("digest").count().where("count > 1").select("digest"))
     again = settle(anchors.where(sieve(twice, "digest", F.col("digest"))).join(twice, "digest"))
-    firsts = again.groupBy("digest").agg(F.min(F.struct(F.col("key").isNotNull().alias("keyed"), "key", "row", "word")).alias("first"))
+    # written, so that the join below may split a digest of many stretches
+    firsts = settle(again.groupBy("digest").agg(F.min(F.struct(F.col("key").isNotNull().alias("keyed"), "key", "row", "word")).alias("first")))
     later = again.join(firsts, "digest").where((F.col("row") != F.col("first.row")) | (F.col("word") >= F.col("first.word") + least))
     order = Window.partitionBy("row").orderBy("word")
     opens = F.coalesce(F.col("word") > F.lag("word").over(order) + least, F.lit(True)).cast("int")
