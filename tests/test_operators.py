@@ -56,7 +56,7 @@ def windows(*runs):
 def test_voice_sessions_open_pad_close_and_cut(spark):
     rows = windows((0.1, 5), (0.5, 10), (0.1, 6), (0.5, 2), (0.1, 4), (0.9, 40))
     found = fold(spark.createDataFrame(rows, "key int, t long, p double"), ["key"], ["t"], VOICE).collect()
-    assert [tuple(r)[1:] for r in found] == [(96, 544, 320, False), (800, 1824, 960, True), (1824 - 64, 2144, 256, False)] or found[0][1:] == (96, 544, 320, False)
+    assert [tuple(r)[1:] for r in found] == [(96, 544, 320, False), (800, 1824, 960, True)]
     assert found[1].truncated and not found[-1].truncated
 
 
@@ -82,8 +82,9 @@ def test_a_stream_gives_what_the_batch_gives(spark, tmp_path, name):
     expected = [tuple(r) for r in batch.collect()]
     got = [tuple(r) for r in made]
     assert set(got) <= set(expected)
-    # what was still open at the end is not out yet
-    assert len(expected) - len(got) <= 2 and sorted(got) == sorted(expected)[: len(got)] or name == "voice"
+    # only what was still open at the end, the last of each key, is not out yet
+    last = {k: max(r for r in expected if r[0] == k) for k in {r[0] for r in expected}}
+    assert len(got) == len(set(got)) and set(expected) - set(got) <= set(last.values())
 
 
 def test_detector_needs_app_and_microphone(spark):
