@@ -74,6 +74,36 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     return ranked.select("query", F.col(f"_r.{key}").alias(key), (-F.col("_r.n")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
+def best_two(rows: DataFrame, centres: DataFrame, key: str, vector: str, label: str, digits: int = 6, room: int = BLOCK_BYTES) -> DataFrame:
+    """(key, label, score): for each row the two centres (label, i, x) of the highest cosine, rounded, the first label of equal ones; two for each block of centres.
+
+    Centres go out in blocks of a stated size, usually one; the rows stay where they are. Rows without vector or of another length have no score.
+    """
+    spark = rows.sparkSession
+    whole = centres.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("v"))
+    width = whole.agg(F.max(F.size("v"))).first()[0] or 1
+    number = max(1, -(-whole.count() * width * 8 // room))
+    kind = StructType([rows.schema[key], whole.schema[label], StructField("score", DoubleType())])
+    found = None
+    for b in range(number):
+        block = whole.where(F.pmod(F.xxhash64(label), F.lit(number)) == b).where(F.size("v") == width).toPandas().sort_values(label)
+        shared = spark.sparkContext.broadcast((block[label].to_numpy(), np.array(block["v"].tolist(), "f8").reshape(-1, width)))
+
+        def run(frames, shared=shared):
+            names, goal = shared.value
+            for frame in frames:
+                frame = frame[[v is not None and len(v) == width for v in frame[vector]]]
+                if not len(frame) or not len(goal):
+                    continue
+                score = np.round(_unit(np.array([np.asarray(v, "f8") for v in frame[vector]])) @ goal.T, digits)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :2]
+                yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), top.shape[1]), label: names[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
+
+        part = rows.select(key, vector).mapInPandas(run, kind)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def silhouette(rows: DataFrame, key: list[str], label: str = "label", vector: str = "embedding", weight: str = "weight") -> DataFrame:
     """Each key's weighted centroid silhouette: own centroid without the row against the nearest other; a row alone scores 0."""
     from pyspark.sql import Window

@@ -102,12 +102,8 @@ def d13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e5_top_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against the centroid of each label: best label, runner-up and verdict."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    centres = R.centroids(read(spark, sf_dir, "embeddings"), ["label"])
-    norm = F.sqrt(F.sum(F.col("v").cast("double") * F.col("v")))
-    sizes = rows.groupBy("vec_id").agg(norm.alias("norm"))
-    scores = rows.join(centres, "i").groupBy("vec_id", "label").agg(F.sum(F.col("v").cast("double") * F.col("x")).alias("dot")).join(sizes, "vec_id")
-    best = R.top_two(scores.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)), ["vec_id"], "label", "score")
+    rows = read(spark, sf_dir, "embeddings")
+    best = R.top_two(L.best_two(rows, R.centroids(rows, ["label"]), "vec_id", "embedding", "label"), ["vec_id"], "label", "score")
     return best.select("vec_id", "label", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), "verdict")
 
 
@@ -153,6 +149,31 @@ def m1_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "i", F.round("rms", 7).alias("rms"))
 
 
+def m4_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as two channels in turn, mixed down and brought from 16 to 24 samples."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", M.resample(M.downmix(F.transform("embedding", lambda x: x.cast("double")), 2), 16, 24).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+def _voiced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as audio of one sample a millisecond, with two spans of speech."""
+    at = F.pmod("vec_id", F.lit(8)).cast("long")
+    spans = F.array(F.struct(at.alias("s"), (at + 10).alias("e")), F.struct(F.lit(30).cast("long").alias("s"), (at * 5 + 25).alias("e")))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), spans.alias("spans"))
+
+
+def m7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    speech = _voiced(spark, sf_dir).select("vec_id", M.select_speech("v", F.lit(0), "spans", 24, per_ms=1).alias("v"))
+    return speech.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+def m10_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as clips, without the quiet ones."""
+    rows = _voiced(spark, sf_dir).select("vec_id", "v", F.posexplode("spans").alias("pick", "span"))
+    clips = M.clips(rows, "v", "span", per_ms=1, least=0.35)
+    return clips.select("vec_id", "pick", F.size("clip").alias("n"))
+
+
 def m2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a channel against itself three hops late."""
     late = F.concat(F.array_repeat(F.lit(0.0).cast("float"), 3), "embedding")
@@ -163,7 +184,7 @@ def m2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     n3_search, n3_postings, n4_highlight, n5_fold, n7_sounds, n8_distance, n14_phantoms, n15_loops, n16_strip_overlap, n19_chunks, n22_json, n25_formats, n26_file_names, n27_contains_word, n28_redact,
-    d13_centroids, e5_top_two, l2_nearest, l4_clusters, l5_auto_count, l6_fixed_count, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag,
+    d13_centroids, e5_top_two, l2_nearest, l4_clusters, l5_auto_count, l6_fixed_count, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag, m4_resampled, m7_selected, m10_clips,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -185,6 +206,13 @@ FROM h JOIN d USING (term), s GROUP BY conv_id, turn HAVING count(*) = 2 ORDER B
 SELECT regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS word, count(*) AS n FROM w GROUP BY ALL""",
     "n14_phantoms": f"""WITH l AS (SELECT p_partkey, ['grazie a voi', 'thanks', 'subtitles by the amara.org community', 'thank you all'][p_partkey % 4 + 1] AS line, p_size * 10 AS voiced FROM part)
 SELECT p_partkey, (line IN ({_STOCK}) OR line LIKE '%subtitles by%') AND voiced < 200 AS phantom FROM l""",
+    "m4_resampled": """WITH d AS (SELECT vec_id, list_transform(range(0, len(embedding) // 2), lambda i: (embedding[2 * i + 1]::DOUBLE + embedding[2 * i + 2]::DOUBLE) / 2) AS v FROM embeddings),
+r AS (SELECT vec_id, v, unnest(range(0, greatest(round(len(v) * 1.5), 1)::BIGINT)) AS k FROM d), p AS (SELECT vec_id, floor(k / 1.5)::BIGINT AS lo, k / 1.5 - floor(k / 1.5) AS f, v FROM r)
+SELECT vec_id, count(*)::INT AS n, round(sum(v[lo + 1] + (coalesce(v[lo + 2], v[lo + 1]) - v[lo + 1]) * f), 5) AS total FROM p GROUP BY vec_id""",
+    "m7_selected": """WITH p AS (SELECT vec_id, (CASE WHEN vec_id % 8 * 5 + 25 > 30 THEN embedding[vec_id % 8 + 1:vec_id % 8 + 10] || embedding[31:vec_id % 8 * 5 + 25] ELSE embedding[vec_id % 8 + 1:vec_id % 8 + 10] END)[1:24] AS v FROM embeddings)
+SELECT vec_id, len(v)::INT AS n, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 5) AS total FROM p""",
+    "m10_clips": """WITH p AS (SELECT vec_id, 0 AS pick, embedding[vec_id % 8 + 1:vec_id % 8 + 10] AS v FROM embeddings UNION ALL SELECT vec_id, 1, CASE WHEN vec_id % 8 * 5 + 25 > 30 THEN embedding[31:vec_id % 8 * 5 + 25] ELSE [] END FROM embeddings)
+SELECT vec_id, pick::INT AS pick, len(v)::INT AS n FROM p WHERE list_max(list_transform(v, lambda x: abs(x::DOUBLE))) >= 0.35""",
     "n15_loops": f"WITH t AS (SELECT conv_id, turn, list_filter({_BARE.format('text')}, lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, len(w) >= 4 AND ({_LOOPS}) AS loops FROM t",
     "n16_strip_overlap": f"""WITH {SEGMENTS}, w AS (SELECT meeting_id, turn, regexp_split_to_array(trim(text), '\\s+') AS w, {_BARE.format('text')} AS b FROM segments),
 p AS (SELECT meeting_id, turn, w[8:] AS raw, b[8:] AS own, b[1:10] AS before FROM w WHERE len(w) > 13)
