@@ -165,3 +165,14 @@ def colour(ident: Column, palette: int) -> Column:
     span = 1 << 32
     rolled = F.aggregate(F.filter(F.split(ident, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(span)))
     return F.pmod(F.least(rolled, F.lit(span) - rolled), F.lit(palette)).cast("int")
+
+
+def meeting_clock(rows: DataFrame, key: list[str], order: list[str], at: str, pause: Column, resume: Column) -> DataFrame:
+    """``audio_ms``: time since the key's first row without what lies between a pause and the next resume; repeated pauses or resumes change nothing."""
+    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*key).orderBy(*order)
+    state = F.last(F.when(pause, F.lit(True)).when(resume, F.lit(False)), ignorenulls=True).over(upto)
+    held = rows.withColumn("_paused", F.coalesce(state, F.lit(False)))
+    still = F.when(F.lag("_paused").over(line), F.col(at) - F.lag(at).over(line)).otherwise(F.lit(0))
+    held = held.withColumn("_still", still)
+    return held.withColumn("audio_ms", F.greatest(F.lit(0), F.col(at) - F.first(at).over(upto) - F.sum("_still").over(upto))).drop("_paused", "_still")

@@ -360,6 +360,47 @@ def outliers(rows: DataFrame, key: list[str], ident: str, vector: str = "embeddi
     return rows.groupBy(*key).applyInPandas(run, kind)
 
 
+#: Samples that a person keeps, the distance that counts as wholly different, and the weights of difference and recency.
+KEEP, DIFFERENT, BY_SPREAD, BY_RECENCY = 24, 0.50, 0.6, 0.4
+
+
+def evicted(vectors: np.ndarray, age: np.ndarray, condition: np.ndarray, keep: int = KEEP) -> list[int]:
+    """Places of the samples to give up, in order, until ``keep`` are left: those nearest to another and oldest first.
+
+    The last sample of a condition stays while there are others; of equal scores the older goes, then the first.
+    """
+    v, live, gone = _unit(vectors), list(range(len(vectors))), []
+    oldest = max(int(age.max(initial=0)), 1)
+    far = 1 - v @ v.T
+    np.fill_diagonal(far, np.inf)
+    while len(live) > keep:
+        at = np.array(live)
+        near = far[np.ix_(at, at)].min(axis=1)
+        spread = np.where(np.isfinite(near), np.clip(near / DIFFERENT, 0, 1), 1.0)
+        score = BY_SPREAD * spread + BY_RECENCY * (1 - np.clip(age[at] / oldest, 0, 1))
+        kinds, inverse, number = np.unique(condition[at], return_inverse=True, return_counts=True)
+        free = (number[inverse] > 1) | (len(kinds) == 1)
+        if not free.any():
+            break
+        worst = min(np.flatnonzero(free), key=lambda k: (score[k], -age[at[k]], k))
+        gone.append(live.pop(int(worst)))
+    return gone
+
+
+def evictions(rows: DataFrame, key: list[str], ident: str, age: str, condition: str, vector: str = "embedding", keep: int = KEEP) -> DataFrame:
+    """The samples of each key that go, with ``turn``, the order in which they do. A person keeps few samples, which one task holds; more than MEETING are refused."""
+    kind = StructType([*[rows.schema[k] for k in (*key, ident)], StructField("turn", IntegerType())])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MEETING:
+            raise ValueError(f"a person of {len(frame)} samples; at most {MEETING}")
+        frame = frame.sort_values(ident, ignore_index=True)
+        gone = evicted(np.array([np.asarray(x, "f8") for x in frame[vector]]), frame[age].to_numpy("i8"), frame[condition].to_numpy(), keep)
+        return frame.iloc[gone].assign(turn=range(1, len(gone) + 1))[kind.names]
+
+    return rows.groupBy(*key).applyInPandas(run, kind)
+
+
 def assignment(shared: np.ndarray) -> list[int | None]:
     """For each row the column that makes the total shared time largest, each column once; nothing shared is never matched.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes as G
+from ..operators import intervals as I
 from ..operators import read_models as R
 from ..operators import records as D
 from ..sources.tables import SEGMENTS, SPANS, read, segments, spans
@@ -14,6 +15,15 @@ from .meetings import _JOBS, _jobs, _speakers
 HOUR = 3_600_000
 
 
+def a2_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table of the star read whole: its rows."""
+    counts = [read(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")]
+    found = counts[0]
+    for other in counts[1:]:
+        found = found.unionByName(other)
+    return found
+
+
 def b1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order by its key."""
     return read(spark, sf_dir, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -151,6 +161,21 @@ def h6_ringing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.aggregate("room", F.lit(0.0), lambda a, x: a + x) / F.size("room"), 7).alias("held"))
 
 
+def i1_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each span's length, and what it shares with and lies from the one before it."""
+    rows = spans(spark, sf_dir)
+    before = Window.partitionBy("key").orderBy("s", "event_id")
+    rows = rows.withColumns({"s_b": F.lag("s").over(before), "e_b": F.lag("e").over(before)}).where("s_b is not null")
+    ends = [F.col(c) for c in ("s", "e", "s_b", "e_b")]
+    return rows.select("event_id", I.length().alias("ms"), I.overlap(*ends).alias("shared"), I.gap(*ends).alias("gap"))
+
+
+def j1_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a recording that signups pause and purchases resume."""
+    found = D.meeting_clock(spans(spark, sf_dir), ["key"], ["s", "event_id"], "s", F.col("track") == "signup", F.col("track") == "purchase")
+    return found.select("event_id", "audio_ms")
+
+
 def j10_released(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.released(segments(spark, sf_dir), ["meeting_id"]).select("meeting_id", "turn", "released_ms")
 
@@ -210,7 +235,7 @@ def n29_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    b1_lookup, b4_jobs, b5_chunks, b7_speakers, b8_standing, b11_typed_rows, b13_canonical, c5_profiles, c6_unnamed, c11_grouped_hits, d9_installed, e8_view, e9_fair, g1_insert, g6_undo, g7_patch, g9_cascade, g15_remember,
+    a2_scans, i1_measures, j1_clock, b1_lookup, b4_jobs, b5_chunks, b7_speakers, b8_standing, b11_typed_rows, b13_canonical, c5_profiles, c6_unnamed, c11_grouped_hits, d9_installed, e8_view, e9_fair, g1_insert, g6_undo, g7_patch, g9_cascade, g15_remember,
     h2_drift, h6_ringing, j10_released, j16_snoozed, j18_stretch, j19_carried, j26_attributed, j27_new_only, j28_parameters, l20_targets, m3_copies, n29_colours,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -219,6 +244,12 @@ _SUPPRESSED = "sup AS (SELECT event_id, key, s, e, CASE WHEN event_id % 3 = 0 TH
 _SPEAKERS = "speakers AS (SELECT DISTINCT meeting_id, speaker_id AS id, CASE WHEN speaker_id % 10 = 2 THEN speaker_id - 2 END AS alias_of FROM segments)"
 _WORDS = "list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')"
 ORACLE_SQL = {
+    "a2_scans": " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS rows FROM {name}" for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
+    "i1_measures": f"""WITH {SPANS}, p AS (SELECT *, lag(s) OVER w AS a, lag(e) OVER w AS b FROM spans WINDOW w AS (PARTITION BY key ORDER BY s, event_id))
+SELECT event_id, greatest(e - s, 0) AS ms, greatest(least(e, b) - greatest(s, a), 0) AS shared, greatest(greatest(s, a) - least(e, b), 0) AS gap FROM p WHERE a IS NOT NULL""",
+    "j1_clock": f"""WITH {SPANS}, t AS (SELECT *, coalesce(last_value(CASE track WHEN 'signup' THEN true WHEN 'purchase' THEN false END IGNORE NULLS) OVER (PARTITION BY key ORDER BY s, event_id ROWS UNBOUNDED PRECEDING), false) AS paused FROM spans),
+l AS (SELECT *, CASE WHEN lag(paused) OVER w THEN s - lag(s) OVER w ELSE 0 END AS still, first_value(s) OVER w AS began FROM t WINDOW w AS (PARTITION BY key ORDER BY s, event_id))
+SELECT event_id, greatest(s - began - sum(still) OVER (PARTITION BY key ORDER BY s, event_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS audio_ms FROM l""",
     "b1_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
     "b4_jobs": f"WITH {_JOBS} SELECT id, meeting_id, status FROM jobs WHERE kind = 'diarize' AND status IN ('queued', 'running', 'paused') ORDER BY created_at DESC, id DESC LIMIT 100",
     "b5_chunks": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus, l_linenumber)::INT AS place FROM lineitem WHERE l_returnflag = 'N'",

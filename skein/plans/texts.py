@@ -144,6 +144,31 @@ def l13_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.outliers(rows, ["label", "person"], "vec_id", below=0.05, bar=0.9)
 
 
+def l1_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", L.normalise("embedding").alias("v"))
+    return rows.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
+
+
+def l14_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label's vectors by 1,000 ids as the samples of people; the oldest and most alike beyond 24 go."""
+    rows = read(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("person"), "vec_id", "embedding", (F.col("vec_id") % 50).alias("age"), F.when(F.col("vec_id") % 7 == 0, "mic").otherwise("system").alias("condition"))
+    return L.evictions(rows, ["label", "person"], "vec_id", "age", "condition")
+
+
+def m8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector mixed with itself backwards, four times as loud."""
+    loud = F.transform("embedding", lambda x: x.cast("double") * 4)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", M.mix(loud, F.reverse(loud)).alias("v"))
+    return rows.select("vec_id", F.round(F.array_max(F.transform("v", F.abs)), 6).alias("peak"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+
+
+def n17_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a noise mark before them, some of nothing else: without marks, and whether anything is left."""
+    marked = F.concat(F.lit(T.NOISE[0]), F.when(F.col("turn") % 3 == 0, F.lit(" ... ")).otherwise(F.col("text")))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_noise(marked).alias("line"))
+    return rows.select("conv_id", "turn", F.md5("line").alias("md5"), T.is_empty("line").alias("empty"))
+
+
 def m1_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(M.envelope(F.transform("embedding", lambda x: x.cast("double")), 16, 8)).alias("i", "rms"))
     return rows.select("vec_id", "i", F.round("rms", 7).alias("rms"))
@@ -184,13 +209,16 @@ def m2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     n3_search, n3_postings, n4_highlight, n5_fold, n7_sounds, n8_distance, n14_phantoms, n15_loops, n16_strip_overlap, n19_chunks, n22_json, n25_formats, n26_file_names, n27_contains_word, n28_redact,
-    d13_centroids, e5_top_two, l2_nearest, l4_clusters, l5_auto_count, l6_fixed_count, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag, m4_resampled, m7_selected, m10_clips,
+    d13_centroids, e5_top_two, l2_nearest, l4_clusters, l5_auto_count, l6_fixed_count, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag, m4_resampled, m7_selected, m10_clips, l1_unit, l14_evictions, m8_mixed, n17_noise,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _FOLDED = f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')"
 _COORDS = "coords AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
 _CENTRES = "sums AS (SELECT label, i, sum(v) AS x FROM coords GROUP BY ALL), centres AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM sums)"
+_QUIET = "text"
+for _mark in T.NOISE:
+    _QUIET = "replace({}, '{}', '')".format(_QUIET, _mark.replace("'", "''"))
 _BARE = "list_transform(regexp_split_to_array(trim({}), '\\s+'), lambda w: regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
 _LOOPS = " OR ".join(f"len(list_filter(range(1, len(w) - {3 * n} + 2), lambda i: w[i:i + {n - 1}] = w[i + {n}:i + {2 * n - 1}] AND w[i:i + {n - 1}] = w[i + {2 * n}:i + {3 * n - 1}])) > 0" for n in range(1, 7))
 _STRIPPED = " ".join(f"WHEN len(own) > {n} AND own[1:{n}] = before[{11 - n}:10] THEN array_to_string(raw[{n + 1}:], ' ')" for n in range(6, 1, -1))
@@ -206,6 +234,10 @@ FROM h JOIN d USING (term), s GROUP BY conv_id, turn HAVING count(*) = 2 ORDER B
 SELECT regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS word, count(*) AS n FROM w GROUP BY ALL""",
     "n14_phantoms": f"""WITH l AS (SELECT p_partkey, ['grazie a voi', 'thanks', 'subtitles by the amara.org community', 'thank you all'][p_partkey % 4 + 1] AS line, p_size * 10 AS voiced FROM part)
 SELECT p_partkey, (line IN ({_STOCK}) OR line LIKE '%subtitles by%') AND voiced < 200 AS phantom FROM l""",
+    "l1_unit": f"WITH {_COORDS}, n AS (SELECT vec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS x FROM coords) SELECT vec_id, round(max(x) FILTER (i = 0), 6) AS first, round(sum(x * x), 6) AS square FROM n GROUP BY vec_id",
+    "m8_mixed": """WITH t AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * 4 + embedding[len(embedding) + 1 - i]::DOUBLE * 4) AS v FROM embeddings),
+p AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS peak FROM t) SELECT vec_id, round(least(peak, 1), 6) AS peak, round(CASE WHEN peak > 1 THEN v[1] / peak ELSE v[1] END, 6) AS first FROM p""",
+    "n17_noise": f"""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '...' ELSE trim({_QUIET}) END AS line FROM conversations) SELECT conv_id, turn, md5(line) AS md5, NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS empty FROM l""",
     "m4_resampled": """WITH d AS (SELECT vec_id, list_transform(range(0, len(embedding) // 2), lambda i: (embedding[2 * i + 1]::DOUBLE + embedding[2 * i + 2]::DOUBLE) / 2) AS v FROM embeddings),
 r AS (SELECT vec_id, v, unnest(range(0, greatest(round(len(v) * 1.5), 1)::BIGINT)) AS k FROM d), p AS (SELECT vec_id, floor(k / 1.5)::BIGINT AS lo, k / 1.5 - floor(k / 1.5) AS f, v FROM r)
 SELECT vec_id, count(*)::INT AS n, round(sum(v[lo + 1] + (coalesce(v[lo + 2], v[lo + 1]) - v[lo + 1]) * f), 5) AS total FROM p GROUP BY vec_id""",

@@ -187,6 +187,15 @@ def test_choice_between_counts():
     assert vectors.choose([row(2, 0.3, "fused"), row(3, 0.2, "many")])["count"] == 2
 
 
+def test_evictions_keep_the_different_the_recent_and_the_last_of_a_condition():
+    v = np.array([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]])
+    age, kind = np.array([0, 5, 9, 1, 2]), np.array(["mic"] * 4 + ["system"])
+    assert vectors.evicted(v, age, kind, keep=4) == [1]  # nearly the same as a newer one
+    assert vectors.evicted(v, age, kind, keep=3) == [1, 2]  # then the oldest
+    assert 4 not in vectors.evicted(v, age, kind, keep=1)  # the last one of its kind
+    assert vectors.evicted(v[[0, 4]], age[:2], kind[[0, 4]], keep=1) == []
+
+
 def test_nearest_breaks_ties_by_key_and_leaves_nulls_out(spark):
     rows = [(i, [1.0, 0.0]) for i in (9, 3, 7, 2, 8, 4)] + [(1, [1.0, 0.0]), (5, None), (None, [1.0, 0.0])]
     table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
