@@ -25,6 +25,8 @@ ORDERS = (2, 3, 4)
 DIMENSION = 16
 #: Labelled rows of each language in the sample, about.
 SAMPLE = 250
+#: Languages up to which their counts are broadcast.
+FEW = 10_000
 EPOCHS = 4
 #: Words of the fragments that each row of the sample gives beside the whole text.
 FRAGMENTS = (2, 5, 12)
@@ -130,6 +132,8 @@ def sample(labelled: DataFrame, key: str, text: str, lang: str, each: int = SAMP
     number = counts.count()
     if not number:
         return []
+    if number <= FEW:
+        counts = F.broadcast(counts)  # else the texts would move to find their share
     place = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30)
     picked = labelled.withColumn("place", place).join(counts, "lang").where("place < share")
     return [(r[0], r[1]) for r in picked.orderBy("place", F.length("text"), "lang", "text").select("text", "lang").limit(2 * each * number).collect()]
