@@ -51,7 +51,7 @@ class TextEncoder:
     name special tokens get the tokens' ids, as the library does by itself.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 1_000_000, special: bool = False):
+    def __init__(self, path: str, spaced: bool, room: int = 500_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
