@@ -9,14 +9,13 @@ comparison of the whole sets of both texts.
 
 A value of many classes makes a list only together with another one: near sets share two of one more.
 Lists that are long all the same, of many near copies or of a common passage, don't give all their
-pairs. Each names a leader,
-first the class that shares values with most others, then the nearest to that one (near copies are
-farther from each other than from what they were copied from). Members are compared with their
-leaders alone, and those that are not near it with a second one. What is near a leader is linked; any other pair of the list still needs shingles in common
-outside the leader's set, as exact counts tell, so what is left of the sets meets by a prefix
-filter: its rarest shingles make new lists, and a pair counts where enough shingles follow in both.
-No pair is lost on the way: pairs whose counts allow a link within the leader's set alone are
-compared as well.
+pairs. Each names a leader, first the class that shares values with most others, then the nearest to
+that one (near copies are farther from each other than from what they were copied from). Members
+are compared with their leaders alone, and those that are not near it with a second one. What is near
+a leader is linked. Any other pair of the list still needs shingles in common outside the leader's
+set, as exact counts tell, so what is left of the sets meets by a prefix filter: its rarest shingles
+make new lists, and a pair counts where enough shingles follow in both. No pair is lost on the way:
+pairs whose counts allow a link within the leader's set alone are compared as well.
 """
 
 from __future__ import annotations
@@ -356,7 +355,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     smallest key among the rows that links reach. A row without words (or null) has an empty set and
     is linked with nothing. A null key never names a component: such a row is not kept, and without
     a keyed row in reach its component is null. Rows that repeat a key are all kept if it is their
-    component's. Other columns are ignored; an empty table gives an empty result.
+    component's. Texts of any length are hashed one at a time, and their sets compared whole. Other
+    columns are ignored; an empty table gives an empty result.
     """
     rows = settle(sketches(docs, key, text, size, k))
     classes = settle(rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))

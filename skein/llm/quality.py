@@ -136,7 +136,12 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def train(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", size: int = SAMPLE) -> Model:
-    """A model of about ``size`` labelled rows, taken by a hash of the key. Null keys and labels teach nothing."""
+    """A model of about ``size`` labelled rows, taken by a hash of the key.
+
+    Null keys and labels teach nothing; a key labelled or measured twice teaches as often. Without
+    labels, or with those of one class, the model is a constant. Equal rows, and splits of equal gain,
+    go by a fixed order, so a table gives one model.
+    """
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     number = rows.count()
     place = F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(1 << 30))
@@ -147,7 +152,11 @@ def train(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: st
 
 
 def classify(measured: DataFrame, model: Model) -> DataFrame:
-    """``measured`` with score and predicted. An empty or null text has statistics of 0 and a score as any other."""
+    """``measured`` with score and predicted, which replace columns of those names.
+
+    An empty or null text has statistics of 0 and a score as any other, a text of any length is measured
+    whole. Repeated rows are scored alike, a score of 0.5 is predicted 1, an empty table stays empty.
+    """
     scored = without(measured, ["score", "predicted"]).withColumn("score", model.score())
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

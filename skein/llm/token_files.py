@@ -121,7 +121,9 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end: int, spaced: boo
 
     Columns: file, first_key, n_documents, n_tokens, start (tokens of the files before it). A null
     text is empty: its document is the end id alone. Null keys come first; rows of one key lie together,
-    shorter texts first. An empty table has an empty manifest. Other columns are ignored.
+    shorter texts first. An empty table has an empty manifest. Other columns are ignored, whatever their
+    names. A document of any length is one row of a task's memory and goes on over sequences; only its
+    ids are kept beside it.
     """
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     ordered = rows.repartitionByRange(F.col("key")).sortWithinPartitions("key", F.length("text"), "text")
