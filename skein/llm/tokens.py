@@ -30,16 +30,19 @@ _BYTE = _byte_letters()
 
 
 class _Memo(dict):
-    """Chunk to packed ids; ``encode`` fills in what is missing. Keeps the first ``room`` chunks."""
+    """Chunk to packed ids; ``encode`` fills in what is missing. Keeps ``room`` chunks, those that came a second time."""
 
     def __init__(self, encode, room: int):
         super().__init__()
-        self._encode, self._room = encode, room
+        self._encode, self._room, self._seen = encode, room, bytearray(1 << 22)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self._encode(chunk)
         if len(self) < self._room and len(chunk) < 100:
-            self[chunk] = ids
+            slot = hash(chunk) & (1 << 22) - 1
+            if self._seen[slot]:
+                self[chunk] = ids
+            self._seen[slot] = 1
         return ids
 
 
@@ -51,7 +54,7 @@ class TextEncoder:
     name special tokens get the tokens' ids, as the library does by itself.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 500_000, special: bool = False):
+    def __init__(self, path: str, spaced: bool, room: int = 250_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
