@@ -10,6 +10,7 @@ probabilities, and the confidence below which a text is rejected.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ SAMPLE = 250
 #: Languages up to which their counts are broadcast.
 FEW = 10_000
 EPOCHS = 4
+#: Bytes of a text that are counted at a time.
+BLOCK = 1 << 16
 #: Words of the fragments that each row of the sample gives beside the whole text.
 FRAGMENTS = (2, 5, 12)
 #: The share of the calibration rows that rejection may cost.
@@ -38,8 +41,16 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 
 def subwords(text: str) -> np.ndarray:
     """The bucket of each subword of the whole text."""
-    folded = b" ".join(text.encode("utf-8", "replace").translate(_FOLD).split())
-    data = np.frombuffer(b" " + folded + b" ", np.uint8).astype(np.uint32)
+    return np.concatenate([np.zeros(0, np.uint32), *_buckets(np.frombuffer(_letters(text), np.uint8).astype(np.uint32))])
+
+
+def _letters(text: str) -> bytes:
+    """The folded letters of ``text`` with one space between words and at both ends."""
+    return b" " + re.sub(b"  +", b" ", text.encode("utf-8", "replace").translate(_FOLD)).strip(b" ") + b" "
+
+
+def _buckets(data: np.ndarray) -> list[np.ndarray]:
+    """The buckets of all runs of bytes of each order."""
     parts, run = [], data
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
@@ -47,7 +58,21 @@ def subwords(text: str) -> np.ndarray:
         run = run[:-1] * np.uint32(0x01000193) ^ data[n - 1 :]
         if n in ORDERS:
             parts.append((run * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(16))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    return parts
+
+
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of the text's subwords and how often each comes, with memory of BLOCK bytes beside the text's own."""
+    folded = _letters(text)
+    if len(folded) <= BLOCK:
+        return np.unique(np.concatenate([np.zeros(0, np.uint32), *_buckets(np.frombuffer(folded, np.uint8).astype(np.uint32))]), return_counts=True)
+    total, reach = np.zeros(BUCKETS, np.int64), max(ORDERS) - 1
+    for at in range(0, len(folded), BLOCK):
+        data = np.frombuffer(folded[at : at + BLOCK + reach], np.uint8).astype(np.uint32)
+        for n, part in zip(ORDERS, _buckets(data)):
+            total += np.bincount(part[: max(0, min(BLOCK, len(data) - n + 1))], minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 @dataclass
@@ -58,8 +83,8 @@ class Model:
     least: float
 
     def logits(self, text: str) -> np.ndarray:
-        found = subwords(text)
-        return self.table[found].mean(axis=0) if len(found) else np.zeros(len(self.languages))
+        found, count = bucket_counts(text)
+        return count @ self.table[found].astype("f8") / count.sum() if len(found) else np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether the text is rejected; ``und`` without any letter."""
@@ -149,7 +174,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """``docs`` with lang_pred, score and rejected, which replace columns of those names.
 
     A text that is null, empty or without a letter is ``und`` with score 0, rejected; so are all
-    texts if no language was learned. Repeated rows stay. An empty table gives an empty result.
+    texts if no language was learned. Repeated rows stay. An empty table gives an empty result. A
+    text of any length is counted in blocks. The model that tasks get has 256 KB a language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     adds = StructType().add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())

@@ -14,8 +14,10 @@ that one (near copies are farther from each other than from what they were copie
 are compared with their leaders alone, and those that are not near it with a second one. What is near
 a leader is linked. Any other pair of the list still needs shingles in common outside the leader's
 set, as exact counts tell, so what is left of the sets meets by a prefix filter: its rarest shingles
-make new lists, and a pair counts where enough shingles follow in both. No pair is lost on the way:
-pairs whose counts allow a link within the leader's set alone are compared as well.
+make new lists, and a pair counts where enough shingles follow in both. In these lists all first meet
+one member each, which links most of what is near; then the pairs of different components meet, but for
+those within the component that most members of a list have. No pair is lost on the way: pairs
+whose counts allow a link within the leader's set alone are compared as well.
 """
 
 from __future__ import annotations
@@ -237,14 +239,26 @@ def _led(pairs: DataFrame, sets: DataFrame, percent: int, rest: bool = True) ->
     return both.mapInArrow(run, kind).join(cells.select("leader", "low"), "leader").withColumn("floor", _least(F.col("n") + smallest, percent)).drop("low")
 
 
-def _apart(one: DataFrame, on: list[str], percent: int, fits: Column) -> DataFrame:
+def _apart(one: DataFrame, on: list[str], percent: int, fits: Column, stars: bool) -> DataFrame:
     """(a, b): pairs of ``one`` of different labels and similar sizes that agree in ``on`` where ``fits``.
 
     Left out are pairs of two near the leader, and those that meet at another leader, home to both.
+    With ``stars`` only the pairs with one member of each list. Else all pairs, none of them within the
+    label that most members of a list have: each has one member at least of another label, and those
+    are few once stars have linked what they can.
     """
-    left, right = (one.select(*on, *[F.col(c).alias(c + side) for c in one.columns if c not in on]) for side in "ab")
-    both = left.where("not neara").join(right, on).where("labela <> labelb and (nearb or ida < idb) and (homea <> homeb or homea = leader)")
-    return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    rest = [c for c in one.columns if c not in on]
+    left = one.select(*on, *[F.col(c).alias(c + "a") for c in rest])
+    if stars:
+        right = one.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct("id")).alias("s")).select(*on, *[F.col(f"s.{c}").alias(c + "b") for c in rest])
+        met = left.join(right, on)
+    else:
+        counts = one.groupBy(*on, "label").count()
+        most = counts.groupBy(*on).agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+        right = one.select(*on, *[F.col(c).alias(c + "b") for c in rest])
+        met = left.join(most, on).where("labela <> most").join(right, on).where("labelb = most or ida < idb").drop("most")
+    both = met.where("labela <> labelb and not (neara and nearb) and (homea <> homeb or homea = leader)")
+    return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
 
 
 def _within() -> Column:
@@ -253,8 +267,8 @@ def _within() -> Column:
     return F.least(own("a", "b"), own("b", "a"))
 
 
-def _outside(led: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a leader's members, but for those of two near it, that may be near by what is left of their sets without the leader's.
+def _outside(led: DataFrame, percent: int) -> tuple[DataFrame, list[str], Column]:
+    """A leader's members by what is left of their sets without the leader's: rows, the columns in which a near pair agrees, and what such a pair fits.
 
     A near pair shares at least q = least(n(a) + n(b)) - within of what is left, in which shingles are
     ranked by their count under the leader. At the first they share, q - 1 or more follow in both.
@@ -265,16 +279,16 @@ def _outside(led: DataFrame, percent: int) -> DataFrame:
     rows = ranked.join(led.drop("rest"), ["leader", "id"]).withColumn("w", F.size("ranked"))
     first = (F.col("w") - F.greatest(F.lit(1), F.col("floor") - F.col("shared")) + 1).cast("int")
     rows = rows.withColumn("ranked", F.slice("ranked", F.lit(1), F.greatest(F.lit(0), first)))
-    entries = rows.select("leader", "id", "n", "shared", "near", "label", "home", *GAPS, "w", F.posexplode("ranked").alias("place", "s"))
-    entries = settle(entries.select("leader", F.col("s.shingle").alias("shingle"), "id", "n", "shared", "near", "label", "home", *GAPS, (F.col("w") - F.col("place")).alias("follow")))
+    entries = rows.select("leader", "id", "n", "shared", "near", "home", *GAPS, "w", F.posexplode("ranked").alias("place", "s"))
+    entries = settle(entries.select("leader", F.col("s.shingle").alias("shingle"), "id", "n", "shared", "near", "home", *GAPS, (F.col("w") - F.col("place")).alias("follow")))
     follow = F.least("followa", "followb") >= _least(F.col("na") + F.col("nb"), percent) - _within()
-    return _apart(entries, ["leader", "shingle"], percent, follow)
+    return entries, ["leader", "shingle"], follow
 
 
-def _inside(led: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a leader's members, but for those of two near it, that may be near by what both share with the leader."""
-    members = led.where(F.col("shared") >= F.col("floor")).select("leader", "id", "n", "shared", "near", "label", "home", *GAPS)
-    return _apart(members, ["leader"], percent, _within() >= _least(F.col("na") + F.col("nb"), percent))
+def _inside(led: DataFrame, percent: int) -> tuple[DataFrame, list[str], Column]:
+    """A leader's members by what both share with the leader: as ``_outside``, but all of a leader agree."""
+    members = led.where(F.col("shared") >= F.col("floor")).select("leader", "id", "n", "shared", "near", "home", *GAPS)
+    return members, ["leader"], _within() >= _least(F.col("na") + F.col("nb"), percent)
 
 
 def _leaders(long: DataFrame) -> DataFrame:
@@ -320,25 +334,39 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
     live = settle(lists.join(counts, "key"))
     few = live.where(F.col("c") <= LONG).select("key", "id", "n")
     long = live.where(F.col("c") > LONG)
+    labels = live.select("id").distinct().withColumn("label", F.col("id"))
+    short = classes.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short"))
+    sets, ways = None, []
     pairs = settle(long.join(_leaders(long), "key").where("id <> leader").select("leader", "id", "n").distinct())
-    sets = _sets(docs, key, text, classes, _ids(pairs.select("leader"), pairs.select("id")), size)
-    tried = settle(_led(pairs, sets, percent, rest=False).drop("rest"))
-    led = settle(_led(settle(_moved(tried)), sets, percent))
-    more = settle(_led(settle(_second(led)), sets, percent, rest=False).drop("rest"))
-    near = tried.unionByName(led.drop("rest")).unionByName(more).where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    labels = _relabelled(live.select("id").distinct().withColumn("label", F.col("id")), near)
-    homes = led.select("id", "leader", "alike").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike")).distinct())
-    homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
-    led = settle(led.join(labels, "id").join(homes, "id"))
+    if not pairs.isEmpty():
+        sets = _sets(docs, key, text, classes, _ids(pairs.select("leader"), pairs.select("id")), size)
+        tried = settle(_led(pairs, sets, percent, rest=False).drop("rest"))
+        led = settle(_led(settle(_moved(tried)), sets, percent))
+        more = settle(_led(settle(_second(led)), sets, percent, rest=False).drop("rest"))
+        near = tried.unionByName(led.drop("rest")).unionByName(more).where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        labels = _relabelled(labels, near)
+        homes = led.select("id", "leader", "alike").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike")).distinct())
+        homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
+        led = settle(led.join(homes, "id"))
+        ways = [_inside(led, percent), _outside(led, percent)]
+        stars = _all_apart(ways, labels, percent, stars=True)
+        stars = settle(_estimated(stars.distinct(), short, k, percent))
+        labels = _relabelled(labels, _verified(_named(stars, labels), sets, percent))
     grouped = settle(few.join(labels, "id"))
     one, two = (grouped.select("key", F.col("id").alias(side), F.col("n").alias("n" + side), F.col("label").alias("l" + side)) for side in "ab")
-    pairs = one.join(two, "key").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    pairs = pairs.unionByName(_inside(led, percent)).unionByName(_outside(led, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    short = classes.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short"))
-    pairs = settle(_estimated(pairs, short, k, percent))
-    wanted = _ids(pairs.select("a"), pairs.select("b")).join(sets.select("id"), "id", "left_anti")
-    sets = sets.unionByName(_sets(docs, key, text, classes, wanted, size))
-    return _relabelled(labels, _verified(_named(pairs, labels), sets, percent))
+    pairs = one.join(two, "key").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if ways:
+        pairs = pairs.unionByName(_all_apart(ways, labels, percent, stars=False))
+    pairs = settle(_estimated(pairs.distinct(), short, k, percent))
+    wanted = _ids(pairs.select("a"), pairs.select("b"))
+    more = _sets(docs, key, text, classes, wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti"), size)
+    return _relabelled(labels, _verified(_named(pairs, labels), more if sets is None else sets.unionByName(more), percent))
+
+
+def _all_apart(ways: list[tuple[DataFrame, list[str], Column]], labels: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """(a, b): the pairs of both ways under the labels as they are."""
+    inside, outside = (_apart(rows.join(labels, "id"), on, percent, fits, stars) for rows, on, fits in ways)
+    return inside.unionByName(outside)
 
 
 def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -356,7 +384,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     is linked with nothing. A null key never names a component: such a row is not kept, and without
     a keyed row in reach its component is null. Rows that repeat a key are all kept if it is their
     component's. Texts of any length are hashed one at a time, and their sets compared whole. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. With ``k`` above 100 / ``percent`` of
+    the largest set sets are retained whole, and no pair can be missed by chance.
     """
     rows = settle(sketches(docs, key, text, size, k))
     classes = settle(rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))

@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from .common import documents, settle, slices, without
 from .near_dup import sieve
 
-#: Words of a run of repeated units from which on it is removed.
+#: Words of a run of repeated units from which on it is removed, and of a stretch.
 LEAST = 20
 #: Neighbouring stretches of LEAST words of which one is chosen: repeats of LEAST + NEAR - 1 = 40 words cannot be missed.
 NEAR = 21
@@ -225,16 +225,16 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     return _named(_runs(numbered(docs, key, text), least, kind), key)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line") -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line", stretch: int = LEAST) -> DataFrame:
     """As :func:`removals`, by units and by stretches of words: spans that touch are one, with the kept place of its first part.
 
-    A stretch goes unless it overlaps its own first occurrence.
+    ``stretch`` is the words of a stretch, whatever ``least`` asks of units. A stretch goes unless it overlaps its own first occurrence.
     """
-    return _named(_repeats(settle(numbered(docs, key, text)), least, kind), key)
+    return _named(_repeats(settle(numbered(docs, key, text)), least, kind, stretch), key)
 
 
-def _repeats(rows: DataFrame, least: int, kind: str) -> DataFrame:
-    parts = _passages(rows, max(1, least))
+def _repeats(rows: DataFrame, least: int, kind: str, stretch: int) -> DataFrame:
+    parts = _passages(rows, stretch)
     runs = _runs(rows, least, kind)
     parts = parts.unionByName(runs.select("key", "row", "word", (F.col("word") + F.col("n_words")).cast("int").alias("after"), "start", "end", F.struct("first.key", "first.row", "first.start").alias("first")))
     order = Window.partitionBy("row").orderBy("word", "after")
@@ -252,16 +252,17 @@ def cut(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, state, step, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.length(text) - s.at)))
 
 
-def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line") -> DataFrame:
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, kind: str = "line", stretch: int = LEAST) -> DataFrame:
     """``docs`` with all :func:`repeats` cut from the text, and ``removed``, their original offsets (start, end).
 
-    Rows that repeat a key are cut each by its own spans. A column named removed gives way, a null text stays null.
+    Rows that repeat a key are cut each by its own spans. A column named removed gives way, a null text
+    stays null, an empty table empty.
     """
     numbers = "_row"
     while numbers in (c.lower() for c in docs.columns):
         numbers += "_"
     whole = settle(without(docs, ["removed"]).withColumn(numbers, F.monotonically_increasing_id()))
-    spans = _repeats(settle(whole.select(F.col(f"`{key}`").alias("key"), F.col(numbers).alias("row"), F.col(f"`{text}`").alias("text"))), least, kind)
+    spans = _repeats(settle(whole.select(F.col(f"`{key}`").alias("key"), F.col(numbers).alias("row"), F.col(f"`{text}`").alias("text"))), least, kind, stretch)
     each = spans.groupBy(F.col("row").alias(numbers)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     joined = whole.join(each, numbers, "left").drop(numbers)
     joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))

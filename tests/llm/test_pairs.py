@@ -263,3 +263,42 @@ def test_item_digest_of_the_query(spark, tmp_path):
     spark.createDataFrame([(10, "one two"), (9, "two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     row = decontaminate.op9_decontaminate(spark, str(tmp_path)).first()
     assert tuple(row) == (1, 3, 3, 2, hashlib.sha256(b"10,9").hexdigest(), True)
+
+
+def test_excerpts_of_one_text(spark):
+    """Fragments of one long text: lists of all members, many components, against brute force, with few pairs made."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    rows = []
+    for i in range(260):
+        n = rng.randint(60, 500)
+        a = rng.randrange(len(base) - n)
+        rows.append((i, " ".join(base[a : a + n])))
+    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=2)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: find(i) for i in range(len(rows))}
+    assert 1 < len({find(i) for i in range(len(rows))}) < len(rows)
+
+
+def test_floor_of_units_and_stretches_are_apart(spark):
+    """With no floor for units repeated lines go, however short, and single words stay."""
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"v{rng.randrange(300)}" for _ in range(12)) for _ in range(20)) for _ in range(4)]
+    texts += ["one two\nthree\nalone here", "three\nfour\none two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substring_dup.repeats(docs, least=0).collect()
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end]) for r in found) == [(5, "one two"), (5, "three")]
+    cut = {r.doc_id: r.text for r in substring_dup.cleaned(docs, least=0).collect()}
+    assert [cut[i] for i in range(5)] == texts[:5] and cut[5].split() == ["four"]

@@ -224,3 +224,41 @@ def test_licenses(spark, docs, nothing):
     assert found[0].containment == 1 and 0.8 <= found[1].containment < 1
     assert licenses.chance(0.5) > 0.98
     assert licenses.scan(docs).select(F.inline("licenses")).count() == 1 and licenses.scan(nothing).count() == 0
+
+
+def test_language_scores_by_hand():
+    """One text's score from the model, bucket by bucket in plain Python; long texts in blocks give the same."""
+    rows = [(f"{a} {b} {a}{b}", lang) for lang, words in (("aa", ["lo", "ka", "mi"]), ("bb", ["sch", "ung", "ei"]), ("cc", ["tion", "eau", "é"])) for a in words for b in words for _ in range(6)]
+    model = language.fit(rows)
+
+    def plain(text):
+        folded = " ".join("".join(c if not c.isascii() or c.isalpha() else " " for c in text).split())
+        data = f" {''.join(c.lower() if c.isascii() else c for c in folded)} ".encode()
+        total, n = [0.0] * len(model.languages), 0
+        for size in language.ORDERS:
+            for i in range(len(data) - size + 1):
+                run = data[i]
+                for b in data[i + 1 : i + size]:
+                    run = run * 0x01000193 % (1 << 32) ^ b
+                bucket = (run * 0x9E3779B1 + size) % (1 << 32) >> 16
+                total = [x + float(y) for x, y in zip(total, model.table[bucket])]
+                n += 1
+        e = np.exp(np.array(total) / n / model.temperature)
+        p = e / e.sum()
+        return model.languages[int(p.argmax())], float(p.max())
+
+    for text in ("Lo KA, mi!", "schung ei 99 ung", "é", "x" * 40, "tion  eau\n\téion lo", "ei schung. " * 9000):
+        lang, score, _ = model.predict(text)
+        assert (lang, score) == (plain(text)[0], pytest.approx(plain(text)[1], rel=1e-9))
+
+
+def test_language_of_a_very_long_text_takes_little_memory():
+    import tracemalloc
+
+    model = language.Model([str(i) for i in range(10)], np.zeros((language.BUCKETS, 10), "f4"), 1.0, 0.0)
+    text = "words of a text " * 1_300_000
+    tracemalloc.start()
+    model.predict(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(text)
