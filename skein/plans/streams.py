@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import SEGMENTS, read, segments, spans
 from ..streaming import windows as W
 from ..streaming.fold import fold
-from ..streaming.machines import AdaptiveLag, LanguageVote, MeetingDetector, VoiceSessions
+from ..operators import signal as M
+from ..streaming.machines import AdaptiveLag, Detection, LanguageVote, LoudnessGate, MeetingDetector, OpenSpeech, VoiceSessions
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +20,46 @@ def j3_voice_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as speech windows: sessions of a user with at most a day between events."""
     rows = _ordered(spark, sf_dir).select("key", F.col("s").alias("t"), F.least(F.col("value") / 60, F.lit(1.0)).alias("p"), "event_id")
     day = 86_400_000
-    machine = VoiceSessions(window=60_000, needs=2, pad=600_000, tail=day // 2, least=3_600_000, most=5 * day, jump=day)
+    machine = VoiceSessions(window=60_000, needs=2, pre=600_000, pad=600_000, tail=day // 2, least=3_600_000, most=5 * day, jump=day, search=1_200_000, pause=120_000, overlap=300_000)
     return fold(rows, ["key"], ["t", "event_id"], machine)
 
 
+#: Short sessions, so that a user's few dozen events are cut and closed.
+_SHORT = VoiceSessions(needs=2, pre=64, pad=64, tail=96, least=128, most=512, search=320, pause=64, overlap=96)
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as windows of 32 ms one after another: key, t, p, level."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = (F.row_number().over(order) - 1) * 32
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), t.cast("long").alias("t"), F.least(F.col("value") / 100, F.lit(1.0)).alias("p"), (F.col("value") / 2000).alias("level"))
+
+
+def j4_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that are cut at pauses, at quiet stretches, or at their length."""
+    return fold(_windows(spark, sf_dir), ["key"], ["t"], _SHORT)
+
+
+def j6_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was open at each look, every 128 ms."""
+    return fold(_windows(spark, sf_dir), ["key"], ["t"], OpenSpeech(_SHORT, every=128, longest=256))
+
+
+def j29_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances of each label's vectors as one recording: levels of windows of 16 values, the gate, sessions."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    at = (F.row_number().over(order) - 1).cast("long")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), at.alias("n"), F.transform("embedding", lambda x: x * F.when(at % 40 < 25, 1.0).otherwise(0.01)).alias("samples"))
+    levels = rows.select("key", "n", F.posexplode(M.envelope("samples", 16, 16)).alias("i", "level"), F.size("samples").alias("size"))
+    return fold(levels.select("key", (32 * (F.col("n") * F.floor(F.col("size") / 16) + F.col("i"))).cast("long").alias("t"), "level"), ["key"], ["t"], Detection())
+
+
+def h7_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving floor under each user's levels, and what is above it."""
+    found = fold(_windows(spark, sf_dir).select("key", "t", "level"), ["key"], ["t"], LoudnessGate())
+    return found.select("key", "t", F.round("floor", 9).alias("floor"), "active")
+
+
 def j12_adaptive_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ordered(spark, sf_dir).where("track <> 'error'").select("key", F.col("s").alias("t"), F.round("value").cast("long").alias("lag_ms"), (F.col("track") == "signup").alias("reset"), "event_id")
     return fold(rows, ["key"], ["t", "event_id"], AdaptiveLag(within=5 * 86_400_000))
@@ -62,9 +99,14 @@ def j20_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.reconciled(partials, finals, ["line"])
 
 
-QUERIES = {f.__name__: f for f in (j3_voice_sessions, j3_session_windows, j9_split, j12_adaptive_lag, j15_detector, j17_language_vote, j20_reconciled, j24_chunks)}
+QUERIES = {f.__name__: f for f in (h7_floor, j3_voice_sessions, j3_session_windows, j4_cuts, j6_open, j9_split, j12_adaptive_lag, j15_detector, j17_language_vote, j20_reconciled, j24_chunks, j29_detected)}
 
 ORACLE_SQL = {
+    "h7_floor": """WITH RECURSIVE w AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value / 2000 AS level FROM events),
+f AS (SELECT key, 0::BIGINT AS n, 0.0015::DOUBLE AS floor, FALSE AS active FROM w WHERE n = 1
+  UNION ALL SELECT key, n, CASE WHEN now THEN floor ELSE least(greatest(floor * 0.95 + level * 0.05, 1e-5), 0.05) END, now
+  FROM (SELECT f.key, w.n, f.floor, w.level, CASE WHEN f.active THEN w.level > greatest(f.floor * 2.5, 0.005) ELSE w.level > greatest(f.floor * 4, 0.01) END AS now FROM f JOIN w ON w.key = f.key AND w.n = f.n + 1))
+SELECT key, (n - 1) * 32 AS t, round(floor, 9) AS floor, active FROM f WHERE n > 0""",
     "j24_chunks": "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS frames FROM events GROUP BY ALL",
     "j3_session_windows": """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o), n AS (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL)

@@ -8,55 +8,195 @@ from typing import Any
 
 @dataclass(frozen=True)
 class VoiceSessions:
-    """Speech windows to utterances. Rows: ``t`` (ms), ``p`` (probability).
+    """Speech windows to utterances. Rows: ``t`` (ms), ``p`` (probability) and, if there is one, ``level`` (loudness).
 
-    A session opens after ``needs`` windows in a row above ``enter``, from ``pad`` before the first, and
-    stays while they are above ``leave``. It closes after ``tail`` ms below, with ``pad`` after, if it
-    holds ``least`` ms; at ``most`` ms it is cut and flagged. A jump of the clock over ``jump`` closes.
+    A session opens after ``needs`` windows in a row above ``enter``, with what lies up to ``pre`` before
+    the first, and windows above ``leave`` prolong it. After ``tail`` ms without one it closes, ``pad`` after the
+    last voiced window, once it is ``least`` ms long; until then it keeps the silence that comes, and a
+    window needs ``enter`` again. A session of ``most`` ms is cut, and the rest goes on as the next one: in the
+    middle of the longest pause of ``pause`` ms in the last ``search`` ms (the latest of equal ones), where
+    nothing is split; else in the middle of the quietest such stretch, if that is below ``quiet`` of the
+    voice's level; else at its end. The two latter are flagged, and the rest starts ``overlap`` ms earlier.
+    Each session begins with its own audio: what a close leaves over is the next one's look-behind. A jump of the
+    clock over ``jump`` closes what is open and forgets the rest. State is bounded by ``most``.
     """
 
     window: int = 32
     enter: float = 0.38
     leave: float = 0.22
     needs: int = 3
-    pad: int = 200
+    pre: int = 320
+    pad: int = 288
     tail: int = 400
     least: int = 1_100
     most: int = 24_000
     jump: int = 1_000
+    search: int = 3_000
+    pause: int = 128
+    overlap: int = 736
+    quiet: float = 0.15
     output: str = "t_start_ms long, t_end_ms long, voiced_ms long, truncated boolean"
 
     def start(self) -> dict[str, Any]:
-        return {"open": None, "run": [], "voiced": 0, "last": None, "end": None, "seen": None}
+        """``held``: [t, voiced, level] of each window of what is open, or of the look-behind."""
+        return {"open": False, "held": [], "run": 0, "silent": 0, "seen": None}
 
-    def _close(self, s: dict, truncated: bool) -> list[tuple]:
-        end = s["last"] if truncated else min(s["last"] + self.pad, s["end"])
-        made = [(s["open"], end, s["voiced"], truncated)] if end - s["open"] >= self.least or truncated else []
-        s.update(self.start() | {"seen": s["seen"]})
-        return made
+    def _look_behind(self, s: dict, left: list) -> None:
+        since = left[-1][0] + self.window - self.pre if left else 0
+        s.update(open=False, held=[[t, False, level] for t, _, level in left if t >= since], run=0, silent=0)
+
+    def _session(self, held: list, truncated: bool) -> list[tuple]:
+        voiced = sum(self.window for _, v, _ in held if v)
+        return [(held[0][0], held[-1][0] + self.window, voiced, truncated)] if held else []
+
+    def _close(self, s: dict) -> list[tuple]:
+        held, last = s["held"], max(i for i, x in enumerate(s["held"]) if x[1])
+        end = max(held[last][0] + self.window + self.pad, held[0][0] + self.least)
+        kept = [x for x in held if x[0] < end]
+        self._look_behind(s, held[len(kept) :])
+        return self._session(kept, False)
+
+    def _cut(self, s: dict) -> list[tuple]:
+        held = s["held"]
+        at, split = self._seam(held)
+        rest = held[max(0, at - self.overlap // self.window) if split else at :]
+        if any(v for _, v, _ in rest):
+            s.update(held=rest, silent=next(i for i, x in enumerate(reversed(rest)) if x[1]) * self.window)
+        else:
+            self._look_behind(s, rest)
+        return self._session(held[:at], split)
+
+    def _seam(self, held: list) -> tuple[int, bool]:
+        """The window before which a cut falls, and whether it splits speech."""
+        start, need = max(0, len(held) - self.search // self.window), -(-self.pause // self.window)
+        best, run = None, 0
+        for i in range(start, len(held) + 1):
+            if i < len(held) and not held[i][1]:
+                run += 1
+                continue
+            if run >= need and (best is None or run >= best[0]):
+                best = (run, i - run)
+            run = 0
+        if best:
+            return max(1, best[1] + best[0] // 2), False
+        levels = [x[2] for x in held]
+        if None not in levels and len(held) >= need:
+            last = max(i for i, x in enumerate(held) if x[1])
+            loud = lambda part: (sum(x * x for x in part) / len(part)) ** 0.5
+            level, at = min((loud(levels[i : i + need]), i) for i in range(start, len(held) - need + 1))
+            if level < loud(levels[: last + 1]) * self.quiet:
+                return max(1, at + need // 2), True
+        return len(held), True
 
     def step(self, s: dict, row: dict) -> tuple[dict, list[tuple]]:
         t, p, made = int(row["t"]), float(row["p"]), []
-        if s["seen"] is not None and t - s["seen"] > self.jump and (s["open"] is not None or s["run"]):
-            made += self._close(s, False) if s["open"] is not None else []
-            s["run"] = []
-        s["seen"], s["end"] = t, t + self.window
-        if s["open"] is None:
-            s["run"] = [*s["run"], t] if p >= self.enter else []
-            if len(s["run"]) >= self.needs:
-                s.update(open=max(0, s["run"][0] - self.pad), voiced=len(s["run"]) * self.window, last=t + self.window, run=[])
+        level = row.get("level")
+        level = None if level is None or level != level else float(level)
+        if s["seen"] is not None and t - s["seen"] > self.jump:
+            made = self.finish(s)
+            s = self.start()
+        s["seen"] = t
+        speaking = s["open"] and s["silent"] < self.tail
+        voiced = p >= (self.leave if speaking else self.enter)
+        s["held"].append([t, voiced, level])
+        if not s["open"]:
+            s["run"] = s["run"] + 1 if voiced else 0
+            first, since = len(s["held"]) - s["run"], t + self.window * (1 - self.needs) - self.pre
+            s["held"] = [[x, i >= first, y] for i, (x, _, y) in enumerate(s["held"]) if i >= first or x >= since]
+            if s["run"] >= self.needs:
+                s.update(open=True, run=0, silent=0)
             return s, made
-        if p >= self.leave:
-            s["voiced"] += self.window
-            s["last"] = t + self.window
-        if s["last"] - s["open"] >= self.most:
-            made += self._close(s, True)
-        elif s["end"] - s["last"] >= self.tail:
-            made += self._close(s, False)
+        s["silent"] = 0 if voiced else s["silent"] + self.window
+        length = t + self.window - s["held"][0][0]
+        if length >= self.most:
+            made += self._cut(s)
+        elif s["silent"] >= self.tail and length >= self.least:
+            made += self._close(s)
         return s, made
 
     def finish(self, s: dict) -> list[tuple]:
-        return self._close(s, False) if s["open"] is not None else []
+        return self._close(s) if s["open"] else []
+
+
+@dataclass(frozen=True)
+class OpenSpeech:
+    """Looks at what is open, each ``every`` ms while speech is: its start (the same while it stays open), and the last ``longest`` ms of it.
+
+    The look leaves the session open. Rows as for ``sessions``.
+    """
+
+    sessions: VoiceSessions = VoiceSessions()
+    every: int = 1_000
+    longest: int = 12_000
+    output: str = "t_start_ms long, from_ms long, to_ms long, voiced_ms long"
+
+    def start(self) -> dict[str, Any]:
+        return {"of": self.sessions.start(), "next": None}
+
+    def step(self, s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        s["of"], _ = self.sessions.step(s["of"], row)
+        if not s["of"]["open"]:
+            s["next"] = None
+            return s, []
+        held, now = s["of"]["held"], int(row["t"]) + self.sessions.window
+        if s["next"] is not None and now < s["next"]:
+            return s, []
+        s["next"] = now + self.every
+        tail = held[max(0, len(held) - self.longest // self.sessions.window) :]
+        return s, [(held[0][0], tail[0][0], now, sum(self.sessions.window for _, v, _ in held if v))]
+
+    def finish(self, s: dict) -> list[tuple]:
+        return []
+
+
+@dataclass(frozen=True)
+class LoudnessGate:
+    """Loudness to speech. Rows: ``t``, ``level``. The room's floor follows the quiet slowly and leaves out what counts as speech."""
+
+    first: float = 0.0015
+    enter: float = 4.0
+    leave: float = 2.5
+    pace: float = 0.05
+    output: str = "t long, level double, floor double, active boolean"
+
+    def start(self) -> dict[str, Any]:
+        return {"floor": self.first, "active": False}
+
+    def step(self, s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        level = float(row["level"])
+        s["active"] = level > max(s["floor"] * self.leave, 0.005) if s["active"] else level > max(s["floor"] * self.enter, 0.01)
+        if not s["active"]:
+            s["floor"] = min(max(s["floor"] * (1 - self.pace) + level * self.pace, 1e-5), 0.05)
+        return s, [(int(row["t"]), level, s["floor"], s["active"])]
+
+    def finish(self, s: dict) -> list[tuple]:
+        return []
+
+
+@dataclass(frozen=True)
+class Detection:
+    """Loudness to utterances at once: the gate's word on each window is the sessions' probability. Rows: ``t``, ``level``."""
+
+    gate: LoudnessGate = LoudnessGate()
+    sessions: VoiceSessions = VoiceSessions()
+
+    @property
+    def output(self) -> str:
+        return self.sessions.output
+
+    def start(self) -> dict[str, Any]:
+        return {"gate": self.gate.start(), "of": self.sessions.start()}
+
+    def step(self, s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        seen = s["of"]["seen"]
+        if seen is not None and int(row["t"]) - seen > self.sessions.jump:
+            s["gate"]["active"] = False  # the floor stays the room's
+        s["gate"], made = self.gate.step(s["gate"], row)
+        s["of"], out = self.sessions.step(s["of"], {"t": row["t"], "p": float(made[0][3]), "level": row["level"]})
+        return s, out
+
+    def finish(self, s: dict) -> list[tuple]:
+        return self.sessions.finish(s["of"])
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from skein.plans import recap
 from skein.sinks import documents
 from skein.sources import replies, wav
 from skein.streaming.fold import fold, fold_stream
-from skein.streaming.machines import AdaptiveLag, LanguageVote, MeetingDetector, VoiceSessions
+from skein.streaming.machines import AdaptiveLag, Detection, LanguageVote, LoudnessGate, MeetingDetector, OpenSpeech, VoiceSessions
 
 
 def one(spark, column, **values):
@@ -42,7 +42,7 @@ def test_overlapping_spans_meet_once_over_bucket_bounds(spark):
     assert {r.track_b for r in intervals.overlapping(a, b, ["key"], reach=5, width=9).collect()} == {"y", "touching"}
 
 
-VOICE = VoiceSessions(window=32, needs=3, pad=64, tail=96, least=200, most=1000, jump=500)
+VOICE = VoiceSessions(window=32, needs=3, pre=64, pad=64, tail=96, least=200, most=1024, jump=500, search=320, pause=64, overlap=64)
 
 
 def windows(*runs):
@@ -53,14 +53,78 @@ def windows(*runs):
     return out
 
 
-def test_voice_sessions_open_pad_close_and_cut(spark):
-    rows = windows((0.1, 5), (0.5, 10), (0.1, 6), (0.5, 2), (0.1, 4), (0.9, 40))
-    found = fold(spark.createDataFrame(rows, "key int, t long, p double"), ["key"], ["t"], VOICE).collect()
-    assert [tuple(r)[1:] for r in found] == [(96, 544, 320, False), (800, 1824, 960, True)]
-    assert found[1].truncated and not found[-1].truncated
+def sessions(spark, rows, machine=VOICE, schema="key int, t long, p double"):
+    return [tuple(r)[1:] for r in fold(spark.createDataFrame(rows, schema), ["key"], ["t"], machine).collect()]
+
+
+def test_voice_sessions_open_pad_and_close(spark):
+    # ten voiced windows from 160 on, with two before and two after; two windows are no speech
+    assert sessions(spark, windows((0.1, 5), (0.5, 10), (0.1, 8), (0.5, 2), (0.1, 9))) == [(96, 544, 320, False)]
+    # above the lower threshold goes on, and what the close left over is the next look-behind
+    assert sessions(spark, windows((0.5, 3), (0.25, 5), (0.1, 3), (0.5, 7), (0.1, 5))) == [(0, 320, 256, False), (320, 640, 224, False)]
+    # a short one is held open until it is long enough; there is nothing to hold out for at the end
+    assert sessions(spark, windows((0.5, 3), (0.1, 20))) == [(0, 224, 96, False)]
+    assert sessions(spark, windows((0.5, 3))) == [(0, 96, 96, False)]
+    # a jump closes and forgets
+    assert sessions(spark, [*windows((0.5, 9)), (1, 5000, 0.5), (1, 5032, 0.5)]) == [(0, 288, 288, False)]
+
+
+def test_a_session_that_grows_too_long_goes_on_in_another(spark):
+    # no pause: cut at its length, the rest starts two windows earlier
+    assert sessions(spark, windows((0.9, 40))) == [(0, 1024, 1024, True), (960, 1280, 320, False)]
+    # in the middle of the longest pause near the end, and nothing is split
+    assert sessions(spark, windows((0.9, 24), (0.1, 2), (0.9, 14))) == [(0, 800, 768, False), (800, 1280, 448, False)]
+    # a pause before the last 320 ms doesn't count
+    assert sessions(spark, windows((0.9, 10), (0.1, 2), (0.9, 26)))[0] == (0, 1024, 960, True)
+    # of equal pauses the later one
+    assert sessions(spark, windows((0.9, 23), (0.1, 2), (0.9, 3), (0.1, 2), (0.9, 10)))[0] == (0, 928, 832, False)
+    # the quietest stretch if it is quiet enough, flagged
+    loud = lambda quiet: [(1, 32 * i, 0.9, quiet if 26 <= i < 28 else 1.0) for i in range(40)]
+    schema = "key int, t long, p double, level double"
+    assert sessions(spark, loud(0.01), schema=schema) == [(0, 864, 864, True), (800, 1280, 480, False)]
+    assert sessions(spark, loud(0.5), schema=schema)[0] == (0, 1024, 1024, True)
+
+
+def test_pieces_of_a_monologue_cover_it(spark):
+    import random
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        runs = [(0.1, 9)] + [(rng.choice([0.9, 0.9, 0.1]), rng.randint(1, 30)) for _ in range(30)]
+        rows = windows(*runs)
+        found = sessions(spark, rows)
+        opened = {t for t in range(0, 32 * len(rows), 32) if any(a <= t < b for a, b, *_ in found)}
+        run = 0
+        for i, (_, t, p) in enumerate(rows):  # three voiced windows in a row are always in a session
+            run = run + 1 if p > 0.5 else 0
+            assert run < 3 or {t - 64, t - 32, t} <= opened
+        for (a, b, _, split), (c, d, *_) in zip(found, found[1:]):
+            assert b - a <= 1024 and (c >= b or split and c >= b - 64)
+
+
+def test_looks_leave_the_session_open(spark):
+    rows = windows((0.1, 3), (0.9, 40), (0.1, 9))
+    looks = sessions(spark, rows, OpenSpeech(VOICE, every=128, longest=256))
+    assert looks[0] == (32, 32, 192, 96) and looks[1] == (32, 64, 320, 224)
+    starts = [a for a, *_ in looks]
+    assert sorted(set(starts)) == [32, *[a for a, *_ in sessions(spark, rows)[1:]]] and all(d - c <= 256 for _, c, d, _ in looks)
+
+
+def test_a_floor_follows_the_quiet_and_not_the_loud(spark):
+    rows = [(1, 32 * i, 0.002 if i < 100 else 0.3 if i < 130 else 0.004) for i in range(400)]
+    found = sessions(spark, rows, LoudnessGate(), "key int, t long, level double")
+    floor, active = 0.0015, False
+    for (_, t, level), got in zip(rows, found):
+        active = level > (max(floor * 2.5, 0.005) if active else max(floor * 4, 0.01))
+        floor = floor if active else min(max(floor * 0.95 + level * 0.05, 1e-5), 0.05)
+        assert got == (t, level, pytest.approx(floor), active)
+    assert sessions(spark, rows, Detection(sessions=VOICE), "key int, t long, level double") == [(3136, 4160, 960, True), (4096, 4320, 64, False)]
 
 
 STREAMS = {
+    "looks": (OpenSpeech(VOICE, every=96, longest=128), "key int, t long, p double", [(k, t, p) for k in (1, 2) for _, t, p in windows((0.1, 3), (0.6, 14), (0.1, 9), (0.7, 50), (0.2, 9))]),
+    "gate": (LoudnessGate(), "key int, t long, level double", [(k, t, p / 50) for k in (1, 2) for _, t, p in windows((0.1, 3), (0.6, 14), (0.1, 9), (0.7, 50), (0.2, 9))]),
+    "detection": (Detection(sessions=VOICE), "key int, t long, level double", [(k, t, p / 9) for k in (1, 2) for _, t, p in windows((0.01, 30), (0.6, 14), (0.01, 9), (0.7, 50), (0.01, 9))]),
     "voice": (VOICE, "key int, t long, p double", [(k, t, p) for k in (1, 2) for _, t, p in windows((0.1, 3), (0.6, 14), (0.1, 9), (0.7, 50), (0.2, 9))]),
     "votes": (LanguageVote(), "key int, t long, language string, confidence double, speech_ms long", [(k, i, "it" if i % 5 == k else None if i % 7 == 6 else "en", 0.8, 2500) for k in (1, 2) for i in range(20)]),
     "meetings": (MeetingDetector(), "key int, t long, app boolean, browser boolean, mic boolean", [(1, i, i < 20, False, i % 9 < 7) for i in range(60)]),
