@@ -14,9 +14,9 @@ that one (near copies are farther from each other than from what they were copie
 are compared with their leaders alone, and those that are not near it with a second one. What is near
 a leader is linked. Any other pair of the list still needs shingles in common outside the leader's
 set, as exact counts tell, so what is left of the sets meets by a prefix filter: its rarest shingles
-make new lists, and a pair counts where enough shingles follow in both. In these lists all first meet
-one member each, which links most of what is near; then the pairs of different components meet, but for
-those within the component that most members of a list have. No pair is lost on the way: pairs
+make new lists, and a pair counts where enough shingles follow in both. If these lists would make many pairs,
+all their members first meet one each, which links most of what is near; then the pairs of different
+components meet, but for those within the component that most members of a list have. No pair is lost on the way: pairs
 whose counts allow a link within the leader's set alone are compared as well.
 """
 
@@ -40,6 +40,8 @@ K = 32
 MISS = 1e-6
 #: Members from which on a list is led.
 LONG = 12
+#: Pairs for each member from which on all members of a list first meet one of them. All pairs left meet in either case.
+CROWDED = 8
 #: Columns of 64 bits each that tell where a set lacks shingles of its leader's.
 GAPS = ("gap0", "gap1", "gap2", "gap3")
 #: Members that meet one copy of their leader's set.
@@ -239,24 +241,28 @@ def _led(pairs: DataFrame, sets: DataFrame, percent: int, rest: bool = True) ->
     return both.mapInArrow(run, kind).join(cells.select("leader", "low"), "leader").withColumn("floor", _least(F.col("n") + smallest, percent)).drop("low")
 
 
-def _apart(one: DataFrame, on: list[str], percent: int, fits: Column, stars: bool) -> DataFrame:
+def _mixed(one: DataFrame, on: list[str]) -> DataFrame:
+    """The lists of ``one`` that have several labels: ``on``, the label that most members have (most), and how many pairs lists with it make."""
+    counts = one.groupBy(*on, "label").count()
+    held = counts.groupBy(*on).agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    return settle(held.select(*on, F.col("top.label").alias("most"), "all", ((F.col("all") - F.col("top.count")) * F.col("all")).alias("made")))
+
+
+def _apart(one: DataFrame, on: list[str], percent: int, fits: Column, mixed: DataFrame, stars: bool) -> DataFrame:
     """(a, b): pairs of ``one`` of different labels and similar sizes that agree in ``on`` where ``fits``.
 
     Left out are pairs of two near the leader, and those that meet at another leader, home to both.
     With ``stars`` only the pairs with one member of each list. Else all pairs, none of them within the
-    label that most members of a list have: each has one member at least of another label, and those
-    are few once stars have linked what they can.
+    label that most members of a list have: each has one member at least of another label.
     """
     rest = [c for c in one.columns if c not in on]
-    left = one.select(*on, *[F.col(c).alias(c + "a") for c in rest])
+    left = one.select(*on, *[F.col(c).alias(c + "a") for c in rest]).join(mixed.select(*on, "most"), on)
     if stars:
         right = one.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct("id")).alias("s")).select(*on, *[F.col(f"s.{c}").alias(c + "b") for c in rest])
         met = left.join(right, on)
     else:
-        counts = one.groupBy(*on, "label").count()
-        most = counts.groupBy(*on).agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
         right = one.select(*on, *[F.col(c).alias(c + "b") for c in rest])
-        met = left.join(most, on).where("labela <> most").join(right, on).where("labelb = most or ida < idb").drop("most")
+        met = left.where("labela <> most").join(right, on).where("labelb = most or ida < idb")
     both = met.where("labela <> labelb and not (neara and nearb) and (homea <> homeb or homea = leader)")
     return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
 
@@ -349,9 +355,12 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
         homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
         led = settle(led.join(homes, "id"))
         ways = [_inside(led, percent), _outside(led, percent)]
-        stars = _all_apart(ways, labels, percent, stars=True)
-        stars = settle(_estimated(stars.distinct(), short, k, percent))
-        labels = _relabelled(labels, _verified(_named(stars, labels), sets, percent))
+        ways = [(rows, on, fits, _mixed(rows.join(labels, "id"), on)) for rows, on, fits in ways]
+        made, members = (sum(r[0] or 0 for r in found) for found in zip(*[(w[3].agg(F.sum("made")).first(), w[3].agg(F.sum("all")).first()) for w in ways]))
+        if made > CROWDED * members:
+            stars = settle(_estimated(_all_apart(ways, labels, percent, stars=True).distinct(), short, k, percent))
+            labels = _relabelled(labels, _verified(_named(stars, labels), sets, percent))
+            ways = [(rows, on, fits, _mixed(rows.join(labels, "id"), on)) for rows, on, fits, _ in ways]
     grouped = settle(few.join(labels, "id"))
     one, two = (grouped.select("key", F.col("id").alias(side), F.col("n").alias("n" + side), F.col("label").alias("l" + side)) for side in "ab")
     pairs = one.join(two, "key").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -363,9 +372,9 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
     return _relabelled(labels, _verified(_named(pairs, labels), more if sets is None else sets.unionByName(more), percent))
 
 
-def _all_apart(ways: list[tuple[DataFrame, list[str], Column]], labels: DataFrame, percent: int, stars: bool) -> DataFrame:
+def _all_apart(ways: list[tuple[DataFrame, list[str], Column, DataFrame]], labels: DataFrame, percent: int, stars: bool) -> DataFrame:
     """(a, b): the pairs of both ways under the labels as they are."""
-    inside, outside = (_apart(rows.join(labels, "id"), on, percent, fits, stars) for rows, on, fits in ways)
+    inside, outside = (_apart(rows.join(labels, "id"), on, percent, fits, mixed, stars) for rows, on, fits, mixed in ways)
     return inside.unionByName(outside)
 
 
