@@ -44,6 +44,15 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}'’._-]*[\p{L}\p{N}])?"), F.lit(0))
 
 
+def word_spans(text: str | Column) -> Column:
+    """(start, end) of each of the ``words``, in characters, the end exclusive."""
+    gapped = r"([^\p{L}\p{N}]*)([\p{L}\p{N}](?:[\p{L}\p{N}'’._-]*[\p{L}\p{N}])?)"
+    gaps, found = (F.transform(F.regexp_extract_all(col(text), F.lit(gapped), F.lit(i)), lambda w: F.length(w)) for i in (1, 2))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start int, end int>>)").alias("spans"))
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(acc["spans"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"))).alias("spans"))
+    return F.aggregate(F.zip_with(gaps, found, lambda g, w: F.struct(g.alias("gap"), w.alias("size"))), start, step, lambda acc: acc["spans"])
+
+
 def sounds(folded: str | Column) -> Column:
     """Classes of like sound, silent letters dropped, runs made one."""
     alike = "".join(SOUNDS.values())

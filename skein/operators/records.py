@@ -102,7 +102,7 @@ def released(rows: DataFrame, key: list[str], start: str = "t_start_ms", end: st
 
     Lines leave in order. The other channel's own lines do not wait but for those before them.
     """
-    later = Window.partitionBy(*key).orderBy(end).rangeBetween(-FAR_REACH_MS, Window.unboundedFollowing)
+    later = Window.partitionBy(*key).orderBy(-F.col(end)).rangeBetween(Window.unboundedPreceding, FAR_REACH_MS)  # a running minimum, latest first
     reached = F.min(F.when(F.col(channel) != "mic", F.greatest(F.col(end), F.lit(0)))).over(later)
     ready = F.when(F.col(channel) == "mic", F.greatest(F.col(end), F.least(reached, F.col(end) + FAR_WAIT_MS))).otherwise(F.col(end))
     upto = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -145,7 +145,9 @@ _SQL = f"""{_BASE}, marked AS (
     coalesce(r.body, '') || substring(l.text, length(array_to_string(list_transform(list_zip(l.gaps, l.words), lambda z: z[1] || z[2]), '')) + 1) AS repaired
   FROM lines l LEFT JOIN rebuilt r USING (conv_id, turn)
 )"""
+_NAME = _FOLD.format("p_name")
 ORACLE_SQL = {
+    "n7_sounds": f"SELECT DISTINCT p_name, {_HEARD.format(_NAME)} AS sounds, replace({_HEARD.format(_NAME)}, 'a', '') AS skeleton FROM part",
     "n9_tails": f"WITH {_BASE} SELECT word, term FROM tails",
     "n10_claims": f"WITH RECURSIVE {_SQL} SELECT r.line, r.pos, r.width, r.rank, r.term, t.pos IS NOT NULL AS taken FROM (SELECT DISTINCT * FROM ranked) r LEFT JOIN taken t USING (line, pos, width, term)",
     "n11_repaired": f"WITH RECURSIVE {_SQL} SELECT conv_id, turn, md5(repaired) AS md5, changes FROM repaired",

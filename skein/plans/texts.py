@@ -23,8 +23,11 @@ def n3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n3_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.postings(read(spark, sf_dir, "documents"), ["doc_id"])
-    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """How many documents have each term, and how often; summed in the scan's tasks before terms move."""
+    rows = read(spark, sf_dir, "documents").select(S.tokens("text").alias("t"))
+    each = lambda words, df: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(df).alias("df")))
+    words = rows.select(F.explode(F.concat(each(F.array_distinct("t"), 1), each(F.col("t"), 0))).alias("w"))
+    return words.groupBy("w.term").agg(F.sum("w.df").alias("df"), F.sum(1 - F.col("w.df")).alias("cf"))
 
 
 def n4_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +40,12 @@ def n5_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(word.alias("w")).select(T.fold("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def n6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each word of each line of the conversations stands."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.posexplode(T.word_spans("text")).alias("n", "w"))
+    return rows.select("conv_id", "turn", "n", "w.start", "w.end", F.md5(F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("md5"))
+
+
 def n7_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "part").select("p_name").distinct()
     return names.select("p_name", T.sounds(T.fold("p_name")).alias("sounds"), T.skeleton(T.fold("p_name")).alias("skeleton"))
@@ -208,7 +217,7 @@ def m2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    n3_search, n3_postings, n4_highlight, n5_fold, n7_sounds, n8_distance, n14_phantoms, n15_loops, n16_strip_overlap, n19_chunks, n22_json, n25_formats, n26_file_names, n27_contains_word, n28_redact,
+    n3_search, n3_postings, n4_highlight, n5_fold, n6_spans, n7_sounds, n8_distance, n14_phantoms, n15_loops, n16_strip_overlap, n19_chunks, n22_json, n25_formats, n26_file_names, n27_contains_word, n28_redact,
     d13_centroids, e5_top_two, l2_nearest, l4_clusters, l5_auto_count, l6_fixed_count, l7_silhouette, l13_outliers, m1_envelope, m2_best_lag, m4_resampled, m7_selected, m10_clips, l1_unit, l14_evictions, m8_mixed, n17_noise,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -224,6 +233,9 @@ _LOOPS = " OR ".join(f"len(list_filter(range(1, len(w) - {3 * n} + 2), lambda i:
 _STRIPPED = " ".join(f"WHEN len(own) > {n} AND own[1:{n}] = before[{11 - n}:10] THEN array_to_string(raw[{n + 1}:], ' ')" for n in range(6, 1, -1))
 _STOCK = ", ".join("'" + x.replace("'", "''") + "'" for x in T.COURTESY)
 ORACLE_SQL = {
+    "n6_spans": """WITH l AS (SELECT conv_id, turn, regexp_extract_all(text, '([^\\p{L}\\p{N}]*)([\\p{L}\\p{N}](?:[\\p{L}\\p{N}''’._-]*[\\p{L}\\p{N}])?)', 1) AS g, regexp_extract_all(text, '([^\\p{L}\\p{N}]*)([\\p{L}\\p{N}](?:[\\p{L}\\p{N}''’._-]*[\\p{L}\\p{N}])?)', 2) AS w FROM conversations),
+e AS (SELECT conv_id, turn, unnest(g) AS g, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS n FROM l)
+SELECT conv_id, turn, n::INT AS n, md5(w) AS md5, (sum(length(g) + length(w)) OVER o - length(w))::INT AS start, (sum(length(g) + length(w)) OVER o)::INT AS "end" FROM e WINDOW o AS (PARTITION BY conv_id, turn ORDER BY n)""",
     "n3_search": f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all({_FOLDED}, '[\\p{{L}}\\p{{N}}]+') AS t FROM conversations), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
 p AS (SELECT conv_id, turn, len(t) AS dl, unnest(['the', 'and']) AS term, t FROM t), h AS (SELECT *, len(list_filter(t, lambda x: x = term)) AS tf FROM p WHERE list_contains(t, term)),
 d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
