@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as A
 from ..operators import read_models as R
+from ..operators import spectrum as P
 from ..sources.tables import SEGMENTS, read, segments
 
 
@@ -58,10 +59,34 @@ def n18_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("meeting_id", "turn", F.posexplode("pieces").alias("piece", "p")).select("meeting_id", "turn", "piece", "p.s", "p.e", "p.track", F.md5("p.text").alias("md5"))
 
 
-_QUERIES = (l10_guided, l10_seeds, l17_labels, l18_attributed, n18_split)
+def m5_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of each label as one recording in parts of eight: energies of the first, middle and last band."""
+    place = F.row_number().over(A.Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", place.alias("i"), "embedding")
+    parts = rows.groupBy("label", F.floor(F.col("i") / 8).alias("part")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "embedding"))), lambda x: x["embedding"])).alias("samples"))
+    size = F.max(F.size("samples")).over(A.Window.partitionBy("label"))
+    found = P.filterbank(parts.withColumn("n", F.col("part") * size), ["label"])
+    return found.select("label", "frame", *[F.round(F.get("mel", F.lit(i)), 3).alias(f"band{i}") for i in (0, 40, 79)])
+
+
+def m6_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as windows of frames of seven classes: turns of three speakers."""
+    frames = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 7).cast("int") - 1), lambda i: F.slice("embedding", i * 7 + 1, 7))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", frames.alias("logits"), (F.col("vec_id") * 5000).alias("start_ms"), F.lit(3000).alias("window_ms"))
+    return P.tracks(rows, ["vec_id"], 7)
+
+
+_QUERIES = (m5_filterbank, m6_tracks, l10_guided, l10_seeds, l17_labels, l18_attributed, n18_split)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 ORACLE_SQL = {
+    "m6_tracks": """WITH w AS (SELECT vec_id, embedding AS v, len(embedding) // 7 AS n, unnest(range(len(embedding) // 7)) AS f FROM embeddings), r AS (SELECT vec_id, n, f, v[f * 7 + 1:f * 7 + 7] AS row FROM w),
+b AS (SELECT vec_id, n, f, unnest([[]::INT[], [0], [1], [2], [0, 1], [0, 2], [1, 2]][8 - list_position(list_reverse(row), list_max(row))]) AS local FROM r),
+g AS (SELECT *, f - row_number() OVER (PARTITION BY vec_id, local ORDER BY f) AS run FROM b),
+s AS (SELECT vec_id, local, vec_id * 5000 + round(min(f) * (3000 / any_value(n)))::BIGINT AS s, vec_id * 5000 + round((max(f) + 1) * (3000 / any_value(n)))::BIGINT AS e FROM g GROUP BY vec_id, local, run),
+o AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY vec_id, local ORDER BY s) <= 200 THEN 0 ELSE 1 END AS opens FROM s),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY vec_id, local ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT vec_id, local, min(s) AS s, max(e) AS e FROM i GROUP BY vec_id, local, island HAVING max(e) - min(s) >= 200""",
     "l17_labels": """WITH RECURSIVE i AS (SELECT o_custkey AS key, o_orderkey // 4 AS w, l_linenumber - 1 AS local, min((l_orderkey, l_suppkey, l_quantity)) AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3 GROUP BY ALL),
 r AS (SELECT key, dense_rank() OVER (PARTITION BY key ORDER BY w) AS w, local::BIGINT AS local, x[2] AS supp, x[3]::BIGINT AS q FROM i),
 v AS (SELECT key, w, local, CASE WHEN q % 3 = 0 THEN supp END AS label, q % 7 <> 0 AS active, CASE WHEN q % 5 <> 0 THEN q % 3 END AS continues FROM r),
