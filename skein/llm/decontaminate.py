@@ -129,7 +129,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "t
 
     A null or empty text has no words and no hits; an empty benchmark hits nothing. Repeated rows
     stay rows, each with the same finding. Columns of the names given here give way to them;
-    others in ``keep`` (all) stay. If ``unnamed``, benchmark rows without id hit as well; they are not in ``items``.
+    others in ``keep`` (all) stay. A text of any length is cut into words whole, one text at a time. If ``unnamed``, benchmark rows without id hit as well; they are not in ``items``.
     """
     spark = docs.sparkSession
     adds = StructType().add("n_words", LongType()).add("hit_spans", ArrayType(LongType())).add("items", ArrayType(StringType()))

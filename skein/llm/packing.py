@@ -167,6 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY,
 
     A null text is empty: its document is the end id alone. Only documents over ``capacity`` are cut.
     Rows that repeat a key are documents of their own; other columns are ignored; an empty table gives no piece.
+    A text of any length is encoded whole, one at a time, and cut by its ids.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     numbers = [("piece", IntegerType()), ("start", LongType()), ("length", LongType()), ("ids_crc32", LongType()), ("slot", LongType())]
@@ -195,7 +196,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP, effor
     """``found`` (from :func:`pieces`, settled) with ``sequence_id`` and ``offset``; an empty table stays empty.
 
     ``group`` pieces are packed at once, about, with an ``effort`` of so many sizes looked at; both bound
-    a task, and larger ones search further. Rows that repeat a key are pieces like any others, columns
+    a task, and larger ones search further. Pieces of equal size are alike; which of them goes where follows their
+    order in the task. Rows that repeat a key are pieces like any others, columns
     of other names are left out.
     """
     columns = [f.name for f in found.schema if f.name != "slot"]

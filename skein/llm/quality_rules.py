@@ -102,7 +102,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: dict
 
     A null host counts as the host "". An empty text has no words and so fails as too short. Repeated
     rows are judged alike and each counts for its host. An empty table gives an empty result.
-    Columns named as those given here give way to them.
+    Columns named as those given here give way to them. A text of any length is measured whole, its words as one array.
     """
     verdicts = ("base_failed", "host_failed", "kept")
     measured = settle(measures(without(docs, verdicts), text).drop(text))

@@ -67,7 +67,8 @@ def scan(versions: DataFrame, ledger: str, key: str = "doc_id", text: str = "tex
 
     ``ledger`` is the folder of the ledger, a Parquet table that grows; it may not exist yet. A null
     text is the empty blob. Repeated rows stay. An empty table leaves the ledger as it was. Columns
-    named blob or spans give way. A blob that two scans at once add twice counts once.
+    named blob or spans give way. A blob that two scans at once add twice counts once. A text of any length is
+    scanned whole, as one value of its row.
     """
     spark = versions.sparkSession
     whole, path, first, seen_blob = fresh(versions, "_text", "_key", "_first", "_blob")

@@ -6,7 +6,7 @@ last sequence). Documents follow one another without a gap, in order of their ke
 ends; an index file beside it has each document's key, start and length. Read by memory map, a
 sequence or its mask is a view of the file.
 
-Documents are dealt to tasks by ranges of the key, so files are in order and of bounded size. A task
+Documents are dealt to tasks by ranges of the key, so files are in order, one for each range. A task
 writes under a name of its own and reports it when both files are whole; the manifest of reported
 files is the output, so a retried or doubled task leaves at most a file that nothing names.
 """
