@@ -6,11 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators import people as Q
 from ..operators import read_models as R
 from ..operators import spectrum as P
 from ..sources.tables import SEGMENTS, read, segments
 
 
+def l12_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as unnamed prints of meetings of ten, grouped one after another."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 10).alias("meeting"), "embedding")
+    return Q.voice_groups(rows, "vec_id", "vec_id", "meeting")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as people's samples, a person for each label and 1,000 ids, and odd labels merged into the one before."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.floor(F.col("vec_id") / 1000) * 100 + F.col("label")).alias("person"), "embedding", (F.col("vec_id") % 50).alias("age"), F.when(F.col("vec_id") % 7 == 0, "mic").otherwise("system").alias("condition"))
+    gone = rows.select(F.col("person").alias("gone")).where("gone % 2 = 1").distinct()
+    return rows, gone.withColumn("into", F.col("gone") - 1)
+
+
+def l15_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples that are left after every third came as news, odd people were merged, and all were curated."""
+    rows, merges = _samples(spark, sf_dir)
+    kept, _ = Q.learned(rows.where("vec_id % 3 <> 0"), rows.where("vec_id % 3 = 0"), merges, "vec_id", "age", "condition")
+    return kept.select("person", "vec_id")
+
+
+def l16_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each person after the merge, and the first number of the new centre."""
+    rows = Q.merged(*_samples(spark, sf_dir))
+    centres = R.centroids(rows, ["person"]).where("i = 0").select("person", F.round("x", 6).alias("x"))
+    return rows.groupBy("person").agg(F.count("*").alias("samples")).join(centres, "person")
+
+
 def l17_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as windows of three local voices, some with a print, most continuing another one."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("local"), "l_suppkey", "l_quantity").where("local < 3")
@@ -76,10 +104,14 @@ def m6_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tracks(rows, ["vec_id"], 7)
 
 
-_QUERIES = (m5_filterbank, m6_tracks, l10_guided, l10_seeds, l17_labels, l18_attributed, n18_split)
+_QUERIES = (m5_filterbank, m6_tracks, l10_guided, l10_seeds, l12_groups, l15_learned, l16_merged, l17_labels, l18_attributed, n18_split)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 ORACLE_SQL = {
+    "l16_merged": """WITH p AS (SELECT vec_id, vec_id // 1000 * 100 + label AS was, embedding FROM embeddings), m AS (SELECT vec_id, was - was % 2 AS person, embedding FROM p),
+c AS (SELECT person, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM m), s AS (SELECT person, i, sum(v) AS x FROM c GROUP BY ALL),
+u AS (SELECT person, i, x / sqrt(sum(x * x) OVER (PARTITION BY person)) AS x FROM s)
+SELECT person, samples, round(x, 6) AS x FROM u JOIN (SELECT person, count(*) AS samples FROM m GROUP BY person) USING (person) WHERE i = 0""",
     "m6_tracks": """WITH w AS (SELECT vec_id, embedding AS v, len(embedding) // 7 AS n, unnest(range(len(embedding) // 7)) AS f FROM embeddings), r AS (SELECT vec_id, n, f, v[f * 7 + 1:f * 7 + 7] AS row FROM w),
 b AS (SELECT vec_id, n, f, unnest([[]::INT[], [0], [1], [2], [0, 1], [0, 2], [1, 2]][8 - list_position(list_reverse(row), list_max(row))]) AS local FROM r),
 g AS (SELECT *, f - row_number() OVER (PARTITION BY vec_id, local ORDER BY f) AS run FROM b),
