@@ -285,15 +285,15 @@ def _outside(led: DataFrame, percent: int) -> tuple[DataFrame, list[str], Column
     rows = ranked.join(led.drop("rest"), ["leader", "id"]).withColumn("w", F.size("ranked"))
     first = (F.col("w") - F.greatest(F.lit(1), F.col("floor") - F.col("shared")) + 1).cast("int")
     rows = rows.withColumn("ranked", F.slice("ranked", F.lit(1), F.greatest(F.lit(0), first)))
-    entries = rows.select("leader", "id", "n", "shared", "near", "home", *GAPS, "w", F.posexplode("ranked").alias("place", "s"))
-    entries = settle(entries.select("leader", F.col("s.shingle").alias("shingle"), "id", "n", "shared", "near", "home", *GAPS, (F.col("w") - F.col("place")).alias("follow")))
+    entries = rows.select("leader", "id", "n", "shared", "near", "label", "home", *GAPS, "w", F.posexplode("ranked").alias("place", "s"))
+    entries = settle(entries.select("leader", F.col("s.shingle").alias("shingle"), "id", "n", "shared", "near", "label", "home", *GAPS, (F.col("w") - F.col("place")).alias("follow")))
     follow = F.least("followa", "followb") >= _least(F.col("na") + F.col("nb"), percent) - _within()
     return entries, ["leader", "shingle"], follow
 
 
 def _inside(led: DataFrame, percent: int) -> tuple[DataFrame, list[str], Column]:
     """A leader's members by what both share with the leader: as ``_outside``, but all of a leader agree."""
-    members = led.where(F.col("shared") >= F.col("floor")).select("leader", "id", "n", "shared", "near", "home", *GAPS)
+    members = led.where(F.col("shared") >= F.col("floor")).select("leader", "id", "n", "shared", "near", "label", "home", *GAPS)
     return members, ["leader"], _within() >= _least(F.col("na") + F.col("nb"), percent)
 
 
@@ -353,28 +353,29 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
         labels = _relabelled(labels, near)
         homes = led.select("id", "leader", "alike").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike")).distinct())
         homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
-        led = settle(led.join(homes, "id"))
+        led = settle(led.join(labels, "id").join(homes, "id"))
         ways = [_inside(led, percent), _outside(led, percent)]
-        ways = [(rows, on, fits, _mixed(rows.join(labels, "id"), on)) for rows, on, fits in ways]
-        made, members = (sum(r[0] or 0 for r in found) for found in zip(*[(w[3].agg(F.sum("made")).first(), w[3].agg(F.sum("all")).first()) for w in ways]))
-        if made > CROWDED * members:
-            stars = settle(_estimated(_all_apart(ways, labels, percent, stars=True).distinct(), short, k, percent))
+        ways = [(rows, on, fits, _mixed(rows, on)) for rows, on, fits in ways]
+        sums = [mixed.agg(F.sum("made"), F.sum("all")).first() for *_, mixed in ways]
+        if sum(r[0] or 0 for r in sums) > CROWDED * sum(r[1] or 0 for r in sums):
+            stars = settle(_estimated(_all_apart(ways, percent, stars=True).distinct(), short, k, percent))
             labels = _relabelled(labels, _verified(_named(stars, labels), sets, percent))
-            ways = [(rows, on, fits, _mixed(rows.join(labels, "id"), on)) for rows, on, fits, _ in ways]
+            ways = [(settle(rows.drop("label").join(labels, "id")), on, fits) for rows, on, fits, _ in ways]
+            ways = [(rows, on, fits, _mixed(rows, on)) for rows, on, fits in ways]
     grouped = settle(few.join(labels, "id"))
     one, two = (grouped.select("key", F.col("id").alias(side), F.col("n").alias("n" + side), F.col("label").alias("l" + side)) for side in "ab")
     pairs = one.join(two, "key").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if ways:
-        pairs = pairs.unionByName(_all_apart(ways, labels, percent, stars=False))
+        pairs = pairs.unionByName(_all_apart(ways, percent, stars=False))
     pairs = settle(_estimated(pairs.distinct(), short, k, percent))
     wanted = _ids(pairs.select("a"), pairs.select("b"))
     more = _sets(docs, key, text, classes, wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti"), size)
     return _relabelled(labels, _verified(_named(pairs, labels), more if sets is None else sets.unionByName(more), percent))
 
 
-def _all_apart(ways: list[tuple[DataFrame, list[str], Column, DataFrame]], labels: DataFrame, percent: int, stars: bool) -> DataFrame:
-    """(a, b): the pairs of both ways under the labels as they are."""
-    inside, outside = (_apart(rows.join(labels, "id"), on, percent, fits, mixed, stars) for rows, on, fits, mixed in ways)
+def _all_apart(ways: list[tuple[DataFrame, list[str], Column, DataFrame]], percent: int, stars: bool) -> DataFrame:
+    """(a, b): the pairs of both ways."""
+    inside, outside = (_apart(rows, on, percent, fits, mixed, stars) for rows, on, fits, mixed in ways)
     return inside.unionByName(outside)
 
 
