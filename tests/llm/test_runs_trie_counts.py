@@ -57,7 +57,7 @@ def test_runs_of_fibonacci_and_long_periods():
     while len(b) < 3000:
         a, b = b, b + a
     assert sorted(periodic_runs.lyndon_runs([ord(c) for c in b[:300]], 2, 2), key=lambda r: (r[0], r[2])) == brute_runs(list(b[:300]), 2, 2)
-    words = [i * i % 2503 for i in range(2000)] * 5
+    words = [i * i % 401 for i in range(200)] * 5
     assert periodic_runs.word_runs(words) == brute_runs(words)[:1] != []
     assert periodic_runs.word_runs([0] * 50_000) == [(0, 50_000, 1)]
 
