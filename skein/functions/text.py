@@ -183,6 +183,30 @@ def distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([alignment(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 
 
+def damerau(a: str, b: str) -> int:
+    """Edits where a swap costs one even if letters stand, or come, between the two: never more than :func:`alignment`."""
+    far = len(a) + len(b)
+    rows, seen = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]], {}
+    for i, x in enumerate(a, 1):
+        row, same = [far, i], 0
+        for j, y in enumerate(b, 1):
+            k = seen.get(y, 0)
+            swapped = rows[k][same] + i - k + j - same - 1
+            row.append(min(rows[i][j] + (x != y), row[j] + 1, rows[i][j + 1] + 1, swapped))
+            if x == y:
+                same = j
+        rows.append(row)
+        seen[x] = i
+    return rows[-1][-1]
+
+
+@F.pandas_udf(IntegerType())
+def damerau_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """:func:`damerau` of two columns."""
+    for a, b in pairs:
+        yield pd.Series([damerau(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
+
+
 PIECE = StructType([StructField("n", LongType()), StructField("text", StringType())])
 
 

@@ -138,7 +138,7 @@ def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame) -> DataFrame
     kept = kept.join(plain.select(F.col("word").alias("folded"), F.lit(True).alias("plain")), "folded", "left").join(plain.select(F.col("word").alias("tail"), F.lit(True).alias("plain_tail")), "tail", "left")
     free = F.col("plain").isNull()
     kept = kept.where((F.col("rule") == 0) | ((F.col("rule") == 3) & free) | (F.col("rule").isin(1, 2) & free & F.col("plain_tail").isNull()) | (F.col("rule") == 4))
-    far = F.when(F.col("rule").isin(1, 4), T.distance("folded", "t")).otherwise(0)
+    far = F.when(F.col("rule").isin(1, 4), T.damerau_distance("folded", "t")).otherwise(0)
     kept = kept.withColumn("far", far).where(F.col("far") <= F.when(F.col("rule") == 1, 1).otherwise(3))
     return kept.select("line", "at", "width", F.when(F.col("rule") == 4, 2).otherwise(F.col("rule")).alias("rank"), "place", "term")
 

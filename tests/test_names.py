@@ -105,3 +105,21 @@ def test_repairs_of_random_lines_go_back(fix):
 def test_tails(spark, term, word, near):
     rows = spark.createDataFrame([(term, word)], "t string, w string")
     assert rows.select(V.tail_distance(F.col("t"), F.col("w")).alias("near")).first().near is near
+
+
+def test_letters_between_swapped_ones_count_as_the_edits_they_are(fix):
+    found = fix(["Aninginsh"], ["dann aningin hees noch", "dann aningin hessu noch"])
+    assert found[0] == ("dann Aninginsh noch", [("aningin hees", "Aninginsh")], "dann aningin hees noch")  # three edits, four with swaps of neighbours only
+    assert found[1][1] == []
+
+
+def test_edits_are_those_of_the_sql():
+    import duckdb
+
+    from skein.functions import text as T
+
+    rng = random.Random(5)
+    pairs = [("".join(rng.choices("abc", k=rng.randint(0, 8))), "".join(rng.choices("abc", k=rng.randint(0, 8)))) for _ in range(300)]
+    con = duckdb.connect()
+    assert [T.damerau(a, b) for a, b in pairs] == [con.execute("SELECT damerau_levenshtein(?, ?)", p).fetchone()[0] for p in pairs]
+    assert any(T.damerau(a, b) < T.alignment(a, b) for a, b in pairs)
