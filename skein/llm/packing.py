@@ -139,13 +139,16 @@ def pack(sizes: list[int], capacity: int = CAPACITY, effort: int = EFFORT) -> li
     bound, left, rng = -(-sum(sizes) // capacity), effort, np.random.default_rng(8)
     whole, tries = len(sizes) <= LOT, 0
     while len(bins) > bound and left > 0:
-        free = [capacity - sum(sizes[i] for i in b) for b in bins]
-        order = sorted(range(len(bins)), key=lambda k: -free[k])
-        core = int(np.searchsorted(np.cumsum([free[k] for k in order]), capacity)) + 1  # their free room is a sequence
-        others = order[core:] if not tries or whole else [order[core + i] for i in rng.permutation(len(bins) - core)]
+        if not tries:  # the sequences are new
+            free = [capacity - sum(sizes[i] for i in b) for b in bins]
+            order = sorted(range(len(bins)), key=lambda k: -free[k])
+            core = int(np.searchsorted(np.cumsum([free[k] for k in order]), capacity)) + 1  # their free room is a sequence
+        others = order[core:] if not tries or whole else (order[core + i] for i in rng.permutation(len(bins) - core))
         lot, held = order[:core], sum(len(bins[k]) for k in order[:core])
         for k in others:
-            if whole or held < LOT and (tries or free[k]):  # full sequences stay at first
+            if held >= LOT and not whole:
+                break
+            if whole or tries or free[k]:  # full sequences stay at first
                 lot.append(k)
                 held += len(bins[k])
         found, spent = search([sizes[i] for k in lot for i in bins[k]], len(lot), capacity, left if whole else max(1, min(left, effort // LOTS)))

@@ -262,3 +262,16 @@ def test_language_of_a_very_long_text_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5 * len(text)
+
+
+def test_tries_of_a_packing_without_a_better_one_share_their_order(monkeypatch):
+    asked = []
+
+    def counted(values, **how):
+        asked.append(isinstance(values, range))
+        return sorted(values, **how)
+
+    monkeypatch.setattr(packing, "sorted", counted, raising=False)
+    sizes = [1366] * 200  # two go into a sequence, the bound is three
+    assert len(packing.pack(sizes, 4096, 20_000)) == 100
+    assert sum(asked) == 2 < len(asked) // 10  # the pieces once, the sequences once, however many lots are tried
