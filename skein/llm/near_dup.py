@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import annotate, documents, kept, settle
+from .common import annotate, documents, kept, settle, slices
 from .components import components
 
 K = 32
@@ -87,7 +87,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, key: str, text: str, size: int, k: int) -> DataFrame:
-    """key, n (set size), digest (of the set; null if empty) and sketch for each row."""
+    """key, mark (a hash of the text), n (set size), digest (of the set; null if empty) and sketch for each row."""
     adds = StructType().add("n", LongType()).add("digest", BinaryType()).add("sketch", ArrayType(LongType()))
 
     def one(value: str | None):
@@ -95,7 +95,8 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, k: int) -> DataFra
         kept = (found[:k] ^ np.uint64(1 << 63)).view(np.int64)  # signed order is that of the hashes
         return len(found), _digest(found) if len(found) else None, kept.tolist()
 
-    return annotate(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", adds, lambda: kept(f"sketches {size} {k}", lambda: one), ["key"])
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("mark", _mark("text"))
+    return annotate(rows, "text", adds, lambda: kept(f"sketches {size} {k}", lambda: one), ["key", "mark"])
 
 
 def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -155,28 +156,36 @@ def sieve(wanted: DataFrame, name: str, key: Column) -> Column:
 
 
 def _sets(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and whole set (ascending hashes, packed) of each class in ``wanted``, from the class's first document."""
-    firsts = settle(classes.join(wanted, "id").select("id", "first", F.col("digest").alias("_digest")))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(sieve(firsts, "first", F.col("key")))
-    adds = StructType().add("digest", BinaryType()).add("whole", BinaryType())
+    """id and whole set (ascending hashes, packed) of each class in ``wanted``, from the class's first document.
 
-    def one(value: str | None) -> tuple[bytes, bytes]:
-        found = shingles(value, size)
-        return _digest(found), found.tobytes()
-
-    read = annotate(rows, "text", adds, lambda: one, ["key"])
-    found = read.join(firsts, (F.col("digest") == F.col("_digest")) & F.col("key").eqNullSafe(F.col("first"))).select("id", "whole")
+    Texts meet their classes by key and hash, and then become sets: fewer bytes to move, and one Python
+    step in a stage, so that an executor holds no second worker a core.
+    """
+    firsts = settle(classes.join(wanted, "id").select("id", "first", "mark", "digest"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(sieve(firsts, "first", F.col("key"))).withColumn("_mark", _mark("text"))
+    found = rows.join(firsts, (F.col("_mark") == F.col("mark")) & F.col("key").eqNullSafe(F.col("first"))).select("id", "digest", "text")
+    kind = StructType([found.schema["id"], StructField("whole", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # rows of one id are in one task, but for a broadcast join, where a second set only costs time
         for batch in batches:
-            keep = []
-            for one in batch.column(0).to_pylist():
-                keep.append(one not in seen)
-                seen.add(one)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, 2):
+                ids, sets = [], []
+                for one, digest, value in zip(*(c.to_pylist() for c in part.columns)):
+                    if one not in seen:
+                        hashes = shingles(value, size)
+                        if _digest(hashes) == digest:
+                            seen.add(one)
+                            ids.append(one)
+                            sets.append(hashes.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=kind.names)
+
+    return settle(found.mapInArrow(run, kind))
+
 
-    return settle(found.mapInArrow(run, found.schema))
+def _mark(text: str) -> Column:
+    """Tells the texts of one key apart, so that rows that share it, or have none, don't all meet."""
+    return F.xxhash64(text)
 
 
 def _hashes(packed: pa.Scalar) -> np.ndarray:
@@ -398,7 +407,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     the largest set sets are retained whole, and no pair can be missed by chance.
     """
     rows = settle(sketches(docs, key, text, size, k))
-    classes = settle(rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
+    least = F.min(F.struct(F.col("key").isNull(), "key", "mark"))  # nulls last
+    classes = rows.where("digest is not null").groupBy("digest").agg(least.alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = settle(classes.select("digest", F.col("least.key").alias("first"), F.col("least.mark").alias("mark"), "n", "sketch").withColumn("id", F.monotonically_increasing_id()))
     labels = _linked(docs, key, text, classes, size, percent, k)
     rooted = classes.select("id", "digest", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     rooted = settle(rooted)

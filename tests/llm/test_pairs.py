@@ -302,3 +302,18 @@ def test_floor_of_units_and_stretches_are_apart(spark):
     assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end]) for r in found) == [(5, "one two"), (5, "three")]
     cut = {r.doc_id: r.text for r in substring_dup.cleaned(docs, least=0).collect()}
     assert [cut[i] for i in range(5)] == texts[:5] and cut[5].split() == ["four"]
+
+
+def test_sets_of_classes_take_one_python_step_a_stage(spark, monkeypatch):
+    texts = [prose(i, 60) for i in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1] + " more"), (None, texts[2]), (None, texts[2] + " more"), (None, texts[0]), (5, texts[2] + " or less"), (5, texts[2] + " or less"), (6, None)]
+    steps, settle = [], near_dup.settle
+
+    def seen(df):
+        steps.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return settle(df)
+
+    monkeypatch.setattr(near_dup, "settle", seen)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == sorted([("1", "1")] * 3 + [("None", "5")] * 2 + [("None", "1")] + [("5", "5")] * 2 + [("6", "6")])
+    assert max(steps) == 1  # two would keep two workers a core
