@@ -9,15 +9,15 @@ comparison of the whole sets of both texts.
 
 A value of many classes makes a list only together with another one: near sets share two of one more.
 Lists that are long all the same, of many near copies or of a common passage, don't give all their
-pairs. Each names a leader, first the class that shares values with most others, then the nearest to
-that one (near copies are farther from each other than from what they were copied from). Members
-are compared with their leaders alone, and those that are not near it with a second one. What is near
+pairs. Each names a leader, first the class that shares values with most others, then the one whose sketch is
+nearest to that one's (near copies are farther from each other than from what they were copied from). Members
+are compared with their leaders alone. What is near
 a leader is linked. Any other pair of the list still needs shingles in common outside the leader's
 set, as exact counts tell, so what is left of the sets meets by a prefix filter: its rarest shingles
 make new lists, and a pair counts where enough shingles follow in both. If these lists would make many pairs,
 all their members first meet one each, which links most of what is near; then the pairs of different
 components meet, but for those within the component that most members of a list have. No pair is lost on the way: pairs
-whose counts allow a link within the leader's set alone are compared as well.
+whose counts allow a link within the leader's set alone are compared as well, in one more list of each leader.
 """
 
 from __future__ import annotations
@@ -44,10 +44,13 @@ LONG = 12
 CROWDED = 8
 #: Columns of 64 bits each that tell where a set lacks shingles of its leader's.
 GAPS = ("gap0", "gap1", "gap2", "gap3")
+#: Stands for the shingle in a leader's list of those that may be near within its set.
+INSIDE = 0
 #: Members that meet one copy of their leader's set.
 SEATS = 256
 #: Bits of the sieve that spares documents nobody asks for their shuffle.
 SIEVE = 1 << 20
+LIST = ["leader", "shingle"]
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -217,18 +220,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, kind)
 
 
-def _led(pairs: DataFrame, sets: DataFrame, percent: int, rest: bool = True) -> DataFrame:
-    """``pairs`` (leader, id, n) with m (the leader's n), shared (shingles in common), alike (the similarity), near, GAPS (a bit, by its hash,
-    for each shingle that only the leader has), rest (the shingles outside the leader's set, if asked for) and
+def _led(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (leader, id, n) with shared (shingles in common with the leader), alike (the similarity), near, GAPS (a bit, by its hash,
+    for each shingle that only the leader has), rest (the shingles outside the leader's set) and
     floor: what any near partner among the members must share with id at least.
 
-    A near partner y of x has n(y) >= max(least n of all members, percent of n(x)).
+    A near partner y of x has n(y) >= max(least n of all members, percent of n(x)). Leaders' sets go to the
+    members, so that what Python reads is dealt out by the members, however many a leader has.
     """
     cells = settle(pairs.groupBy("leader").agg(F.min("n").alias("low"), F.ceil(F.count("*") / SEATS).alias("seats")))
     heads = cells.join(sets.withColumnRenamed("id", "leader"), "leader").select("leader", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seats") - 1)).alias("seat"), F.col("whole").alias("lead"))
     seated = pairs.join(cells.select("leader", "seats"), "leader").withColumn("seat", F.pmod(F.xxhash64("id"), F.col("seats"))).drop("seats")
-    both = seated.join(sets, "id").join(heads, ["leader", "seat"]).select("leader", "id", "n", "low", "whole", "lead")
-    kind = StructType([both.schema["leader"], both.schema["id"], *[StructField(n, LongType()) for n in ("n", "m", "shared")], StructField("alike", DoubleType()), StructField("near", BooleanType()), *[StructField(n, LongType()) for n in GAPS], StructField("rest", ArrayType(LongType()))])
+    both = seated.join(heads, ["leader", "seat"]).drop("seat").join(sets, "id").select("leader", "id", "n", "low", "whole", "lead")
+    kind = StructType([*both.schema.fields[:4], StructField("shared", LongType()), StructField("alike", DoubleType()), StructField("near", BooleanType()), *[StructField(n, LongType()) for n in GAPS], StructField("rest", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,40 +244,41 @@ def _led(pairs: DataFrame, sets: DataFrame, percent: int, rest: bool = True) ->
                 both = len(one) + len(lead)
                 bits = np.zeros(64 * len(GAPS), bool)
                 bits[lead[~_held(lead, one)] >> np.uint64(20) & np.uint64(len(bits) - 1)] = True
-                rows.append((len(lead), shared, shared / (both - shared), shared * (100 + percent) >= percent * both, np.packbits(bits).view(np.int64), one[~held].view(np.int64) if rest else one[:0].view(np.int64)))
+                rows.append((shared, shared / (both - shared), shared * (100 + percent) >= percent * both, np.packbits(bits).view(np.int64), one[~held].view(np.int64)))
             if rows:
-                m, shared, alike, near, gaps, left = zip(*rows)
+                shared, alike, near, gaps, left = zip(*rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, left)]), pa.int32()), pa.array(np.concatenate(left)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(m, pa.int64()), pa.array(shared, pa.int64()), pa.array(alike, pa.float64()), pa.array(near, pa.bool_()), *map(pa.array, np.array(gaps).T.copy()), lists], names=kind.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64()), pa.array(alike, pa.float64()), pa.array(near, pa.bool_()), *map(pa.array, np.array(gaps).T.copy()), lists], names=kind.names)
 
     smallest = F.greatest("low", F.ceil(F.col("n") * percent / 100))
-    return both.mapInArrow(run, kind).join(cells.select("leader", "low"), "leader").withColumn("floor", _least(F.col("n") + smallest, percent)).drop("low")
+    return both.mapInArrow(run, kind).withColumn("floor", _least(F.col("n") + smallest, percent)).drop("low")
 
 
-def _mixed(one: DataFrame, on: list[str]) -> DataFrame:
-    """The lists of ``one`` that have several labels: ``on``, the label that most members have (most), and how many pairs lists with it make."""
-    counts = one.groupBy(*on, "label").count()
-    held = counts.groupBy(*on).agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    return settle(held.select(*on, F.col("top.label").alias("most"), "all", ((F.col("all") - F.col("top.count")) * F.col("all")).alias("made")))
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The lists of ``entries`` that have several labels: ``LIST``, the label that most members have (most), and how many pairs lists with it make."""
+    counts = entries.groupBy(*LIST, "label").count()
+    held = counts.groupBy(*LIST).agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    return settle(held.select(*LIST, F.col("top.label").alias("most"), "all", ((F.col("all") - F.col("top.count")) * F.col("all")).alias("made")))
 
 
-def _apart(one: DataFrame, on: list[str], percent: int, fits: Column, mixed: DataFrame, stars: bool) -> DataFrame:
-    """(a, b): pairs of ``one`` of different labels and similar sizes that agree in ``on`` where ``fits``.
+def _apart(entries: DataFrame, percent: int, mixed: DataFrame, stars: bool) -> DataFrame:
+    """(a, b): pairs of ``entries`` of one list, of different labels and similar sizes, that share enough as far as their counts tell.
 
     Left out are pairs of two near the leader, and those that meet at another leader, home to both.
     With ``stars`` only the pairs with one member of each list. Else all pairs, none of them within the
     label that most members of a list have: each has one member at least of another label.
     """
-    rest = [c for c in one.columns if c not in on]
-    left = one.select(*on, *[F.col(c).alias(c + "a") for c in rest]).join(mixed.select(*on, "most"), on)
+    rest = [c for c in entries.columns if c not in LIST]
+    left = entries.select(*LIST, *[F.col(c).alias(c + "a") for c in rest]).join(mixed.select(*LIST, "most"), LIST)
     if stars:
-        right = one.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct("id")).alias("s")).select(*on, *[F.col(f"s.{c}").alias(c + "b") for c in rest])
-        met = left.join(right, on)
+        right = entries.groupBy(*LIST).agg(F.min_by(F.struct(*rest), F.struct("id")).alias("s")).select(*LIST, *[F.col(f"s.{c}").alias(c + "b") for c in rest])
+        met = left.join(right, LIST)
     else:
-        right = one.select(*on, *[F.col(c).alias(c + "b") for c in rest])
-        met = left.where("labela <> most").join(right, on).where("labelb = most or ida < idb")
+        right = entries.select(*LIST, *[F.col(c).alias(c + "b") for c in rest])
+        met = left.where("labela <> most").join(right, LIST).where("labelb = most or ida < idb")
     both = met.where("labela <> labelb and not (neara and nearb) and (homea <> homeb or homea = leader)")
-    return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+    fits = F.least("followa", "followb") >= _least(F.col("na") + F.col("nb"), percent) - _within()
+    return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
 
 
 def _within() -> Column:
@@ -282,28 +287,23 @@ def _within() -> Column:
     return F.least(own("a", "b"), own("b", "a"))
 
 
-def _outside(led: DataFrame, percent: int) -> tuple[DataFrame, list[str], Column]:
-    """A leader's members by what is left of their sets without the leader's: rows, the columns in which a near pair agrees, and what such a pair fits.
+def _entries(led: DataFrame, members: DataFrame) -> DataFrame:
+    """A leader's ``members`` under each shingle in which a near pair may first agree, with how many follow it.
 
-    A near pair shares at least q = least(n(a) + n(b)) - within of what is left, in which shingles are
-    ranked by their count under the leader. At the first they share, q - 1 or more follow in both.
+    A near pair shares at least q = least(n(a) + n(b)) - within of what is left of both sets without the
+    leader's (``led`` has it), in which shingles are ranked by their count under the leader. At the first
+    they share, q - 1 or more follow in both. If q may be 0, both are under INSIDE as well, where none need follow.
     """
+    columns = ["id", "n", "shared", "near", "label", "home", *GAPS, "follow"]
     shingles_ = led.select("leader", "id", F.explode("rest").alias("shingle"))
     counts = shingles_.groupBy("leader", "shingle").count().where("count > 1")
-    ranked = shingles_.join(counts, ["leader", "shingle"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("ranked"))
-    rows = ranked.join(led.drop("rest"), ["leader", "id"]).withColumn("w", F.size("ranked"))
+    ranked = shingles_.join(counts, LIST).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("ranked"))
+    rows = ranked.join(members, ["leader", "id"]).withColumn("w", F.size("ranked"))
     first = (F.col("w") - F.greatest(F.lit(1), F.col("floor") - F.col("shared")) + 1).cast("int")
     rows = rows.withColumn("ranked", F.slice("ranked", F.lit(1), F.greatest(F.lit(0), first)))
-    entries = rows.select("leader", "id", "n", "shared", "near", "label", "home", *GAPS, "w", F.posexplode("ranked").alias("place", "s"))
-    entries = settle(entries.select("leader", F.col("s.shingle").alias("shingle"), "id", "n", "shared", "near", "label", "home", *GAPS, (F.col("w") - F.col("place")).alias("follow")))
-    follow = F.least("followa", "followb") >= _least(F.col("na") + F.col("nb"), percent) - _within()
-    return entries, ["leader", "shingle"], follow
-
-
-def _inside(led: DataFrame, percent: int) -> tuple[DataFrame, list[str], Column]:
-    """A leader's members by what both share with the leader: as ``_outside``, but all of a leader agree."""
-    members = led.where(F.col("shared") >= F.col("floor")).select("leader", "id", "n", "shared", "near", "label", "home", *GAPS)
-    return members, ["leader"], _within() >= _least(F.col("na") + F.col("nb"), percent)
+    outside = rows.select("*", F.posexplode("ranked").alias("place", "s")).withColumn("shingle", F.col("s.shingle")).withColumn("follow", F.col("w") - F.col("place"))
+    inside = members.where(F.col("shared") >= F.col("floor")).withColumn("shingle", F.lit(INSIDE).cast("long")).withColumn("follow", F.lit(0))
+    return outside.select(*LIST, *columns).unionByName(inside.select(*LIST, *columns))
 
 
 def _leaders(long: DataFrame) -> DataFrame:
@@ -311,28 +311,20 @@ def _leaders(long: DataFrame) -> DataFrame:
     return long.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("leader"))
 
 
-def _moved(tried: DataFrame) -> DataFrame:
-    """leader, id, n of ``tried``, each leader replaced by the member nearest to it, if any is near; the old one is a member then."""
-    nearest = tried.where("near").groupBy("leader").agg(F.max_by("id", F.struct("alike", -F.col("id"))).alias("better"))
-    moved = tried.select("leader", "id", "n").unionByName(tried.groupBy("leader").agg(F.first("m").alias("n")).select("leader", F.col("leader").alias("id"), "n"))
+def _moved(tried: DataFrame, short: DataFrame) -> DataFrame:
+    """leader, id, n of ``tried``, each leader replaced by the member whose sketch is nearest to its own, if any shares half of it; the old one is a member then."""
+    heads = tried.select("leader").distinct().join(short.select(F.col("id").alias("leader"), F.col("n").alias("m"), F.col("short").alias("lead")), "leader")
+    met = tried.join(short.select("id", "short"), "id").join(heads, "leader").withColumn("agree", F.size(F.array_intersect("short", "lead")))
+    nearest = met.where(2 * F.col("agree") >= F.greatest(F.size("short"), F.size("lead"))).groupBy("leader").agg(F.max_by("id", F.struct("agree", "score", -F.col("id"))).alias("better"))
+    moved = tried.select("leader", "id", "n").unionByName(heads.select("leader", F.col("leader").alias("id"), F.col("m").alias("n")))
     moved = moved.join(nearest, "leader", "left").withColumn("leader", F.coalesce("better", "leader"))
     return moved.where("id <> leader").select("leader", "id", "n").distinct()
 
 
-def _second(led: DataFrame) -> DataFrame:
-    """leader, id, n: of the members not near their leader the one that shares most with others of them leads those."""
-    left = led.where("not near").select("leader", "id", "n", "rest")
-    shingles_ = left.select("leader", "id", "n", F.explode("rest").alias("shingle"))
-    counts = shingles_.groupBy("leader", "shingle").count().where("count > 1")
-    score = shingles_.join(counts, ["leader", "shingle"]).groupBy("leader", "id").agg((F.sum(F.col("count") - 1) / F.first("n")).alias("score"))
-    best = score.groupBy("leader").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
-    return left.join(best, "leader").where("id <> best").select(F.col("best").alias("leader"), "id", "n").distinct()
-
-
 def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` (id, label) after the labels that ``edges`` (a, b) link became one each."""
     roots = components(edges).withColumnRenamed("node", "label")
-    return settle(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+    return labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
 
 
 def _ids(*columns: DataFrame) -> DataFrame:
@@ -347,52 +339,40 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
     lists = settle(_lists(classes, k, percent))
     counts = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = settle(lists.join(counts, "key"))
-    few = live.where(F.col("c") <= LONG).select("key", "id", "n")
     long = live.where(F.col("c") > LONG)
     labels = live.select("id").distinct().withColumn("label", F.col("id"))
-    short = classes.select("id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short"))
-    sets, ways = None, []
-    pairs = settle(long.join(_leaders(long), "key").where("id <> leader").select("leader", "id", "n").distinct())
-    if not pairs.isEmpty():
-        sets = _sets(docs, key, text, classes, _ids(pairs.select("leader"), pairs.select("id")), size)
-        tried = settle(_led(pairs, sets, percent, rest=False).drop("rest"))
-        led = settle(_led(settle(_moved(tried)), sets, percent))
-        more = settle(_led(settle(_second(led)), sets, percent, rest=False).drop("rest"))
-        near = tried.unionByName(led.drop("rest")).unionByName(more).where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        labels = _relabelled(labels, near)
-        homes = led.select("id", "leader", "alike").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike")).distinct())
-        homes = homes.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"))
-        led = settle(led.join(labels, "id").join(homes, "id"))
-        ways = [_inside(led, percent), _outside(led, percent)]
-        ways = [(rows, on, fits, _mixed(rows, on)) for rows, on, fits in ways]
-        sums = [mixed.agg(F.sum("made"), F.sum("all")).first() for *_, mixed in ways]
-        if sum(r[0] or 0 for r in sums) > CROWDED * sum(r[1] or 0 for r in sums):
-            stars = settle(_estimated(_all_apart(ways, percent, stars=True).distinct(), short, k, percent))
-            labels = _relabelled(labels, _verified(_named(stars, labels), sets, percent))
-            ways = [(settle(rows.drop("label").join(labels, "id")), on, fits) for rows, on, fits, _ in ways]
-            ways = [(rows, on, fits, _mixed(rows, on)) for rows, on, fits in ways]
-    grouped = settle(few.join(labels, "id"))
-    one, two = (grouped.select("key", F.col("id").alias(side), F.col("n").alias("n" + side), F.col("label").alias("l" + side)) for side in "ab")
-    pairs = one.join(two, "key").where("la < lb").where(_near_enough(F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if ways:
-        pairs = pairs.unionByName(_all_apart(ways, percent, stars=False))
-    pairs = settle(_estimated(pairs.distinct(), short, k, percent))
-    wanted = _ids(pairs.select("a"), pairs.select("b"))
-    more = _sets(docs, key, text, classes, wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti"), size)
-    return _relabelled(labels, _verified(_named(pairs, labels), more if sets is None else sets.unionByName(more), percent))
-
-
-def _all_apart(ways: list[tuple[DataFrame, list[str], Column, DataFrame]], percent: int, stars: bool) -> DataFrame:
-    """(a, b): the pairs of both ways."""
-    inside, outside = (_apart(rows, on, percent, fits, mixed, stars) for rows, on, fits, mixed in ways)
-    return inside.unionByName(outside)
+    short = classes.select("id", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("short"))
+    one, two = (live.where(F.col("c") <= LONG).select("key", F.col("id").alias(side), F.col("n").alias("n" + side)) for side in "ab")
+    pairs = one.join(two, "key").where("a < b").where(_near_enough(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    pairs = settle(_estimated(pairs, short, k, percent))
+    tried = settle(long.join(_leaders(long), "key").where("id <> leader").select("leader", "id", "n", "score").distinct())
+    sets = _sets(docs, key, text, classes, _ids(*(pairs.select(c) for c in "ab"), *(tried.select(c) for c in ("leader", "id"))), size)
+    if tried.isEmpty():
+        return _relabelled(labels, _verified(_named(pairs, labels), sets, percent))
+    led = settle(_led(settle(_moved(tried, short)), sets, percent))
+    near = led.where("near").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    own = led.select("id", "leader", "alike", "near").unionByName(led.select(F.col("leader").alias("id"), "leader", F.lit(2.0).alias("alike"), F.lit(True).alias("near")).distinct())
+    own = settle(own.groupBy("id").agg(F.max_by("leader", F.struct("alike", "leader")).alias("home"), F.coalesce(F.min(F.when(F.col("near"), F.col("leader"))), "id").alias("label")))
+    entries = settle(_entries(led, led.drop("rest").join(own, "id")))
+    mixed = _mixed(entries)
+    made = mixed.agg(F.sum("made").alias("pairs"), F.sum("all").alias("members")).first()
+    if (made.pairs or 0) > CROWDED * (made.members or 0):
+        stars = settle(_estimated(_apart(entries, percent, mixed, stars=True), short, k, percent))
+        labels = named = settle(_relabelled(labels, near.unionByName(_verified(_named(stars, labels), sets, percent))))
+        near = near.limit(0)
+        entries = settle(entries.drop("label").join(labels, "id"))
+        mixed = _mixed(entries)
+    else:
+        named = labels.select("id").join(own.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    pairs = pairs.unionByName(_estimated(_apart(entries, percent, mixed, stars=False), short, k, percent)).distinct()
+    return _relabelled(labels, near.unionByName(_verified(_named(pairs, named), sets, percent)))
 
 
 def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their labels, la and lb."""
+    """``pairs`` (a, b) of different labels, with these, la and lb."""
     for side in "ab":
         pairs = pairs.join(labels.select(F.col("id").alias(side), F.col("label").alias("l" + side)), side)
-    return pairs
+    return pairs.where("la <> lb")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = K) -> DataFrame:

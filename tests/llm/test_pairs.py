@@ -317,3 +317,23 @@ def test_sets_of_classes_take_one_python_step_a_stage(spark, monkeypatch):
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == sorted([("1", "1")] * 3 + [("None", "5")] * 2 + [("None", "1")] + [("5", "5")] * 2 + [("6", "6")])
     assert max(steps) == 1  # two would keep two workers a core
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    steps, settle = [], components.__globals__["settle"]
+    monkeypatch.setitem(components.__globals__, "settle", lambda df: steps.append(1) or settle(df))
+    edges = spark.createDataFrame([(0, 3), (4, 0), (9, 7), (7, 8), (2, 2), (0, 3)], "a long, b long")
+    assert dict(map(tuple, components(edges).collect())) == {0: 0, 3: 0, 4: 0, 7: 7, 8: 7, 9: 7}
+    assert len(steps) == 1  # rounds settle two tables each
+
+
+def test_sets_are_made_once_and_go_once_to_leaders(spark, monkeypatch):
+    """Two groups of near copies and single pairs: long lists and short ones."""
+    rows = [(g * 40 + i, " ".join(f"w{i}" if k == i % 60 else w for k, w in enumerate(prose(50 + g, 60).split()))) for g in range(2) for i in range(40)]
+    rows += [(100 + 2 * i + j, prose(70 + i, 40) + " more" * j) for i in range(4) for j in range(2)]
+    calls = []
+    for name in ("_sets", "_led"):
+        monkeypatch.setattr(near_dup, name, lambda *a, f=getattr(near_dup, name), n=name, **b: calls.append(n) or f(*a, **b))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 2)
+    assert calls == ["_sets", "_led"]
