@@ -337,3 +337,20 @@ def test_sets_are_made_once_and_go_once_to_leaders(spark, monkeypatch):
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 2)
     assert calls == ["_sets", "_led"]
+
+
+def test_what_is_left_of_sets_meets_once_and_a_row_stays_a_row(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2}" if k in (i % 60, i // 2) else w for k, w in enumerate(prose(60, 60).split()))) for i in range(60)]
+    plans, settle = [], near_dup.settle
+
+    def seen(df):
+        plans.append((df._jdf.queryExecution().optimizedPlan().toString(), out := settle(df)))
+        return out
+
+    monkeypatch.setattr(near_dup, "settle", seen)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 2)
+    assert sum("explode(rest" in plan for plan, _ in plans) == 1
+    led = [out for _, out in plans if "rest" in out.columns]
+    entries = [out for _, out in plans if "follow" in out.columns]
+    assert len(led) == 1 and all(e.count() <= led[0].select(F.sum(F.size("rest") + 1)).first()[0] for e in entries)
