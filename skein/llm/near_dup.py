@@ -16,7 +16,9 @@ a leader is linked. Any other pair of the list still needs shingles in common ou
 set, as exact counts tell, so what is left of the sets meets by a prefix filter: its rarest shingles
 make new lists, and a pair counts where enough shingles follow in both. If these lists would make many pairs,
 all their members first meet one each, which links most of what is near; then the pairs of different
-components meet, but for those within the component that most members of a list have. No pair is lost on the way: pairs
+components meet, but for those within the component that most members of a list have. Of these pairs too each class
+first has the one compared that its counts favour, as long as that links enough to halve them: a class next to a large component is
+near many of its members or none, and one link spares the others. No pair is lost on the way: pairs
 whose counts allow a link within the leader's set alone are compared as well, in one more list of each leader.
 """
 
@@ -42,6 +44,8 @@ MISS = 1e-6
 LONG = 12
 #: Pairs for each member from which on all members of a list first meet one of them. All pairs left meet in either case.
 CROWDED = 8
+#: Pairs for each member, or for each likeliest pair, from which on the likeliest are compared before the others.
+FEW = 2
 #: Columns of 64 bits each that tell where a set lacks shingles of its leader's.
 GAPS = ("gap0", "gap1", "gap2", "gap3")
 #: Stands for the shingle in a leader's list of those that may be near within its set.
@@ -262,7 +266,9 @@ def _mixed(entries: DataFrame) -> DataFrame:
 
 
 def _apart(entries: DataFrame, percent: int, mixed: DataFrame, stars: bool) -> DataFrame:
-    """(a, b): pairs of ``entries`` of one list, of different labels and similar sizes, that share enough as far as their counts tell.
+    """(a, b), their labels (la, lb) and hope: pairs of ``entries`` of one list, of different labels and similar sizes, that share enough as far as their counts tell.
+
+    hope is the share of both sets that these counts allow.
 
     Left out are pairs of two near the leader, and those that meet at another leader, home to both.
     With ``stars`` only the pairs with one member of each list. Else all pairs, none of them within the
@@ -278,7 +284,9 @@ def _apart(entries: DataFrame, percent: int, mixed: DataFrame, stars: bool) -> D
         met = left.where("labela <> most").join(right, LIST).where("labelb = most or ida < idb")
     both = met.where("labela <> labelb and not (neara and nearb) and (homea <> homeb or homea = leader)")
     fits = F.least("followa", "followb") >= _least(F.col("na") + F.col("nb"), percent) - _within()
-    return both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    ends = [F.struct(F.col("id" + side).alias("id"), F.col("label" + side).alias("label")) for side in "ab"]
+    found = both.where(_near_enough(F.col("na"), F.col("nb"), percent) & fits).select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"), ((F.least("followa", "followb") + _within()) / (F.col("na") + F.col("nb"))).alias("hope"))
+    return found.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).agg(F.max("hope").alias("hope"))
 
 
 def _within() -> Column:
@@ -323,8 +331,39 @@ def _moved(tried: DataFrame, short: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` (id, label) after the labels that ``edges`` (a, b) link became one each."""
-    roots = components(edges).withColumnRenamed("node", "label")
-    return labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    return _rooted(labels, "label", components(edges)).select("id", "label")
+
+
+def _rooted(rows: DataFrame, name: str, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of its label in column ``name``."""
+    return rows.join(roots.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("root", name)).drop("root")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each class the one with most hope."""
+    best = [pairs.groupBy(one).agg(F.max_by(F.struct("a", "b", "la", "lb"), F.struct("hope", other)).alias("p")).select("p.*") for one, other in ("ab", "ba")]
+    return best[0].unionByName(best[1]).distinct()
+
+
+def _narrowed(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The likeliest of ``pairs`` are compared: the other pairs whose labels still differ, ``labels`` after that, and the links (a, b) found.
+
+    Goes on as long as each class has several pairs left and the last round spared half of them.
+    """
+    pairs = settle(pairs)
+    n, links = pairs.count(), pairs.select("a", "b").limit(0)
+    while True:
+        likely = settle(_likeliest(pairs))
+        if n <= FEW * likely.count():
+            return pairs, labels, links
+        found = settle(_verified(likely, sets, percent))
+        links, roots = links.unionByName(found), components(found)
+        labels = settle(_rooted(labels, "label", roots).select("id", "label"))
+        left = pairs.join(likely.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = settle(_rooted(_rooted(left, "la", roots), "lb", roots).where("la <> lb"))
+        before, n = n, pairs.count()
+        if 2 * n > before:
+            return pairs, labels, links
 
 
 def _ids(*columns: DataFrame) -> DataFrame:
@@ -357,14 +396,18 @@ def _linked(docs: DataFrame, key: str, text: str, classes: DataFrame, size: int,
     mixed = _mixed(entries)
     made = mixed.agg(F.sum("made").alias("pairs"), F.sum("all").alias("members")).first()
     if (made.pairs or 0) > CROWDED * (made.members or 0):
-        stars = settle(_estimated(_apart(entries, percent, mixed, stars=True), short, k, percent))
+        stars = settle(_estimated(_apart(entries, percent, mixed, stars=True).select("a", "b"), short, k, percent))
         labels = named = settle(_relabelled(labels, near.unionByName(_verified(_named(stars, labels), sets, percent))))
         near = near.limit(0)
         entries = settle(entries.drop("label").join(labels, "id"))
         mixed = _mixed(entries)
     else:
         named = labels.select("id").join(own.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    pairs = pairs.unionByName(_estimated(_apart(entries, percent, mixed, stars=False), short, k, percent)).distinct()
+    met = _apart(entries, percent, mixed, stars=False)
+    if (made.pairs or 0) > FEW * (made.members or 0):
+        met, named, links = _narrowed(met, named, sets, percent)
+        near = near.unionByName(links)
+    pairs = pairs.unionByName(_estimated(met.select("a", "b"), short, k, percent)).distinct()
     return _relabelled(labels, near.unionByName(_verified(_named(pairs, named), sets, percent)))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest_llm import cases, prose
 from pyspark.sql import functions as F
@@ -79,6 +80,23 @@ def test_near_duplicates_of_a_skewed_corpus(spark, size):
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, size)
 
 
+def test_one_link_spares_the_pairs_of_a_class_with_a_component(spark, monkeypatch):
+    """Classes near every member of a component, and some near none of it: what is compared grows with the classes, not with their pairs."""
+    sets = [(i, np.array([*range(100), 1000 + i], np.uint64).tobytes()) for i in range(70)]
+    sets += [(i, np.array([*range(60), *range(1000 * i, 1000 * i + 41)], np.uint64).tobytes()) for i in range(70, 73)]
+    sets = spark.createDataFrame(sets, "id long, whole binary")
+    pairs = [(a, b, 0, b, 0.9 if b < 70 else 0.8) for a in range(40) for b in range(40, 73)]
+    pairs = spark.createDataFrame(pairs, "a long, b long, la long, lb long, hope double")
+    labels = spark.createDataFrame([(i, 0 if i < 40 else i) for i in range(73)], "id long, label long")
+    compared, verified = [], near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda p, *rest: compared.extend((r.a, r.b) for r in p.collect()) or verified(p, *rest))
+    left, labels, links = near_dup._narrowed(pairs, labels, sets, 80)
+    assert dict(map(tuple, labels.collect())) == {i: 0 if i < 70 else i for i in range(73)}
+    assert len(compared) <= 2 * 73 and links.count() >= 30
+    # all pairs that are neither compared nor linked are left
+    assert {(r.a, r.b) for r in left.collect()} == {(a, b) for a in range(40) for b in (70, 71, 72)} - set(compared)
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
 
