@@ -6,6 +6,8 @@ bucket, each pair meeting in one bucket only, so a long key spreads over buckets
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,14 +68,17 @@ def overlapping(a: DataFrame, b: DataFrame, key: list[str], reach: int = 0, widt
 
 def subtract(spans: DataFrame, holes: DataFrame, key: list[str]) -> DataFrame:
     """What is left of each span without the holes of its key; empty pieces go. Other columns of ``spans`` stay."""
-    own = spans.where("e > s").withColumn("_span", F.monotonically_increasing_id())
-    cut = overlapping(own, merge(holes, key), key)
-    ends = own.select("_span", "s", "e").withColumns({"_to": F.col("e"), "_from": F.col("e")})
-    marks = cut.select("_span", "s", "e", F.greatest("s", "s_b").alias("_to"), F.least("e", "e_b").alias("_from")).unionByName(ends)
-    before = Window.partitionBy("_span").orderBy("_to", "_from").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = marks.select("_span", F.coalesce(F.max("_from").over(before), F.col("s")).alias("_s"), F.col("_to").alias("_e")).where("_e > _s")
+    own, span = spans.where("e > s"), [*key, "s", "e"]
+    # equal spans have equal pieces, so a span is its key and bounds: row numbers differ from one reading of a shuffle to the next
+    each = own.select(*span).distinct()
+    cut = overlapping(each, merge(holes, key), key)
+    ends = each.withColumns({"_to": F.col("e"), "_from": F.col("e")})
+    marks = cut.select(*span, F.greatest("s", "s_b").alias("_to"), F.least("e", "e_b").alias("_from")).unionByName(ends)
+    before = Window.partitionBy(*span).orderBy("_to", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = marks.select(*[F.col(c).alias(f"_of_{c}") for c in span], F.coalesce(F.max("_from").over(before), F.col("s")).alias("_s"), F.col("_to").alias("_e")).where("_e > _s")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in span])
     kept = [c for c in spans.columns if c not in ("s", "e")]
-    return own.drop("s", "e").join(pieces, "_span").select(*kept, F.col("_s").alias("s"), F.col("_e").alias("e"))
+    return own.join(pieces, same).select(*kept, F.col("_s").alias("s"), F.col("_e").alias("e"))
 
 
 def drop_short(spans: DataFrame, least: int) -> DataFrame:
@@ -97,9 +102,9 @@ def nearest(spans: DataFrame, tracks: DataFrame, key: list[str], ident: list[str
 
 def untouched(spans: DataFrame, others: DataFrame, key: list[str], max_gap: int = 1000) -> DataFrame:
     """Spans merged over gaps under ``max_gap`` that no other span of the key overlaps."""
-    merged = merge(spans, key, max_gap - 1).withColumn("_span", F.monotonically_increasing_id())
-    hit = overlapping(merged, others.select(*key, "s", "e"), key).select("_span").distinct()
-    return merged.join(hit, "_span", "left_anti").drop("_span")
+    merged, span = merge(spans, key, max_gap - 1), [*key, "s", "e"]
+    hit = overlapping(merged, others.select(*span), key).select(*span).distinct()
+    return merged.join(hit, span, "left_anti")
 
 
 def covered(spans: DataFrame, weighted: DataFrame, key: list[str], ident: list[str], weight: str = "weight") -> DataFrame:
