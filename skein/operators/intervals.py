@@ -34,21 +34,24 @@ def gap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.greatest(s1, s2) - F.least(e1, e2), F.lit(0).cast("long"))
 
 
-def merge(spans: DataFrame, key: list[str], max_gap: int = 0) -> DataFrame:
-    """Spans of a key fused where the next starts at most ``max_gap`` after the furthest end so far."""
+def merge(spans: DataFrame, key: list[str], max_gap: int = 0, points: bool = False) -> DataFrame:
+    """Spans of a key fused where the next starts at most ``max_gap`` after the furthest end so far.
+
+    Spans of no width count with ``points`` only.
+    """
     order = Window.partitionBy(*key).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("s") - reach > max_gap), 1).otherwise(0)
-    islands = spans.where("e > s").select(*key, "s", "e", opens.alias("_opens")).withColumn("_island", F.sum("_opens").over(order))
+    islands = spans.where("e >= s" if points else "e > s").select(*key, "s", "e", opens.alias("_opens")).withColumn("_island", F.sum("_opens").over(order))
     return islands.groupBy(*key, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 
-def union(*tables: DataFrame, key: list[str], max_gap: int = 0) -> DataFrame:
-    """All spans of several tables, merged."""
+def union(*tables: DataFrame, key: list[str], max_gap: int = 0, points: bool = False) -> DataFrame:
+    """All spans of several tables, merged; those of no width too with ``points``."""
     rows = tables[0].select(*key, "s", "e")
     for other in tables[1:]:
         rows = rows.unionByName(other.select(*key, "s", "e"))
-    return merge(rows, key, max_gap)
+    return merge(rows, key, max_gap, points)
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: list[str], reach: int = 0, width: int = BUCKET_MS) -> DataFrame:
