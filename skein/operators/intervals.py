@@ -54,14 +54,16 @@ def union(*tables: DataFrame, key: list[str], max_gap: int = 0, points: bool = F
     return merge(rows, key, max_gap, points)
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: list[str], reach: int = 0, width: int = BUCKET_MS) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, key: list[str], reach: int = 0, width: int = BUCKET_MS, points: bool = False) -> DataFrame:
     """Pairs of spans of a key that overlap (``reach`` 0) or lie at most ``reach`` apart.
 
     Columns of ``a`` as they are; those of ``b`` but the key with the suffix ``_b``. Null keys pair with nothing.
+    Spans of no width pair with ``points`` only; without ``reach`` a point overlaps what it lies inside of.
     """
+    real = "e >= s" if points else "e > s"
     first = F.floor((F.col("s") - reach) / width)
-    one = a.where("e > s").withColumn("_low", first).withColumn("_bucket", F.explode(F.sequence(first, F.floor((F.col("e") + reach) / width))))
-    two = b.where("e > s").select(*key, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in key])
+    one = a.where(real).withColumn("_low", first).withColumn("_bucket", F.explode(F.sequence(first, F.floor((F.col("e") + reach) / width))))
+    two = b.where(real).select(*key, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in key])
     low = F.floor(F.col("s_b") / width)
     two = two.withColumn("_low_b", low).withColumn("_bucket", F.explode(F.sequence(low, F.floor(F.col("e_b") / width))))
     pairs = one.join(two, [*key, "_bucket"]).where(F.col("_bucket") == F.greatest("_low", "_low_b"))
@@ -89,8 +91,11 @@ def drop_short(spans: DataFrame, least: int) -> DataFrame:
 
 
 def most_overlap(spans: DataFrame, tracks: DataFrame, key: list[str], ident: list[str], track: str = "track") -> DataFrame:
-    """For each span the track that shares most time with it, first in order on ties; spans that no track touches are absent."""
-    shared = overlapping(spans, tracks, key).groupBy(*key, *ident, F.col(f"{track}_b").alias(track))
+    """For each span the track that shares most time with it, first in order on ties; spans that no track touches are absent.
+
+    A point inside a span shares 0 ms with it.
+    """
+    shared = overlapping(spans, tracks, key, points=True).groupBy(*key, *ident, F.col(f"{track}_b").alias(track))
     shared = shared.agg(F.sum(overlap(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b"))).alias("shared_ms"))
     best = F.min(F.struct((-F.col("shared_ms")).alias("n"), F.col(track).alias("t")))
     return shared.groupBy(*key, *ident).agg(best.alias("_best")).select(*key, *ident, F.col("_best.t").alias(track), (-F.col("_best.n")).alias("shared_ms"))
