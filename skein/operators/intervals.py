@@ -102,8 +102,8 @@ def most_overlap(spans: DataFrame, tracks: DataFrame, key: list[str], ident: lis
 
 
 def nearest(spans: DataFrame, tracks: DataFrame, key: list[str], ident: list[str], tolerance: int = 400, track: str = "track") -> DataFrame:
-    """For each span the track nearest in time, either side, within ``tolerance``; first in order on ties."""
-    pairs = overlapping(spans, tracks, key, reach=tolerance)
+    """For each span, or point, the track nearest in time, either side, within ``tolerance``; first in order on ties."""
+    pairs = overlapping(spans, tracks, key, reach=tolerance, points=True)
     best = F.min(F.struct(gap(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")).alias("gap_ms"), F.col(f"{track}_b").alias("t")))
     return pairs.groupBy(*key, *ident).agg(best.alias("_best")).select(*key, *ident, F.col("_best.t").alias(track), "_best.gap_ms")
 
