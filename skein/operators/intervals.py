@@ -109,9 +109,9 @@ def nearest(spans: DataFrame, tracks: DataFrame, key: list[str], ident: list[str
 
 
 def untouched(spans: DataFrame, others: DataFrame, key: list[str], max_gap: int = 1000) -> DataFrame:
-    """Spans merged over gaps under ``max_gap`` that no other span of the key overlaps."""
+    """Spans merged over gaps under ``max_gap`` that no other span of the key overlaps, nor a point inside."""
     merged, span = merge(spans, key, max_gap - 1), [*key, "s", "e"]
-    hit = overlapping(merged, others.select(*span), key).select(*span).distinct()
+    hit = overlapping(merged, others.select(*span), key, points=True).select(*span).distinct()
     return merged.join(hit, span, "left_anti")
 
 
