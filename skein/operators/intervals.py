@@ -116,8 +116,8 @@ def untouched(spans: DataFrame, others: DataFrame, key: list[str], max_gap: int
 
 
 def covered(spans: DataFrame, weighted: DataFrame, key: list[str], ident: list[str], weight: str = "weight") -> DataFrame:
-    """For each span the time of the weighted spans inside it times their weight, rounded, at most its length."""
-    pairs = overlapping(spans, weighted, key)
+    """For each span the time of the weighted spans inside it times their weight, rounded, at most its length; 0 for a point inside one."""
+    pairs = overlapping(spans, weighted, key, points=True)
     part = overlap(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")) * F.col(f"{weight}_b")
     total = pairs.groupBy(*key, *ident, "s", "e").agg(F.round(F.sum(part)).cast("long").alias("_ms"))
     return total.select(*key, *ident, F.least("_ms", length()).alias("covered_ms"))
