@@ -207,6 +207,11 @@ def damerau_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([damerau(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 
 
+def octets(text: str | Column) -> Column:
+    """One character for each byte of the text in UTF-8: edits between two such strings are counted in bytes."""
+    return F.decode(F.encode(col(text), "UTF-8"), "ISO-8859-1")
+
+
 PIECE = StructType([StructField("n", LongType()), StructField("text", StringType())])
 
 

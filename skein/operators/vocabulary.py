@@ -38,10 +38,10 @@ def shortened(word: Column) -> Column:
     return F.when(word == "", F.array()).otherwise(F.array_distinct(F.array_append(less, word)))
 
 
-def tail_distance(term: Column, word: Column, most: int = 1) -> Column:
-    """Whether ``term`` is within ``most`` edits of an end of ``word`` that leaves a letter at least before it."""
-    starts = F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2)))
-    return (F.length(word) > 1) & F.exists(starts, lambda i: F.levenshtein(F.substring(word, i, F.length(word)), term) <= most)
+def tail_distance(term: Column, word: Column, most: int = 1, octets: bool = False) -> Column:
+    """Whether ``term`` is within ``most`` edits (of bytes with ``octets``) of an end of ``word`` that leaves a letter at least before it."""
+    starts, seen = F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), T.octets if octets else T.col
+    return (F.length(word) > 1) & F.exists(starts, lambda i: F.levenshtein(seen(F.substring(word, i, F.length(word))), seen(term)) <= most)
 
 
 def frequent(lines: DataFrame, share: int = 2000, text: str = "text") -> DataFrame:
@@ -113,8 +113,12 @@ def runs(lines: DataFrame, widest: int, key: str = "line", text: str = "text") -
     return one.unionByName(many)
 
 
-def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame) -> DataFrame:
-    """What the terms claim of the runs: line, at, width, rank, place, term."""
+def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame, octets: bool = False) -> DataFrame:
+    """What the terms claim of the runs: line, at, width, rank, place, term.
+
+    Edits are counted in characters, with ``octets`` in bytes. Words within one edit in bytes are so in
+    characters (an edit that leaves other bytes of a character alone leaves no text), so both meet by the same keys.
+    """
     word, single, letters = F.col("folded"), F.col("width") == 1, F.length("folded")
     near = single & (letters >= WORD)
     ends = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda i: shortened(F.substring(word, i, letters))))
@@ -130,7 +134,7 @@ def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame) -> DataFrame
     spine, sound = T.skeleton("folded"), T.sounds("folded")
     misheard = (size <= 2) & (F.length(sound) == F.length("sounds")) & (F.length(spine) == F.length("spine")) & (F.substring(spine, 1, 1) != F.substring("spine", 1, 1))
     held = (F.col("rule") == 0) & (F.col("raw") != F.col("term"))
-    for rule, fits in ((1, size <= 1), (2, misheard), (3, (letters > F.col("letters")) & (letters <= F.col("letters") + 3) & tail_distance(t, word)), (4, size <= 3)):
+    for rule, fits in ((1, size <= 1), (2, misheard), (3, (letters > F.col("letters")) & (letters <= F.col("letters") + 3) & tail_distance(t, word, octets=octets)), (4, size <= 3)):
         held = held | ((F.col("rule") == rule) & other & fits)
     kept = met.where(held)
     plain = everyday.select(F.col("word")).distinct()
@@ -138,7 +142,8 @@ def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame) -> DataFrame
     kept = kept.join(plain.select(F.col("word").alias("folded"), F.lit(True).alias("plain")), "folded", "left").join(plain.select(F.col("word").alias("tail"), F.lit(True).alias("plain_tail")), "tail", "left")
     free = F.col("plain").isNull()
     kept = kept.where((F.col("rule") == 0) | ((F.col("rule") == 3) & free) | (F.col("rule").isin(1, 2) & free & F.col("plain_tail").isNull()) | (F.col("rule") == 4))
-    far = F.when(F.col("rule").isin(1, 4), T.damerau_distance("folded", "t")).otherwise(0)
+    seen = T.octets if octets else T.col
+    far = F.when(F.col("rule").isin(1, 4), T.damerau_distance(seen("folded"), seen("t"))).otherwise(0)
     kept = kept.withColumn("far", far).where(F.col("far") <= F.when(F.col("rule") == 1, 1).otherwise(3))
     return kept.select("line", "at", "width", F.when(F.col("rule") == 4, 2).otherwise(F.col("rule")).alias("rank"), "place", "term")
 
@@ -152,7 +157,7 @@ def chosen(found: DataFrame) -> DataFrame:
     return rows.select("line", F.aggregate("all", start, take, lambda acc: acc["kept"]).alias("repairs"))
 
 
-def repaired(lines: DataFrame, terms: DataFrame, everyday: DataFrame, text: str = "text", term: str = "term", place: str = "place") -> DataFrame:
+def repaired(lines: DataFrame, terms: DataFrame, everyday: DataFrame, text: str = "text", term: str = "term", place: str = "place", octets: bool = False) -> DataFrame:
     """``lines`` with ``repaired`` (the text put right) and ``changes`` (array of was and now, in order; empty where nothing changed).
 
     Every character that no claim covers stays where it is. Equal lines are repaired once and alike. A
@@ -166,7 +171,7 @@ def repaired(lines: DataFrame, terms: DataFrame, everyday: DataFrame, text: str
         return lines.withColumns({"repaired": F.col(text), "changes": F.expr("cast(array() as array<struct<was string, now string>>)")})
     key, kept = "_line of repairs", "_repairs of line"
     rows = lines.withColumn(key, F.sha2(F.col(text), 256))
-    taken = chosen(claims(runs(rows, widest, f"`{key}`", text), known, everyday))
+    taken = chosen(claims(runs(rows, widest, f"`{key}`", text), known, everyday, octets))
     out = rows.join(taken.select(F.col("line").alias(key), F.col("repairs").alias(kept)), key, "left")
     gaps, words = (F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(i)) for i in (1, 2))
     tail = F.substring(F.col(text), F.length(F.array_join(F.concat(gaps, words), "")) + 1, F.length(text))
