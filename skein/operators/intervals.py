@@ -6,9 +6,11 @@ bucket, each pair meeting in one bucket only, so a long key spreads over buckets
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,40 +150,73 @@ def elementary(spans: DataFrame, key: list[str], track: str = "track") -> DataFr
 def collapse_runs(parts: DataFrame, key: list[str], least: int = 1500, owner: str = "owner") -> DataFrame:
     """Neighbours of one owner fused; parts under ``least`` join the longer neighbour, the earlier on ties. No gaps stay.
 
-    A key's parts are those of one line of speech, so a group is small.
+    Parts come in order of their key; a task holds the runs of one key.
     """
-    kind = parts.select(*key, "s", "e", owner).schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("s", ignore_index=True)
-        runs: list[list] = []
-        for s, e, name in zip(rows["s"], rows["e"], rows[owner]):
-            if runs and runs[-1][2] == name:
-                runs[-1][1] = e
-            else:
-                runs.append([s, e, name])
-        while len(runs) > 1:
-            short = [(e - s, i) for i, (s, e, _) in enumerate(runs) if e - s < least]
-            if not short:
-                break
-            _, i = min(short)
-            sides = [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
-            j = max(sides, key=lambda j: (runs[j][1] - runs[j][0], -j))
-            runs[j] = [min(runs[i][0], runs[j][0]), max(runs[i][1], runs[j][1]), runs[j][2]]
-            del runs[i]
-            fused = [runs[0]]
-            for r in runs[1:]:
-                if r[2] == fused[-1][2]:
-                    fused[-1][1] = r[1]
+    kind, width = parts.select(*key, "s", "e", owner).schema, len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, runs = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for now, s, e, name in zip(zip(*columns[:width]), *columns[width:]):
+                if now != held:
+                    out += [(*held, *r) for r in _collapsed(runs, least)] if runs else []
+                    held, runs = now, []
+                if runs and runs[-1][2] == name:
+                    runs[-1][1] = e
                 else:
-                    fused.append(r)
-            runs = fused
-        for left, right in zip(runs, runs[1:]):
-            left[1] = right[0]
-        out = pd.DataFrame(runs, columns=["s", "e", owner])
-        return out.assign(**{k: rows[k].iloc[0] for k in key})[kind.names]
-
-    return parts.groupBy(*key).applyInPandas(run, kind)
+                    runs.append([s, e, name])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), batch.schema.types)], names=kind.names)
+            types = batch.schema.types
+        if runs:
+            out = [(*held, *r) for r in _collapsed(runs, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=kind.names)
+
+    return parts.select(*kind.names).repartition(*key).sortWithinPartitions(*key, "s").mapInArrow(run, kind)
+
+
+def _collapsed(runs: list[list], least: int) -> list[list]:
+    """``runs`` (s, e, owner; in order, no neighbours alike) without those under ``least``, shortest and earliest first.
+
+    Runs that join stay at the place of the earlier one, so places keep the order; the heap may hold runs as they were.
+    """
+    if len(runs) > 1:
+        last = len(runs) - 1
+        before, after, alive = list(range(-1, last)), [*range(1, last + 1), -1], [True] * (last + 1)
+        heap = [(e - s, i) for i, (s, e, _) in enumerate(runs) if e - s < least]
+        heapify(heap)
+
+        def fuse(i: int, j: int, name: object) -> None:
+            """Run ``j`` goes into ``i``, the one before it."""
+            runs[i], alive[j] = [runs[i][0], runs[j][1], name], False
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+
+        while heap:
+            size, i = heappop(heap)
+            if not alive[i] or runs[i][1] - runs[i][0] != size:
+                continue
+            left, right = before[i], after[i]
+            if left < 0 and right < 0:
+                break
+            if right < 0 or left >= 0 and runs[left][1] - runs[left][0] >= runs[right][1] - runs[right][0]:
+                fuse(left, i, runs[left][2])
+                i = left
+            else:
+                fuse(i, right, runs[right][2])
+            for one, other in ((i, after[i]), (before[i], i)):
+                if one >= 0 and other >= 0 and runs[one][2] == runs[other][2]:
+                    fuse(one, other, runs[one][2])
+                    i = one
+            if runs[i][1] - runs[i][0] < least:
+                heappush(heap, (runs[i][1] - runs[i][0], i))
+        runs = [r for r, stays in zip(runs, alive) if stays]
+    for one, other in zip(runs, runs[1:]):
+        one[1] = other[0]
+    return runs
 
 
 def holes(audio: DataFrame, read: DataFrame, suppressed: DataFrame, key: list[str], floor: int, limit: int, least: int = 250) -> DataFrame:
