@@ -94,23 +94,30 @@ def runs(lines: DataFrame, widest: int, key: str = "line", text: str = "text") -
 
     Several words are a run only with nothing but blanks between them and no single letter among them.
     """
-    split = lines.select(F.col(key).alias("line"), F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(1)).alias("gaps"), F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(2)).alias("words"))
-    split = split.withColumn("folds", F.transform("words", T.fold))
-    at = split.select("*", F.posexplode("words").alias("at", "first")).withColumn("gap", F.get("gaps", F.col("at")))
+    split = lines.select(F.col(key).alias("line"), F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(2)).alias("word"))
+    split = split.withColumn("fold", F.transform("word", T.fold))
+    # a row for each word holds the words that follow it, not the line's
+    names = ("gap", "word", "fold")
+    ahead = [F.slice(c, 1 + k, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for k in range(1, widest) for c in names]
+    split = split.select("line", *names, *ahead)
+    at = split.select("line", F.posexplode(F.arrays_zip(*split.columns[1:])).alias("at", "w")).select("line", "at", "w.*")
     before = F.regexp_replace("gap", r"[\s\p{Z}]+\z", "")
     bare = F.regexp_replace(before, "[" + "".join(f"\\{c}" for c in OPENERS) + r"]+\z", "")
     opens = F.col("gap").rlike(r"\n[\s\p{Z}]*\z") | ((bare == "") & (F.col("at") == 0)) | bare.rlike(rf"[{STOPS}]\z")
-    at = at.withColumns({"named": ~opens & F.col("first").rlike(r"^\p{Lu}"), "head": T.fold(F.regexp_extract("first", r"^(.*)['’]", 1)), "tail": T.fold(F.regexp_extract("first", r"['’]([^'’]*)$", 1))})
-    elided = (F.col("head") != "") & (F.length("head") <= 5) & (F.length("tail") >= 3)
-    one = at.select("line", "at", F.lit(1).alias("width"), F.get("folds", F.col("at")).alias("folded"), F.col("first").alias("raw"), "named", elided.alias("elided"), F.when(elided, F.col("tail")).alias("tail"))
-    if widest < 2:
-        return one
-    wide = at.withColumn("width", F.explode(F.sequence(F.lit(2), F.lit(widest)))).where(F.col("at") + F.col("width") <= F.size("words"))
-    parts, between = F.slice("folds", F.col("at") + 1, F.col("width")), F.slice("gaps", F.col("at") + 2, F.col("width") - 1)
-    joined = F.forall(parts, lambda p: F.length(p) >= 2) & F.forall(between, lambda g: g.rlike(r"^(?:(?![\r\n])[\s\p{Z}])*\z"))
-    raw = F.concat("first", F.array_join(F.zip_with(between, F.slice("words", F.col("at") + 2, F.col("width") - 1), lambda g, w: F.concat(g, w)), ""))
-    many = wide.where(joined).select("line", "at", "width", F.array_join(parts, "").alias("folded"), raw.alias("raw"), F.lit(False).alias("named"), F.lit(False).alias("elided"), F.lit(None).cast("string").alias("tail"))
-    return one.unionByName(many)
+    head, tail = T.fold(F.regexp_extract("word", r"^(.*)['’]", 1)), T.fold(F.regexp_extract("word", r"['’]([^'’]*)$", 1))
+    elided = F.col("word").rlike("['’]") & (head != "") & (F.length(head) <= 5) & (F.length(tail) >= 3)
+    at = at.withColumns({"named": F.col("word").rlike(r"^\p{Lu}") & ~opens, "elided": elided})
+
+    def run(width: int) -> Column:
+        parts = [F.lit(width).alias("width"), F.concat(*[f"fold{k or ''}" for k in range(width)]).alias("folded"), F.concat("word", *[f"{c}{k}" for k in range(1, width) for c in ("gap", "word")]).alias("raw")]
+        if width == 1:
+            return F.struct(*parts, F.col("named"), F.col("elided"), F.when(F.col("elided"), tail).alias("tail"))
+        joined = F.col(f"word{width - 1}").isNotNull()
+        for k in range(width):
+            joined = joined & (F.length(f"fold{k or ''}") >= 2) & (F.col(f"gap{k}").rlike(r"^(?:(?![\r\n])[\s\p{Z}])*\z") if k else F.lit(True))
+        return F.when(joined, F.struct(*parts, F.lit(False).alias("named"), F.lit(False).alias("elided"), F.lit(None).cast("string").alias("tail")))
+
+    return at.select("line", "at", F.explode(F.array(*map(run, range(1, widest + 1)))).alias("r")).where("r is not null").select("line", "at", "r.*")
 
 
 def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame, octets: bool = False) -> DataFrame:
@@ -121,13 +128,22 @@ def claims(found: DataFrame, terms: DataFrame, everyday: DataFrame, octets: bool
     """
     word, single, letters = F.col("folded"), F.col("width") == 1, F.length("folded")
     near = single & (letters >= WORD)
+    known = terms.select("t", "letters", "common").collect()  # TERMS rows at most
+    loose = [r.letters for r in known if not r.common]
+    buried, alike = ([n for n in loose if n >= least] for least in (BURIED, ALIKE))
+
+    def sized(lengths: list[int], below: int, above: int) -> Column:
+        """Whether a run is as long as a rule lets it be: most are not, and need no keys."""
+        return letters.between(min(lengths) + below, max(lengths) + above) if lengths else F.lit(False)
+
+    starts = F.substring(word, 1, 2).isin(sorted({r.t[:2] for r in known}))
     ends = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda i: shortened(F.substring(word, i, letters))))
     keyed = found.withColumn("key", F.explode(F.array_distinct(_keys(
-        ("0", F.lit(True), F.array(word)),
-        ("1", near, shortened(word)),
-        ("2", near & F.col("named"), F.array(_sound_key(T.sounds("folded"), T.skeleton("folded")))),
-        ("3", near & (F.col("named") | F.col("elided")), ends),
-        ("4", ~single & (letters >= WORD), F.array(F.concat(F.substring(word, 1, 2), F.lit(" "), T.skeleton("folded")))),
+        ("0", word.isin([r.t for r in known]), F.array(word)),
+        ("1", near & sized(alike, -1, 1), shortened(word)),
+        ("2", near & sized(alike, -2, 2) & F.col("named"), F.array(_sound_key(T.sounds("folded"), T.skeleton("folded")))),
+        ("3", near & sized(buried, 1, 3) & (F.col("named") | F.col("elided")), ends),
+        ("4", ~single & (letters >= WORD) & sized(alike, -3, 3) & starts, F.array(F.concat(F.substring(word, 1, 2), F.lit(" "), T.skeleton("folded")))),
     ))))
     met = keyed.join(F.broadcast(_term_keys(terms)), "key").withColumn("rule", F.substring("key", 1, 1).cast("int")).drop("key").distinct()
     t, size, other = F.col("t"), F.abs(letters - F.col("letters")), word != F.col("t")
@@ -165,7 +181,8 @@ def repaired(lines: DataFrame, terms: DataFrame, everyday: DataFrame, text: str
     cut into as many rows as they have runs, not kept whole in one.
     """
     known = glossary(terms, everyday, term, place)
-    names = known.select("term", "words", "letters", "common").collect()  # TERMS rows at most
+    names = known.collect()  # TERMS rows at most
+    known = lines.sparkSession.createDataFrame(names, known.schema)
     widest = max((r.words + (r.letters >= ALIKE) for r in names), default=0)
     if not widest:
         return lines.withColumns({"repaired": F.col(text), "changes": F.expr("cast(array() as array<struct<was string, now string>>)")})
@@ -173,21 +190,26 @@ def repaired(lines: DataFrame, terms: DataFrame, everyday: DataFrame, text: str
     rows = lines.withColumn(key, F.sha2(F.col(text), 256))
     taken = chosen(claims(runs(rows, widest, f"`{key}`", text), known, everyday, octets))
     out = rows.join(taken.select(F.col("line").alias(key), F.col("repairs").alias(kept)), key, "left")
-    gaps, words = (F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(i)) for i in (1, 2))
-    tail = F.substring(F.col(text), F.length(F.array_join(F.concat(gaps, words), "")) + 1, F.length(text))
+    # columns of their own: a lambda would take the line apart for each of its words
+    parts = ["_gaps of line", "_words of line", "_both of line"]
+    taken_apart = {c: F.when(F.col(kept).isNotNull(), F.regexp_extract_all(text, F.lit(_GAPPED), F.lit(i))) for i, c in enumerate(parts[:2], 1)}
+    out = out.withColumns(taken_apart).withColumn(parts[2], F.zip_with(*parts[:2], lambda g, w: F.concat(g, w)))
+    gaps, words, both = map(F.col, parts)
+    tail = F.substring(F.col(text), F.length(F.array_join(both, "")) + 1, F.length(text))
 
     def stretch(r: Column) -> Column:
-        inner = F.zip_with(F.slice(gaps, r["at"] + 2, r["width"] - 1), F.slice(words, r["at"] + 2, r["width"] - 1), lambda g, w: F.concat(g, w))
+        inner = F.slice(both, r["at"] + 2, r["width"] - 1)
         return F.concat(F.get(words, r["at"]), F.array_join(inner, ""))
 
-    def put(i: Column) -> Column:
-        here = F.filter(kept, lambda r: (r["at"] <= i) & (i < r["at"] + r["width"]))
-        return F.when(F.size(here) == 0, F.concat(F.get(gaps, i), F.get(words, i))).when(here[0]["at"] == i, F.concat(F.get(gaps, i), here[0]["term"])).otherwise("")
+    def put(acc: Column, r: Column) -> Column:
+        between = F.array_join(F.slice(both, acc["next"] + 1, r["at"] - acc["next"]), "")
+        return F.struct(F.concat(acc["done"], between, F.get(gaps, r["at"]), r["term"]).alias("done"), (r["at"] + r["width"]).alias("next"))
 
-    new = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(words) - 1), put), ""), tail)
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("next"))
+    new = F.aggregate(kept, start, put, lambda acc: F.concat(acc["done"], F.array_join(F.slice(both, acc["next"] + 1, F.size(both)), ""), tail))
     none = F.expr("cast(array() as array<struct<was string, now string>>)")
     changes = F.coalesce(F.transform(kept, lambda r: F.struct(stretch(r).alias("was"), r["term"].alias("now"))), none)
-    return out.withColumns({"repaired": F.when(F.col(kept).isNull(), F.col(text)).otherwise(new), "changes": changes}).drop(key, kept)
+    return out.withColumns({"repaired": F.when(F.col(kept).isNull(), F.col(text)).otherwise(new), "changes": changes}).drop(key, kept, *parts)
 
 
 def _alone(word: Column) -> Column:
